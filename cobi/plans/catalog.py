@@ -9,10 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cobi.functions.vectors import embedding_width
 from cobi.operators import edges as E
+from cobi.operators import matrix as M
+from cobi.operators.cluster import recomputed_cost
+from cobi.operators.records import build_record_graph, record_graph_size
+from cobi.operators.spectral import spectral_embedding
 from cobi.operators.numbering import index_table
 from cobi.operators.sweep import sweep_edges
 from cobi.plans import sqlbits as Q
+from cobi.plans.runs import cluster_bipartite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -201,9 +207,241 @@ RELATIONAL = {
 }
 
 
+# --------------------------------------------------------------------------
+# matrix view of a graph (AGG2-3, AGG6, MAT3-4) on lineitem part x supplier
+
+def part_supplier(spark, sf_dir) -> DataFrame:
+    """E2E8: lineitem as a table of connected pairs, part x supplier."""
+    return E.edges_from_pairs(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+
+
+PART_SUPPLIER_SQL = (
+    f"SELECT CAST(l_partkey AS VARCHAR) AS first_field, CAST(l_suppkey AS VARCHAR) AS second_field, "
+    f"CAST(count(*) AS DOUBLE) AS weight FROM lineitem WHERE {Q.keep('l_partkey')} "
+    f"AND {Q.keep('l_suppkey')} GROUP BY 1, 2")
+
+
+def q_degrees_row(spark, sf_dir):
+    return M.row_degrees(part_supplier(spark, sf_dir))
+
+
+def q_degrees_col(spark, sf_dir):
+    return M.col_degrees(part_supplier(spark, sf_dir))
+
+
+def q_adjacency_rows(spark, sf_dir):
+    return M.adjacency_summary(part_supplier(spark, sf_dir))
+
+
+def q_normalized_entries(spark, sf_dir):
+    n = M.normalize(part_supplier(spark, sf_dir))
+    return n.select("first_field", "second_field",
+                    (F.round("w_norm", 9) + F.lit(0.0)).alias("w_norm"))
+
+
+def q_edges_from_pairs(spark, sf_dir):
+    return part_supplier(spark, sf_dir)
+
+
+def q_transpose(spark, sf_dir):
+    return M.transpose(brand_flag(spark, sf_dir))
+
+
+MATRIX = {
+    "edges_from_pairs": (q_edges_from_pairs, PART_SUPPLIER_SQL),
+    "transpose": (q_transpose,
+                  f"SELECT second_field AS first_field, first_field AS second_field, weight "
+                  f"FROM ({BRAND_FLAG_SQL})"),
+    "degrees_row": (q_degrees_row,
+                    f"SELECT first_field AS node, sum(weight) AS degree FROM ({PART_SUPPLIER_SQL}) "
+                    f"GROUP BY 1"),
+    "degrees_col": (q_degrees_col,
+                    f"SELECT second_field AS node, sum(weight) AS degree FROM ({PART_SUPPLIER_SQL}) "
+                    f"GROUP BY 1"),
+    "adjacency_rows": (q_adjacency_rows,
+                       f"SELECT first_field AS node, count(*) AS nnz, sum(weight) AS row_sum, "
+                       f"min(second_field) AS first_col, max(second_field) AS last_col "
+                       f"FROM ({PART_SUPPLIER_SQL}) GROUP BY 1"),
+    "normalized_entries": (
+        q_normalized_entries,
+        f"WITH e AS ({PART_SUPPLIER_SQL}), "
+        f"dr AS (SELECT first_field, sum(weight) AS d FROM e GROUP BY 1), "
+        f"dc AS (SELECT second_field, sum(weight) AS d FROM e GROUP BY 1) "
+        f"SELECT e.first_field, e.second_field, "
+        f"round(e.weight / sqrt(dr.d * dc.d), 9) + 0.0 AS w_norm FROM e "
+        f"JOIN dr ON e.first_field = dr.first_field JOIN dc ON e.second_field = dc.second_field"),
+}
+
+
+# --------------------------------------------------------------------------
+# record-level graph (E2E2), kept factorised
+
+def _record_graph(spark, sf_dir):
+    return build_record_graph(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"),
+                              "c_nationkey", "s_nationkey", ["c_custkey"], ["s_suppkey"])
+
+
+def q_record_nodes(spark, sf_dir):
+    return _record_graph(spark, sf_dir).nodes
+
+
+def q_record_edges(spark, sf_dir):
+    return _record_graph(spark, sf_dir).blocks
+
+
+def q_record_size(spark, sf_dir):
+    return record_graph_size(_record_graph(spark, sf_dir))
+
+
+_REC_CTE = (
+    "WITH a AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, "
+    "CAST(c_nationkey AS VARCHAR) AS value FROM customer WHERE c_nationkey > 0), "
+    "b AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_id, "
+    "CAST(s_nationkey AS VARCHAR) AS value FROM supplier WHERE s_nationkey > 0), "
+    "ca AS (SELECT value, count(*) AS n_a FROM a GROUP BY 1), "
+    "cb AS (SELECT value, count(*) AS n_b FROM b GROUP BY 1) ")
+
+RECORDS = {
+    "record_nodes": (
+        q_record_nodes,
+        _REC_CTE + "SELECT 'row' AS side, CAST(a.row_id AS VARCHAR) || '_' || a.value AS node, "
+        "a.value, a.row_id, CAST(cb.n_b AS DOUBLE) AS degree FROM a JOIN cb USING (value) "
+        "UNION ALL SELECT 'column' AS side, CAST(b.row_id AS VARCHAR) || '_' || b.value AS node, "
+        "b.value, b.row_id, CAST(ca.n_a AS DOUBLE) AS degree FROM b JOIN ca USING (value)"),
+    "record_edges": (
+        q_record_edges,
+        _REC_CTE + "SELECT value, n_a, n_b, n_a * n_b AS n_edges FROM ca JOIN cb USING (value)"),
+    "record_size": (
+        q_record_size,
+        _REC_CTE + "SELECT count(*) AS n_edges, count(DISTINCT a.row_id) AS n_rows, "
+        "count(DISTINCT b.row_id) AS n_cols FROM a JOIN b ON a.value = b.value"),
+}
+
+
+# --------------------------------------------------------------------------
+# spectral embedding and clustering (MAT5-8, SET1, CLU1-3, AGG11, E2E6)
+
+SPECTRAL_K = 5
+KMEANS_RUNS = 3
+
+
+def q_trivial_vector(spark, sf_dir):
+    """Without deflation the leading singular pair is the trivial one; scaled by
+    d^-1/2 it is 1/sqrt(total) on every node (sign is free)."""
+    res = spectral_embedding(part_supplier(spark, sf_dir), SPECTRAL_K, discard="none",
+                             max_iter=12, tol=1e-10)
+    return res.embedding.select("side", "node",
+                                (F.round(F.abs(F.col("embedding")[0]), 9) + F.lit(0.0)).alias("z0"))
+
+
+def q_embedding_orthogonality(spark, sf_dir):
+    """Each embedding column is d-orthogonal to the trivial one and has unit
+    d-norm on each side: sum d z = 0 and sum d z^2 = 1 per side."""
+    edges = part_supplier(spark, sf_dir)
+    res = spectral_embedding(edges, SPECTRAL_K)
+    deg = M.degrees(edges)
+    z = res.embedding.join(deg, ["side", "node"]).select(
+        "side", "degree", F.posexplode("embedding").alias("j", "z"))
+    return z.groupBy("side", F.col("j").cast("long").alias("j")).agg(
+        (F.round(F.sum(F.col("degree") * F.col("z")), 6) + F.lit(0.0)).alias("dot"),
+        (F.round(F.sum(F.col("degree") * F.col("z") * F.col("z")), 6) + F.lit(0.0)).alias("norm"))
+
+
+def _orth_sql():
+    width = embedding_width(SPECTRAL_K) - 1
+    return (f"SELECT side, range AS j, CAST(0.0 AS DOUBLE) AS dot, CAST(1.0 AS DOUBLE) AS norm "
+            f"FROM range({width}), (SELECT 'row' AS side UNION ALL SELECT 'column' AS side) s")
+
+
+def q_embedding_union(spark, sf_dir):
+    res = spectral_embedding(part_supplier(spark, sf_dir), SPECTRAL_K)
+    return res.embedding.select("side", "node")
+
+
+def region_stars(spark, sf_dir) -> DataFrame:
+    """nation (n_regionkey) x customer (c_custkey) on the nation key: every
+    customer links to its region only, so the graph is one star per region and
+    the true clusters are known exactly."""
+    return E.build_edges(table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer"),
+                         "n_nationkey", "c_nationkey", "n_regionkey", "c_custkey")
+
+
+REGION_STARS_SQL = Q.edges_sql(
+    Q.side_sql("nation", "n_nationkey", "n_regionkey", 0),
+    Q.side_sql("customer", "c_nationkey", "c_custkey", 1))
+
+_PLANTED_CTE = (
+    f"WITH e AS ({REGION_STARS_SQL}), "
+    f"comp AS (SELECT first_field AS comp, min(second_field) AS first FROM e GROUP BY 1), "
+    f"ranked AS (SELECT comp, CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) "
+    f"AS cluster_no FROM comp), "
+    f"labels AS (SELECT 'row' AS side, comp AS node, cluster_no FROM ranked UNION ALL "
+    f"SELECT 'column' AS side, e.second_field AS node, ranked.cluster_no FROM e "
+    f"JOIN ranked ON e.first_field = ranked.comp) ")
+
+
+def _planted(spark, sf_dir):
+    return cluster_bipartite(region_stars(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS)
+
+
+def q_planted_labels(spark, sf_dir):
+    return _planted(spark, sf_dir).labels
+
+
+def q_planted_sizes(spark, sf_dir):
+    labels = _planted(spark, sf_dir).labels
+    return labels.groupBy("cluster_no", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_cluster_cost(spark, sf_dir):
+    """AGG11/CLU3: WSSSE recomputed from the predictions and final centres
+    against the cost Spark reports.  Spark measures its cost at the last
+    assignment step, before the final centre update, so the two agree to a
+    small relative gap, compared at 3 decimals."""
+    c = cluster_bipartite(part_supplier(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS)
+    check = recomputed_cost(c.kmeans)
+    gap = (F.col("cost") - F.lit(c.kmeans.cost)) / F.greatest(F.col("cost"), F.lit(1e-300))
+    return check.select("n_points", (F.round(gap, 3) + F.lit(0.0)).alias("cost_gap"))
+
+
+def q_labels_part_supplier(spark, sf_dir):
+    return cluster_bipartite(part_supplier(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS).labels
+
+
+SPECTRAL = {
+    "trivial_vector": (
+        q_trivial_vector,
+        f"WITH e AS ({PART_SUPPLIER_SQL}), t AS (SELECT sum(weight) AS total FROM e) "
+        f"SELECT 'row' AS side, first_field AS node, round(1 / sqrt(total), 9) + 0.0 AS z0 "
+        f"FROM (SELECT DISTINCT first_field FROM e), t UNION ALL "
+        f"SELECT 'column', second_field, round(1 / sqrt(total), 9) + 0.0 "
+        f"FROM (SELECT DISTINCT second_field FROM e), t"),
+    "embedding_orthogonality": (q_embedding_orthogonality, _orth_sql()),
+    "embedding_union": (
+        q_embedding_union,
+        f"SELECT DISTINCT 'row' AS side, first_field AS node FROM ({PART_SUPPLIER_SQL}) "
+        f"UNION ALL SELECT DISTINCT 'column', second_field FROM ({PART_SUPPLIER_SQL})"),
+    "planted_labels": (q_planted_labels, _PLANTED_CTE + "SELECT * FROM labels"),
+    "planted_sizes": (q_planted_sizes,
+                      _PLANTED_CTE + "SELECT cluster_no, side, count(*) AS n FROM labels "
+                      "GROUP BY 1, 2"),
+    "cluster_cost": (
+        q_cluster_cost,
+        f"SELECT (SELECT count(DISTINCT first_field) FROM ({PART_SUPPLIER_SQL})) + "
+        f"(SELECT count(DISTINCT second_field) FROM ({PART_SUPPLIER_SQL})) AS n_points, "
+        f"CAST(0.0 AS DOUBLE) AS cost_gap"),
+    # k-means labels of a graph without planted blocks: no SQL form.
+    "labels_part_supplier": (q_labels_part_supplier, None),
+}
+
+
 REGISTRY: dict = {}
 REGISTRY.update(RELATIONAL)
+REGISTRY.update(MATRIX)
+REGISTRY.update(RECORDS)
+REGISTRY.update(SPECTRAL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.top_edges(segment_priority(spark, sf_dir))
+    """Edges of customer segment x order priority, then both sides clustered."""
+    return cluster_bipartite(segment_priority(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS).labels
