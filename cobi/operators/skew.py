@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 _SALT = "_cobi_salt"
@@ -27,17 +27,21 @@ _ROWS = "_cobi_rows"
 
 def hot_keys(left: DataFrame, key: str, min_hot_rows: int,
              num_partitions: int | None = None) -> list[tuple[object, int]]:
-    """Hot keys of ``left`` and the number of buckets for each (at most P rows)."""
+    """Hot keys of ``left`` and the number of buckets for each (at most P rows).
+
+    One job: the per-key counts are observed for their total while the P + 1
+    largest are taken (a bounded top-k).  At most P keys can exceed total / P,
+    so every hot key is among those P + 1.
+    """
     spark = left.sparkSession
     p = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-    stats = left.groupBy(key).agg(F.count(F.lit(1)).alias(_ROWS))
-    total = stats.agg(F.sum(_ROWS)).first()[0] or 0
+    obs = Observation()
+    stats = (left.groupBy(key).agg(F.count(F.lit(1)).alias(_ROWS))
+             .observe(obs, F.sum(_ROWS).alias("total")))
+    top = stats.orderBy(F.desc(_ROWS)).limit(p + 1).collect()
+    total = obs.get.get("total") or 0
     threshold = max(int(min_hot_rows), math.ceil(total / p), 1)
-    hot = (stats.filter(F.col(_ROWS) > threshold)
-           .select(key, F.least(F.ceil(F.col(_ROWS) / F.lit(threshold)), F.lit(p))
-                   .cast("int").alias(_BUCKETS))
-           .limit(p + 1).collect())
-    return [(r[0], int(r[1])) for r in hot]
+    return [(r[0], min(math.ceil(r[1] / threshold), p)) for r in top if r[1] > threshold]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, *, min_hot_rows: int = 100_000,

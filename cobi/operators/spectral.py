@@ -70,26 +70,33 @@ class NormalizedGraph:
 
 
 def normalized_graph(edges: DataFrame) -> NormalizedGraph:
-    """Degrees, totals and the normalised edge list, computed once and persisted."""
+    """Degrees, totals and the normalised edge list, materialised once.
+
+    One job: the degree tables are observed (node counts, total weight,
+    smallest degree) while the normalised edges are persisted and counted.
+    """
     base = edges.select(F.col("first_field").alias("r"), F.col("second_field").alias("c"),
                         F.col("weight").cast("double").alias("weight"))
-    dr = base.groupBy(F.col("r").alias("node")).agg(F.sum("weight").alias("d"))
-    dc = base.groupBy(F.col("c").alias("node")).agg(F.sum("weight").alias("d"))
-    dr = dr.persist(StorageLevel.MEMORY_AND_DISK)
-    dc = dc.persist(StorageLevel.MEMORY_AND_DISK)
-    srow = dr.agg(F.count(F.lit(1)), F.sum("d"), F.min("d")).first()
-    scol = dc.agg(F.count(F.lit(1)), F.min("d")).first()
-    m, total, min_dr = int(srow[0]), float(srow[1] or 0.0), srow[2]
-    n, min_dc = int(scol[0]), scol[1]
-    if m == 0 or n == 0:
-        raise ValueError("the graph has no edges; nothing to decompose (FLT9)")
-    if min_dr is not None and min_dr <= 0 or min_dc is not None and min_dc <= 0:
-        raise ValueError("edge weights must be positive: a node has degree <= 0")
-    norm = (base.join(dr.select(F.col("node").alias("r"), F.col("d").alias("dr")), "r")
-            .join(dc.select(F.col("node").alias("c"), F.col("d").alias("dc")), "c")
+    dr = (base.groupBy(F.col("r").alias("node")).agg(F.sum("weight").alias("d"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    dc = (base.groupBy(F.col("c").alias("node")).agg(F.sum("weight").alias("d"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    o_row, o_col = Observation(), Observation()
+    dr_seen = dr.observe(o_row, F.count(F.lit(1)).alias("m"), F.sum("d").alias("total"),
+                         F.min("d").alias("min_d"))
+    dc_seen = dc.observe(o_col, F.count(F.lit(1)).alias("n"), F.min("d").alias("min_d"))
+    norm = (base.join(dr_seen.select(F.col("node").alias("r"), F.col("d").alias("dr")), "r")
+            .join(dc_seen.select(F.col("node").alias("c"), F.col("d").alias("dc")), "c")
             .select("r", "c", (F.col("weight") / F.sqrt(F.col("dr") * F.col("dc"))).alias("w"))
             .persist(StorageLevel.MEMORY_AND_DISK))
     nnz = norm.count()
+    srow, scol = o_row.get, o_col.get
+    m, n = int(srow.get("m") or 0), int(scol.get("n") or 0)
+    total = float(srow.get("total") or 0.0)
+    if nnz == 0 or m == 0 or n == 0:
+        raise ValueError("the graph has no edges; nothing to decompose (FLT9)")
+    if (srow.get("min_d") or 0) <= 0 or (scol.get("min_d") or 0) <= 0:
+        raise ValueError("edge weights must be positive: a node has degree <= 0")
     inv_total = 1.0 / total
     row_init = dr.select("node", F.sqrt(F.col("d") * F.lit(inv_total)).alias("t"))
     col_init = dc.select("node", F.sqrt(F.col("d") * F.lit(inv_total)).alias("t"))

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from cobi.operators.cluster import ClusterResult, kmeans_labels
-from cobi.operators.edges import build_edges, is_empty
+from cobi.operators.edges import build_edges
 from cobi.operators.spectral import SpectralResult, spectral_embedding
 from cobi.operators.sweep import sweep_edges
 from cobi.sources import sinks
@@ -39,8 +39,6 @@ def cluster_bipartite(edges: DataFrame, k: int = DEFAULT_CLUSTERS, *, runs: int
 
     Raises on an empty graph (Q9) instead of returning nothing.
     """
-    if is_empty(edges):
-        raise ValueError("empty graph: no edges to cluster")
     spec = spectral_embedding(edges, k, discard=discard, width=width, max_iter=iterations,
                               seed=seed, **spectral_options)
     emb = spec.embedding.persist(StorageLevel.MEMORY_AND_DISK)
