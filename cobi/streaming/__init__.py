@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference is a batch job: it has no streams, watermarks, windows or
+state, so nothing is built here.  The edge builders are plain DataFrame
+plans; given a streaming side B, ``build_edges`` forms a stream-static join
+followed by an aggregate, which Structured Streaming runs in ``complete`` or
+``update`` output mode without further code.
+"""
