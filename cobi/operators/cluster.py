@@ -26,6 +26,12 @@ class ClusterResult:
     seed: int
 
 
+def points_partitions(n_points: int, width: int, target_bytes: int = 32 << 20) -> int:
+    """Partitions for the k-means input: about ``target_bytes`` of vectors each
+    (node name and overhead counted as 64 bytes a row)."""
+    return max(1, -(-(n_points * (8 * width + 64)) // target_bytes))
+
+
 def _points(embedding: DataFrame, num_partitions: int | None) -> DataFrame:
     """Feature vectors in a partitioning that does not depend on the input:
     hash by (side, node) into a fixed count, sorted inside each partition, so
@@ -52,7 +58,11 @@ def canonical_labels(pred: DataFrame, prediction_col: str = "prediction") -> Dat
 def kmeans_labels(embedding: DataFrame, k: int, *, runs: int = 10, max_iter: int = 300,
                   seed: int = 0, init_mode: str = "k-means||", tol: float = 1e-4,
                   num_partitions: int | None = None) -> ClusterResult:
-    """CLU1 + CLU2: best-of-``runs`` k-means, labels for every node."""
+    """CLU1 + CLU2: best-of-``runs`` k-means, labels for every node.
+
+    ``num_partitions`` fixes the layout of the points (default: the session's
+    shuffle partitions); ``cluster_bipartite`` sizes it from the node count.
+    """
     points = _points(embedding, num_partitions)
     best = None
     for s in range(seed, seed + max(1, runs)):

@@ -109,6 +109,7 @@ class SpectralResult:
     sigma: list[float]        # singular values kept, descending
     iterations: int
     width: int
+    n_nodes: int = 0          # m + n
 
 
 def _fcols(b: int) -> list[str]:
@@ -314,7 +315,7 @@ def spectral_embedding(edges: DataFrame, k: int = 5, *, discard: str = "trivial"
     U_final = _apply(W, b, R_sel / sigma[sel], U_shift)
     V_final = _apply(V, b, R_sel, np.zeros(len(sel)))
     emb = _stack(U_final, V_final, len(sel), g.total)
-    return SpectralResult(emb, [float(sigma[i]) for i in sel], it, len(sel))
+    return SpectralResult(emb, [float(sigma[i]) for i in sel], it, len(sel), g.m + g.n)
 
 
 def _stack(U: DataFrame, V: DataFrame, width: int, total: float) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from cobi.operators.cluster import ClusterResult, kmeans_labels
+from cobi.operators.cluster import ClusterResult, kmeans_labels, points_partitions
 from cobi.operators.edges import build_edges
 from cobi.operators.spectral import SpectralResult, spectral_embedding
 from cobi.operators.sweep import sweep_edges
@@ -42,7 +42,8 @@ def cluster_bipartite(edges: DataFrame, k: int = DEFAULT_CLUSTERS, *, runs: int
     spec = spectral_embedding(edges, k, discard=discard, width=width, max_iter=iterations,
                               seed=seed, **spectral_options)
     emb = spec.embedding.persist(StorageLevel.MEMORY_AND_DISK)
-    km = kmeans_labels(emb, k, runs=runs, max_iter=max_iter, seed=seed)
+    km = kmeans_labels(emb, k, runs=runs, max_iter=max_iter, seed=seed,
+                       num_partitions=points_partitions(spec.n_nodes, spec.width))
     return Clustering(km.labels, spec, km)
 
 
