@@ -55,6 +55,17 @@ def keep_node(c: Column, extra_tokens: Iterable[str] = ()) -> Column:
     return c.isNotNull() & ~is_missing_token(c, extra_tokens)
 
 
+def keep_column(df: DataFrame, name: str, extra_tokens: Iterable[str] = ()) -> Column:
+    """``keep_node`` for a column of ``df``: the token test only runs on
+    string-like columns; numbers, booleans, dates and timestamps never print
+    as a missing token, so for them only null drops."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
+                          T.TimestampNTZType)):
+        return F.col(name).isNotNull()
+    return keep_node(F.col(name), extra_tokens)
+
+
 def type_is_string(type_name: Column) -> Column:
     """FLT5: a description's type name contains ``string`` once lower-cased
     and stripped of whitespace (so ``varchar``/``char`` do not count, Q18)."""

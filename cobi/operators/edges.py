@@ -16,7 +16,7 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cobi.functions.clean import (is_fractional, is_integral, is_long_key, keep_node,
+from cobi.functions.clean import (is_fractional, is_integral, is_long_key, keep_column,
                                   resolve_column)
 from cobi.operators.skew import salted_join
 
@@ -51,9 +51,8 @@ def clean_side(df: DataFrame, key: str, node: str, min_key: int, *, as_long: boo
         key_ok = k.isNotNull() & (k >= F.lit(min_key))
     else:
         key_ok = is_long_key(k) & (k.try_cast("bigint") >= F.lit(min_key))
-    n = F.col(node)
-    return df.filter(key_ok & keep_node(n, extra_tokens)).select(
-        k.alias("key"), n.cast("string").alias("node"))
+    return df.filter(key_ok & keep_column(df, node, extra_tokens)).select(
+        k.alias("key"), F.col(node).cast("string").alias("node"))
 
 
 def cap_rows(df: DataFrame, limit: int | None, order_by: list[str] | None) -> DataFrame:
@@ -103,7 +102,7 @@ def edges_from_pairs(df: DataFrame, col_a: str, col_b: str, extra_tokens=()) ->
     """E2E8: one table of connected pairs -> edges weighted by pair count."""
     a = resolve_column(df, col_a)
     b = resolve_column(df, col_b)
-    return (df.filter(keep_node(F.col(a), extra_tokens) & keep_node(F.col(b), extra_tokens))
+    return (df.filter(keep_column(df, a, extra_tokens) & keep_column(df, b, extra_tokens))
             .groupBy(F.col(a).cast("string").alias("first_field"),
                      F.col(b).cast("string").alias("second_field"))
             .agg(F.count(F.lit(1)).cast("double").alias("weight")))
@@ -157,7 +156,7 @@ def inverted_index(df: DataFrame, key: str, node: str, order_cols: list[str], *,
     k = _key_column(numbered, key, as_long)
     key_ok = ((k.isNotNull() & (k >= F.lit(min_key))) if as_long
               else (is_long_key(k) & (k.try_cast("bigint") >= F.lit(min_key))))
-    kept = numbered.filter(key_ok & keep_node(F.col(node), extra_tokens))
+    kept = numbered.filter(key_ok & keep_column(numbered, node, extra_tokens))
     return kept.select(F.col(node).cast("string").alias("node"), k.alias("key"), "row_id")
 
 

@@ -136,10 +136,14 @@ def _salted_layout(g: NormalizedGraph, src: str, min_hot_rows: int):
                               .otherwise(F.pmod(F.xxhash64(other), F.col(_BUCKETS))
                                          .cast("int")))
                   .drop(_BUCKETS))
+        keys = [src, _SALT]
     else:
+        # No hot node: partition by the node alone (a constant salt would be
+        # folded out of the join keys and force a re-shuffle of the edges).
         hot_df = None
-        salted = g.edges.withColumn(_SALT, F.lit(0))
-    layout = (salted.repartition(p, src, _SALT).persist(StorageLevel.MEMORY_AND_DISK), hot_df, p)
+        salted = g.edges
+        keys = [src]
+    layout = (salted.repartition(p, *keys).persist(StorageLevel.MEMORY_AND_DISK), hot_df, p, keys)
     g._layouts[src] = layout
     return layout
 
@@ -154,17 +158,16 @@ def _half_step(g: NormalizedGraph, factors: DataFrame, n_factor_rows: int, src:
     if n_factor_rows * (b + 2) * 8 <= broadcast_bytes:
         joined = g.edges.join(F.broadcast(fac), src)
     else:
-        edges, hot_df, p = _salted_layout(g, src, min_hot_rows)
+        edges, hot_df, p, keys = _salted_layout(g, src, min_hot_rows)
         if hot_df is not None:
             fac = (fac.join(hot_df, src, "left")
                    .withColumn(_SALT, F.explode(
                        F.when(F.col(_BUCKETS).isNull(), F.array(F.lit(0)))
                        .otherwise(F.sequence(F.lit(0), F.col(_BUCKETS) - 1))))
                    .drop(_BUCKETS))
-        else:
-            fac = fac.withColumn(_SALT, F.lit(0))
-        fac = fac.repartition(p, src, _SALT).hint("shuffle_hash")
-        joined = edges.join(fac, [src, _SALT])
+        # Same hash layout as the cached edges: only the factor block moves.
+        fac = fac.repartition(p, *keys).hint("shuffle_hash")
+        joined = edges.join(fac, keys)
     w = F.col("w")
     return joined.groupBy(F.col(dst).alias("node")).agg(
         *[F.sum(w * F.col(c)).alias(c) for c in cols])
