@@ -67,6 +67,13 @@ class NormalizedGraph:
     nnz: int
     total: float
     _layouts: dict = field(default_factory=dict)
+    _cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Unpersist the cached degree tables, edges and edge layouts."""
+        for df in [*self._cached, self.edges, *(v[0] for v in self._layouts.values())]:
+            df.unpersist()
+        self._layouts.clear()
 
 
 def normalized_graph(edges: DataFrame) -> NormalizedGraph:
@@ -100,7 +107,7 @@ def normalized_graph(edges: DataFrame) -> NormalizedGraph:
     inv_total = 1.0 / total
     row_init = dr.select("node", F.sqrt(F.col("d") * F.lit(inv_total)).alias("t"))
     col_init = dc.select("node", F.sqrt(F.col("d") * F.lit(inv_total)).alias("t"))
-    return NormalizedGraph(norm, row_init, col_init, m, n, nnz, total)
+    return NormalizedGraph(norm, row_init, col_init, m, n, nnz, total, _cached=[dr, dc])
 
 
 @dataclass
@@ -318,6 +325,9 @@ def spectral_embedding(edges: DataFrame, k: int = 5, *, discard: str = "trivial"
     U_final = _apply(W, b, R_sel / sigma[sel], U_shift)
     V_final = _apply(V, b, R_sel, np.zeros(len(sel)))
     emb = _stack(U_final, V_final, len(sel), g.total)
+    if graph is None:
+        # The result reads only checkpointed blocks, never the cached edges.
+        g.release()
     return SpectralResult(emb, [float(sigma[i]) for i in sel], it, len(sel), g.m + g.n)
 
 
