@@ -94,3 +94,36 @@ def edges_for_pair(a: DataFrame, b: DataFrame, key_a: str, key_b: str, node_a: s
                    node_b: str, **options) -> DataFrame:
     """E2E1 under its pair-run name."""
     return build_edges(a, b, key_a, key_b, node_a, node_b, **options)
+
+
+def cluster_sweep(sweep: DataFrame, k: int = DEFAULT_CLUSTERS,
+                  pairs: list[tuple[str, str]] | None = None, **options) -> DataFrame:
+    """E2E3 + E2E6: cluster the edge list of each requested field pair of a
+    sweep -> (column_a, column_b, side, node, cluster_no).
+
+    The sweep itself is one job; clustering is iterative per pair, so it is a
+    loop over the requested pairs (metadata, one entry per column pair).
+    Pairs whose graph is empty or of rank 1 are skipped.
+    """
+    from pyspark.sql import functions as F
+
+    sweep = sweep.persist(StorageLevel.MEMORY_AND_DISK)
+    if pairs is None:
+        pairs = [(r.column_a, r.column_b) for r in
+                 sweep.select("column_a", "column_b").distinct().orderBy("column_a", "column_b")
+                 .collect()]
+    out = None
+    for ca, cb in pairs:
+        edges = (sweep.filter((F.col("column_a") == ca) & (F.col("column_b") == cb))
+                 .select("first_field", "second_field", "weight"))
+        try:
+            labels = cluster_bipartite(edges, k, **options).labels
+        except ValueError:
+            continue
+        labels = labels.select(F.lit(ca).alias("column_a"), F.lit(cb).alias("column_b"), "*")
+        out = labels if out is None else out.unionByName(labels)
+    if out is None:
+        spark = sweep.sparkSession
+        return spark.createDataFrame([], "column_a string, column_b string, side string, "
+                                         "node string, cluster_no int")
+    return out

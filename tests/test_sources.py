@@ -85,3 +85,14 @@ def test_label_and_indexed_sinks(spark, tmp_out):
     sinks.write_node_labels(labels, tmp_out + "/all")
     assert spark.read.parquet(tmp_out + "/all").count() == 3
     assert F is not None
+
+
+def test_cluster_sweep(spark):
+    from cobi.operators.sweep import sweep_edges
+    from cobi.plans.runs import cluster_sweep
+    sw = sweep_edges(table(spark, "customer"), table(spark, "orders"), "c_custkey", "o_custkey",
+                     ["c_mktsegment"], ["o_orderstatus", "o_orderpriority"])
+    labels = cluster_sweep(sw, 3, runs=1, iterations=3)
+    got = {(r.column_b, r.side) for r in labels.select("column_b", "side").distinct().collect()}
+    assert got == {(b, s) for b in ("o_orderstatus", "o_orderpriority") for s in ("row", "column")}
+    assert labels.filter("cluster_no < 0 OR cluster_no >= 3").count() == 0
