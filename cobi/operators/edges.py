@@ -51,8 +51,12 @@ def clean_side(df: DataFrame, key: str, node: str, min_key: int, *, as_long: boo
         key_ok = k.isNotNull() & (k >= F.lit(min_key))
     else:
         key_ok = is_long_key(k) & (k.try_cast("bigint") >= F.lit(min_key))
+    # Integral node values are grouped and joined as numbers (cheaper to hash)
+    # and turned into strings after the last aggregate; their decimal form is
+    # canonical, so the string relation is the same.
+    nv = F.col(node) if is_integral(df, node) else F.col(node).cast("string")
     return df.filter(key_ok & keep_column(df, node, extra_tokens)).select(
-        k.alias("key"), F.col(node).cast("string").alias("node"))
+        k.alias("key"), nv.alias("node"))
 
 
 def cap_rows(df: DataFrame, limit: int | None, order_by: list[str] | None) -> DataFrame:
@@ -93,19 +97,23 @@ def build_edges(a: DataFrame, b: DataFrame, key_a: str, key_b: str, node_a: str,
         joined = salted_join(ca, cb, "key", min_hot_rows=min_hot_rows)
     else:
         joined = ca.join(cb, "key")
-    return (joined.groupBy(F.col("node_a").alias("first_field"),
-                           F.col("node_b").alias("second_field"))
-            .agg(F.sum(F.col("ca") * F.col("cb")).cast("double").alias("weight")))
+    return (joined.groupBy("node_a", "node_b")
+            .agg(F.sum(F.col("ca") * F.col("cb")).cast("double").alias("weight"))
+            .select(F.col("node_a").cast("string").alias("first_field"),
+                    F.col("node_b").cast("string").alias("second_field"), "weight"))
 
 
 def edges_from_pairs(df: DataFrame, col_a: str, col_b: str, extra_tokens=()) -> DataFrame:
     """E2E8: one table of connected pairs -> edges weighted by pair count."""
     a = resolve_column(df, col_a)
     b = resolve_column(df, col_b)
+    ka = F.col(a) if is_integral(df, a) else F.col(a).cast("string")
+    kb = F.col(b) if is_integral(df, b) else F.col(b).cast("string")
     return (df.filter(keep_column(df, a, extra_tokens) & keep_column(df, b, extra_tokens))
-            .groupBy(F.col(a).cast("string").alias("first_field"),
-                     F.col(b).cast("string").alias("second_field"))
-            .agg(F.count(F.lit(1)).cast("double").alias("weight")))
+            .groupBy(ka.alias("_a"), kb.alias("_b"))
+            .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+            .select(F.col("_a").cast("string").alias("first_field"),
+                    F.col("_b").cast("string").alias("second_field"), "weight"))
 
 
 def top_edges(edges: DataFrame, n: int | None = None) -> DataFrame:
