@@ -25,10 +25,14 @@ def col_degrees(edges: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """Both sides -> (side, node, degree)."""
-    return (row_degrees(edges).select(F.lit("row").alias("side"), "node", "degree")
-            .unionByName(col_degrees(edges).select(F.lit("column").alias("side"), "node",
-                                                   "degree")))
+    """Both sides -> (side, node, degree), in one aggregate: every edge is
+    emitted once per side (a two-element explode, no shuffle) and summed by
+    (side, node) with map-side partial sums, so the edges are read once."""
+    both = F.explode(F.array(
+        F.struct(F.lit("row").alias("side"), F.col("first_field").alias("node"), "weight"),
+        F.struct(F.lit("column").alias("side"), F.col("second_field").alias("node"), "weight")))
+    return (edges.select(both.alias("e")).select("e.side", "e.node", "e.weight")
+            .groupBy("side", "node").agg(F.sum("weight").alias("degree")))
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -41,13 +45,17 @@ def normalize(edges: DataFrame) -> DataFrame:
     """MAT4: An = D1^-1/2 A D2^-1/2 -> (first_field, second_field, weight, w_norm,
     d_row, d_col).
 
-    Degree tables are node-sized; the two joins let AQE choose broadcast when
-    a side is small at runtime and split skewed partitions otherwise.
+    Both degree tables come from one aggregate over the edges (``degrees``),
+    so the edge list is computed twice (degrees, entries) rather than three
+    times.  Degree tables are node-sized; the two joins let AQE choose
+    broadcast when a side is small at runtime and split skewed partitions
+    otherwise.
     """
-    dr = row_degrees(edges).select(F.col("node").alias("first_field"),
-                                   F.col("degree").alias("d_row"))
-    dc = col_degrees(edges).select(F.col("node").alias("second_field"),
-                                   F.col("degree").alias("d_col"))
+    deg = degrees(edges)
+    dr = deg.filter(F.col("side") == "row").select(F.col("node").alias("first_field"),
+                                                   F.col("degree").alias("d_row"))
+    dc = deg.filter(F.col("side") == "column").select(F.col("node").alias("second_field"),
+                                                      F.col("degree").alias("d_col"))
     return (edges.join(dr, "first_field").join(dc, "second_field")
             .withColumn("w_norm", F.col("weight") / F.sqrt(F.col("d_row") * F.col("d_col"))))
 

@@ -142,6 +142,19 @@ def q_sweep_edges(spark, sf_dir):
                        "c_custkey", "o_custkey")
 
 
+def q_edges_swapped(spark, sf_dir):
+    """A and B swapped (with their key rules): the transpose of edges_weighted."""
+    return E.build_edges(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"),
+                         "o_custkey", "c_custkey", "o_orderpriority", "c_mktsegment",
+                         min_key_a=1, min_key_b=0)
+
+
+def q_inverted_index_rows(spark, sf_dir):
+    """AGG4 in full: one row per (value, key, row number) entry of the index."""
+    return E.inverted_index(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment",
+                            ["c_custkey"], min_key=0)
+
+
 def _inverted_sql(tbl, key, node, order, min_key):
     return (f"WITH n AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS row_id FROM {tbl}) "
             f"SELECT CAST({node} AS VARCHAR) AS node, count(*) AS n_entries, "
@@ -200,6 +213,16 @@ RELATIONAL = {
     "inverted_index_b": (
         q_inverted_index_b, _inverted_sql("orders", "o_custkey", "o_orderpriority",
                                           "o_orderkey", 1)),
+    "edges_swapped": (
+        q_edges_swapped,
+        f"SELECT second_field AS first_field, first_field AS second_field, weight "
+        f"FROM ({SEGMENT_PRIORITY_SQL})"),
+    "inverted_index_rows": (
+        q_inverted_index_rows,
+        f"WITH n AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row_id "
+        f"FROM customer) SELECT CAST(c_mktsegment AS VARCHAR) AS node, "
+        f"CAST(c_custkey AS BIGINT) AS key, row_id FROM n WHERE c_custkey IS NOT NULL "
+        f"AND c_custkey >= 0 AND {Q.keep('c_mktsegment')}"),
     "indexed_table": (
         q_indexed_table,
         "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS \"Index No\", * FROM supplier"),
