@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark import StorageLevel
@@ -59,7 +60,7 @@ _BUCKETS = "_cobi_buckets"
 class NormalizedGraph:
     """An as a persisted edge list plus the sizes the engine needs."""
 
-    edges: DataFrame          # (r, c, w): normalised weights
+    edges: DataFrame          # (r, c, w): normalised weights, checkpointed
     row_init: DataFrame       # (node, t): t = sqrt(d_row / total)
     col_init: DataFrame       # (node, t): t = sqrt(d_col / total)
     m: int
@@ -70,8 +71,8 @@ class NormalizedGraph:
     _cached: list = field(default_factory=list)
 
     def release(self) -> None:
-        """Unpersist the cached degree tables, edges and edge layouts."""
-        for df in [*self._cached, self.edges, *(v[0] for v in self._layouts.values())]:
+        """Unpersist the cached degree tables and edge layouts."""
+        for df in [*self._cached, *(v[0] for v in self._layouts.values())]:
             df.unpersist()
         self._layouts.clear()
 
@@ -80,7 +81,7 @@ def normalized_graph(edges: DataFrame) -> NormalizedGraph:
     """Degrees, totals and the normalised edge list, materialised once.
 
     One job: the degree tables are observed (node counts, total weight,
-    smallest degree) while the normalised edges are persisted and counted.
+    smallest degree) while the normalised edges are checkpointed and counted.
     """
     base = edges.select(F.col("first_field").alias("r"), F.col("second_field").alias("c"),
                         F.col("weight").cast("double").alias("weight"))
@@ -92,11 +93,15 @@ def normalized_graph(edges: DataFrame) -> NormalizedGraph:
     dr_seen = dr.observe(o_row, F.count(F.lit(1)).alias("m"), F.sum("d").alias("total"),
                          F.min("d").alias("min_d"))
     dc_seen = dc.observe(o_col, F.count(F.lit(1)).alias("n"), F.min("d").alias("min_d"))
+    o_nnz = Observation()
+    # Checkpointed, not only cached: the iterations then plan against a leaf
+    # (cheap analysis) and a lost executor never replays the edge build.
     norm = (base.join(dr_seen.select(F.col("node").alias("r"), F.col("d").alias("dr")), "r")
             .join(dc_seen.select(F.col("node").alias("c"), F.col("d").alias("dc")), "c")
             .select("r", "c", (F.col("weight") / F.sqrt(F.col("dr") * F.col("dc"))).alias("w"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    nnz = norm.count()
+            .observe(o_nnz, F.count(F.lit(1)).alias("nnz"))
+            .checkpoint(eager=True))
+    nnz = int(o_nnz.get.get("nnz") or 0)
     srow, scol = o_row.get, o_col.get
     m, n = int(srow.get("m") or 0), int(scol.get("n") or 0)
     total = float(srow.get("total") or 0.0)
@@ -175,19 +180,23 @@ def _half_step(g: NormalizedGraph, factors: DataFrame, n_factor_rows: int, src:
         # Same hash layout as the cached edges: only the factor block moves.
         fac = fac.repartition(p, *keys).hint("shuffle_hash")
         joined = edges.join(fac, keys)
-    w = F.col("w")
-    return joined.groupBy(F.col(dst).alias("node")).agg(
-        *[F.sum(w * F.col(c)).alias(c) for c in cols])
+    return joined.groupBy(F.col(dst).alias("node")).agg(*_step_sums(b))
 
 
-def _gram_exprs(b: int, with_t: bool) -> list[Column]:
-    exprs = []
-    for i in range(b):
-        for j in range(i, b):
-            exprs.append(F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"g_{i}_{j}"))
+@lru_cache(maxsize=64)
+def _gram_exprs(b: int, with_t: bool) -> tuple[Column, ...]:
+    """The b(b+1)/2 Gram sums (plus b dot products with ``t``), built once per
+    width from SQL text: unresolved Columns are reusable across DataFrames."""
+    exprs = [f"sum(f{i} * f{j}) AS g_{i}_{j}" for i in range(b) for j in range(i, b)]
     if with_t:
-        exprs += [F.sum(F.col("t") * F.col(f"f{i}")).alias(f"c_{i}") for i in range(b)]
-    return exprs
+        exprs += [f"sum(t * f{i}) AS c_{i}" for i in range(b)]
+    return tuple(F.expr(e) for e in exprs)
+
+
+@lru_cache(maxsize=64)
+def _step_sums(b: int) -> tuple[Column, ...]:
+    """sum(w * x) for x in (t, f0..f{b-1}), built once per width."""
+    return tuple(F.expr(f"sum(w * {c}) AS {c}") for c in ["t", *_fcols(b)])
 
 
 def _materialize(df: DataFrame, b: int, with_t: bool):
