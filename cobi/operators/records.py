@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from cobi.functions.clean import resolve_column
 from cobi.operators.edges import cap_rows
 from cobi.operators.numbering import number_rows, record_node_id
+from cobi.operators.skew import salted_join
 
 
 @dataclass
@@ -49,20 +50,26 @@ def _records(df: DataFrame, col: str, order: list[str], limit: int | None) -> Da
 
 def build_record_graph(a: DataFrame, b: DataFrame, col_a: str, col_b: str,
                        order_a: list[str], order_b: list[str], *,
-                       limit_a: int | None = None, limit_b: int | None = None) -> RecordGraph:
+                       limit_a: int | None = None, limit_b: int | None = None,
+                       split_hot_values: bool = True,
+                       min_hot_rows: int = 100_000) -> RecordGraph:
     """E2E2: records of A and B linked by equal values of ``col_a`` / ``col_b``."""
     ra = _records(a, col_a, order_a, limit_a)
     rb = _records(b, col_b, order_b, limit_b)
     ca = ra.groupBy("value").agg(F.count(F.lit(1)).alias("n_a"))
     cb = rb.groupBy("value").agg(F.count(F.lit(1)).alias("n_b"))
     blocks = ca.join(cb, "value").withColumn("n_edges", F.col("n_a") * F.col("n_b"))
-    # The per-value count tables have one row per distinct value; joining them
-    # back on value lets AQE broadcast them when small and split hot values
-    # of the record side otherwise.
-    rows = ra.join(cb, "value").select(F.lit("row").alias("side"), "node", "value", "row_id",
-                                       F.col("n_b").cast("double").alias("degree"))
-    cols = rb.join(ca, "value").select(F.lit("column").alias("side"), "node", "value",
-                                       "row_id", F.col("n_a").cast("double").alias("degree"))
+    # The per-value count tables have one row per distinct value.  Joined back
+    # to the records on value, a hot value (many records) is split over salt
+    # buckets on the record side and its single count row replicated.
+    rows = (salted_join(ra, cb, "value", min_hot_rows=min_hot_rows) if split_hot_values
+            else ra.join(cb, "value"))
+    cols = (salted_join(rb, ca, "value", min_hot_rows=min_hot_rows) if split_hot_values
+            else rb.join(ca, "value"))
+    rows = rows.select(F.lit("row").alias("side"), "node", "value", "row_id",
+                       F.col("n_b").cast("double").alias("degree"))
+    cols = cols.select(F.lit("column").alias("side"), "node", "value", "row_id",
+                       F.col("n_a").cast("double").alias("degree"))
     return RecordGraph(rows.unionByName(cols), blocks)
 
 

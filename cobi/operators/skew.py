@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -46,7 +47,13 @@ def hot_keys(left: DataFrame, key: str, min_hot_rows: int,
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, *, min_hot_rows: int = 100_000,
                 num_partitions: int | None = None) -> DataFrame:
-    """``left.join(right, key)`` with hot keys of ``left`` split into buckets."""
+    """``left.join(right, key)`` with hot keys of ``left`` split into buckets.
+
+    ``left`` is persisted first: the detection job materialises it and the
+    join reads it back, so the (usually pre-aggregated) left side is computed
+    once, not twice.
+    """
+    left = left.persist(StorageLevel.MEMORY_AND_DISK)
     hot = hot_keys(left, key, min_hot_rows, num_partitions)
     if not hot:
         return left.join(right, key)

@@ -22,3 +22,13 @@ def test_record_graph_matches_pairs(spark):
     size = record_graph_size(g).first()
     assert size.n_edges == len(pairs)
     assert size.n_rows == len(deg_a) and size.n_cols == len(deg_b)
+
+
+def test_record_graph_hot_value_split(spark):
+    """A value held by most records is salted; the nodes are unchanged."""
+    a = spark.createDataFrame([(i, 1 if i % 10 else 2) for i in range(1, 301)], "ka long, v long")
+    b = spark.createDataFrame([(i, 1 if i % 3 else 2) for i in range(1, 31)], "kb long, v long")
+    plain = build_record_graph(a, b, "v", "v", ["ka"], ["kb"], split_hot_values=False)
+    salted = build_record_graph(a, b, "v", "v", ["ka"], ["kb"], min_hot_rows=5)
+    assert sorted(plain.nodes.collect()) == sorted(salted.nodes.collect())
+    assert record_graph_size(salted).first().n_edges == 270 * 20 + 30 * 10
