@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 _MID = "_cobi_mid"
 _PID = "_cobi_pid"
 _OFF = "_cobi_off"
+_TIE = "_cobi_tie"
 _LOCAL_BITS = 33
 
 
@@ -37,11 +38,15 @@ def number_rows(df: DataFrame, order_cols: list[str | Column], id_col: str = "ro
                 num_partitions: int | None = None, persist: bool = True) -> DataFrame:
     """WIN1: add ``id_col`` = 0-based position of each row in ``order_cols`` order.
 
-    The order should be total (add a unique column as the last tie-breaker);
-    ties are numbered in an unspecified but consistent order.
+    Rows that tie on ``order_cols`` are numbered by a hash of the whole row
+    (deterministic; exact duplicates are interchangeable).
     """
     n = _partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # A hash of the whole row breaks ties in the order: range partitioning
+    # cannot split equal keys, so without it one frequent order value would
+    # land in a single task.  The hash is deterministic, so is the numbering.
+    ranged = (df.withColumn(_TIE, F.xxhash64(*df.columns))
+              .repartitionByRange(n, *order_cols, _TIE).sortWithinPartitions(*order_cols, _TIE)
               .withColumn(_MID, F.monotonically_increasing_id()))
     if persist:
         ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
@@ -54,7 +59,7 @@ def number_rows(df: DataFrame, order_cols: list[str | Column], id_col: str = "ro
     local = F.col(_MID).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     return (ranged.join(F.broadcast(offsets), pid == F.col(_PID))
             .withColumn(id_col, (F.col(_OFF) + local).cast("long"))
-            .drop(_MID, _PID, _OFF))
+            .drop(_MID, _PID, _OFF, _TIE))
 
 
 def number_nodes(nodes: DataFrame, node_col: str = "node", id_col: str = "node_id",

@@ -27,3 +27,20 @@ def test_index_table_and_nodes(spark):
                  number_nodes(nodes, partition_cols=["side"]).collect())
     assert got == [("column", "z", 0), ("row", "a", 0), ("row", "b", 1)]
     assert spark.range(1).select(record_node_id(F.lit(3), F.lit(17))).first()[0] == "3_17"
+
+
+def test_number_rows_with_a_hot_order_value(spark):
+    """Most rows share one order value: the row hash spreads them over range
+    partitions, and the numbering is still a permutation that respects the order."""
+    from pyspark.sql import functions as F
+    df = spark.range(0, 3000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"),
+        F.col("id").alias("payload"))
+    got = number_rows(df, ["k"], num_partitions=6)
+    rows = got.orderBy("row_id").collect()
+    assert [r.row_id for r in rows] == list(range(3000))
+    ks = [r.k for r in rows]
+    assert ks == sorted(ks)
+    sizes = [r["count"] for r in
+             got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+    assert len(sizes) > 1
