@@ -115,6 +115,12 @@ def normalized_graph(edges: DataFrame) -> NormalizedGraph:
     return NormalizedGraph(norm, row_init, col_init, m, n, nnz, total, _cached=[dr, dc])
 
 
+def transposed(g: NormalizedGraph) -> NormalizedGraph:
+    """An^T of a normalised graph: the node columns swap, nothing moves."""
+    edges = g.edges.select(F.col("c").alias("r"), F.col("r").alias("c"), "w")
+    return NormalizedGraph(edges, g.col_init, g.row_init, g.n, g.m, g.nnz, g.total)
+
+
 @dataclass
 class SpectralResult:
     embedding: DataFrame      # (side, node, embedding array<double>)
@@ -280,7 +286,11 @@ def spectral_embedding(edges: DataFrame, k: int = 5, *, discard: str = "trivial"
         raise ValueError(f"discard must be one of {DISCARD_MODES}")
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    g = graph or normalized_graph(edges)
+    base_graph = graph or normalized_graph(edges)
+    # Iterate with the smaller side as "columns": that block is the one
+    # materialised and orthonormalised every iteration (transposing is free).
+    flip = base_graph.m < base_graph.n
+    g = transposed(base_graph) if flip else base_graph
     r = width or embedding_width(k)
     deflate = discard == "trivial"
     wanted = r - 1 if discard != "none" else r
@@ -333,14 +343,18 @@ def spectral_embedding(edges: DataFrame, k: int = 5, *, discard: str = "trivial"
     U_shift = (c @ R_sel) / sigma[sel] if deflate else np.zeros(len(sel))
     U_final = _apply(W, b, R_sel / sigma[sel], U_shift)
     V_final = _apply(V, b, R_sel, np.zeros(len(sel)))
-    emb = _stack(U_final, V_final, len(sel), g.total)
+    emb = _stack(U_final, V_final, len(sel), g.total,
+                 names=("column", "row") if flip else ("row", "column"))
+    if flip:
+        g.release()
     if graph is None:
         # The result reads only checkpointed blocks, never the cached edges.
-        g.release()
+        base_graph.release()
     return SpectralResult(emb, [float(sigma[i]) for i in sel], it, len(sel), g.m + g.n)
 
 
-def _stack(U: DataFrame, V: DataFrame, width: int, total: float) -> DataFrame:
+def _stack(U: DataFrame, V: DataFrame, width: int, total: float,
+           names: tuple[str, str] = ("row", "column")) -> DataFrame:
     """Scale by d^-1/2 = 1 / (t sqrt(total)) and stack rows over columns (SET1)."""
     scale = 1.0 / math.sqrt(total)
 
@@ -349,7 +363,7 @@ def _stack(U: DataFrame, V: DataFrame, width: int, total: float) -> DataFrame:
         return df.select(F.lit(name).alias("side"), "node",
                          F.array(*[F.col(f"f{j}") * inv for j in range(width)]).alias("embedding"))
 
-    return side(U, "row").unionByName(side(V, "column"))
+    return side(U, names[0]).unionByName(side(V, names[1]))
 
 
 def mllib_svd(edges: DataFrame, k: int = 5, discard: str = "last"):

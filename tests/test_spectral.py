@@ -115,3 +115,20 @@ def test_hot_node_salted_path(spark):
     assert za.keys() == zb.keys()
     for key in za:
         np.testing.assert_allclose(za[key], zb[key], atol=1e-9)
+
+
+def test_flipped_path_matches_numpy(spark, small_graph):
+    """Fewer row nodes than column nodes: the engine iterates on the
+    transposed graph and must hand back the same sides."""
+    from cobi.operators.matrix import transpose
+    t = transpose(small_graph)
+    an, rows, cols, d1, d2 = dense(t)
+    assert len(rows) < len(cols)
+    u, s, vt = np.linalg.svd(an)
+    res = spectral_embedding(t, k=5, max_iter=40, tol=1e-12)
+    np.testing.assert_allclose(res.sigma, s[1:4], rtol=1e-6)
+    emb = {(r.side, r.node): r.embedding for r in res.embedding.collect()}
+    assert {k[1] for k in emb if k[0] == "row"} == set(rows)
+    z = np.array([emb[("row", v)] for v in rows]) * np.sqrt(d1)[:, None]
+    w = u[:, 1:4]
+    np.testing.assert_allclose(z @ z.T, w @ w.T, atol=1e-6)
