@@ -132,3 +132,15 @@ def test_flipped_path_matches_numpy(spark, small_graph):
     z = np.array([emb[("row", v)] for v in rows]) * np.sqrt(d1)[:, None]
     w = u[:, 1:4]
     np.testing.assert_allclose(z @ z.T, w @ w.T, atol=1e-6)
+
+
+def test_discard_last_keeps_the_trivial_vector(spark, small_graph):
+    """Q1: the reference's code drops the *last* of r triplets; at k=2 (r=2)
+    what is left is the trivial vector, constant 1/sqrt(total) after scaling."""
+    total = small_graph.agg(F.sum("weight")).first()[0]
+    res = spectral_embedding(small_graph, k=2, discard="last", max_iter=30, tol=1e-12)
+    assert res.width == 1 and abs(res.sigma[0] - 1.0) < 1e-9
+    z = [abs(r.embedding[0]) for r in res.embedding.collect()]
+    np.testing.assert_allclose(z, 1 / np.sqrt(total), rtol=1e-6)
+    trivial = spectral_embedding(small_graph, k=2, max_iter=30, tol=1e-12)
+    assert trivial.width == 1 and trivial.sigma[0] < 1.0 - 1e-6
