@@ -18,7 +18,7 @@ from cobi.operators.spectral import spectral_embedding
 from cobi.operators.numbering import index_table
 from cobi.operators.sweep import sweep_edges
 from cobi.plans import sqlbits as Q
-from cobi.plans.runs import cluster_bipartite
+from cobi.plans.runs import cluster_bipartite, cluster_sweep
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -427,6 +427,14 @@ def q_cluster_cost(spark, sf_dir):
     return check.select("n_points", (F.round(gap, 3) + F.lit(0.0)).alias("cost_gap"))
 
 
+def q_sweep_labels(spark, sf_dir):
+    """E2E3 + E2E6: every string-field pair of customer x orders, each pair's
+    graph clustered (rank-1 pairs are skipped by ``cluster_sweep``)."""
+    sw = sweep_edges(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"),
+                     "c_custkey", "o_custkey")
+    return cluster_sweep(sw, SPECTRAL_K, runs=KMEANS_RUNS)
+
+
 def q_labels_part_supplier(spark, sf_dir):
     return cluster_bipartite(part_supplier(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS).labels
 
@@ -453,8 +461,9 @@ SPECTRAL = {
         f"SELECT (SELECT count(DISTINCT first_field) FROM ({PART_SUPPLIER_SQL})) + "
         f"(SELECT count(DISTINCT second_field) FROM ({PART_SUPPLIER_SQL})) AS n_points, "
         f"CAST(0.0 AS DOUBLE) AS cost_gap"),
-    # k-means labels of a graph without planted blocks: no SQL form.
+    # k-means labels of graphs without planted blocks: no SQL form.
     "labels_part_supplier": (q_labels_part_supplier, None),
+    "sweep_labels": (q_sweep_labels, None),
 }
 
 
