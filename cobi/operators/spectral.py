@@ -366,7 +366,7 @@ def _stack(U: DataFrame, V: DataFrame, width: int, total: float,
     return side(U, names[0]).unionByName(side(V, names[1]))
 
 
-def mllib_svd(edges: DataFrame, k: int = 5, discard: str = "last"):
+def mllib_svd(edges: DataFrame, k: int = 5):
     """Cross-check engine: MLlib ``IndexedRowMatrix.computeSVD`` on An, as the
     reference does.  V comes back as a driver-local n x r matrix, so this is
     for moderate column counts only.  Returns (sigma, U rows, V local, numbering)."""
