@@ -377,3 +377,41 @@ def mllib_svd(edges: DataFrame, k: int = 5):
     r = embedding_width(k)
     svd = mat.computeSVD(r, computeU=True)
     return svd.s.toArray(), svd.U, svd.V.toArray(), rows, cols
+
+
+def mllib_embedding(edges: DataFrame, k: int = 5, discard: str = "last") -> SpectralResult:
+    """MAT6-MAT8 through MLlib, as the reference computes them: the top r
+    triplets of An with ``computeSVD`` (no deflation), then one dropped by
+    ``discard`` ('last' as in the reference's code, 'first' as in its comments,
+    'none').  V is a driver-local n x r matrix and U's rows pass through
+    Python, so this engine is for cross-checks on moderate graphs; the
+    DataFrame engine above is the one that scales.
+    """
+    if discard not in ("none", "first", "last"):
+        raise ValueError("the MLlib engine supports discard='none', 'first' or 'last'")
+    from cobi.operators.matrix import degrees
+
+    spark = edges.sparkSession
+    sigma, U, V, rows, cols = mllib_svd(edges, k)
+    r = len(sigma)
+    sel = list(range(r))
+    if discard == "first":
+        sel = sel[1:]
+    elif discard == "last":
+        sel = sel[:-1]
+    if not sel:
+        raise ValueError("no singular vectors left after the discard rule")
+    u = spark.createDataFrame(
+        U.rows.map(lambda row: (int(row.index), [float(row.vector[j]) for j in sel])),
+        "i long, f array<double>")
+    v = spark.createDataFrame([(j, [float(V[j, c]) for c in sel]) for j in range(V.shape[0])],
+                              "j long, f array<double>")
+    deg = degrees(edges)
+    scale = lambda f: F.transform(f, lambda x: x / F.sqrt(F.col("degree")))
+    row_side = (u.join(rows, "i").join(deg.filter(F.col("side") == "row"), "node")
+                .select("side", "node", scale(F.col("f")).alias("embedding")))
+    col_side = (v.join(cols, "j").join(deg.filter(F.col("side") == "column"), "node")
+                .select("side", "node", scale(F.col("f")).alias("embedding")))
+    emb = row_side.unionByName(col_side)
+    n_nodes = rows.count() + cols.count()
+    return SpectralResult(emb, [float(sigma[i]) for i in sel], 0, len(sel), n_nodes)

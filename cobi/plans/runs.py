@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cobi.operators.cluster import ClusterResult, kmeans_labels, points_partitions
 from cobi.operators.edges import build_edges
-from cobi.operators.spectral import SpectralResult, spectral_embedding
+from cobi.operators.spectral import SpectralResult, mllib_embedding, spectral_embedding
 from cobi.operators.sweep import sweep_edges
 from cobi.sources import sinks
 from cobi.sources.describe import collect_field_names, read_description, string_fields
@@ -33,14 +33,20 @@ class Clustering:
 
 def cluster_bipartite(edges: DataFrame, k: int = DEFAULT_CLUSTERS, *, runs: int = 10,
                       max_iter: int = 300, seed: int = 0, discard: str = "trivial",
-                      width: int | None = None, iterations: int = 8,
+                      width: int | None = None, iterations: int = 8, engine: str = "dataframe",
                       **spectral_options) -> Clustering:
     """E2E6: edge list -> labels of row and column nodes.
 
+    ``engine='mllib'`` uses MLlib's ``computeSVD`` the way the reference does
+    (driver-local V; for cross-checks), with ``discard`` 'last' by default.
+
     Raises on an empty graph (Q9) instead of returning nothing.
     """
-    spec = spectral_embedding(edges, k, discard=discard, width=width, max_iter=iterations,
-                              seed=seed, **spectral_options)
+    if engine == "mllib":
+        spec = mllib_embedding(edges, k, discard="last" if discard == "trivial" else discard)
+    else:
+        spec = spectral_embedding(edges, k, discard=discard, width=width, max_iter=iterations,
+                                  seed=seed, **spectral_options)
     emb = spec.embedding.persist(StorageLevel.MEMORY_AND_DISK)
     km = kmeans_labels(emb, k, runs=runs, max_iter=max_iter, seed=seed,
                        num_partitions=points_partitions(spec.n_nodes, spec.width))
