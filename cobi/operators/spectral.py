@@ -366,12 +366,18 @@ def _stack(U: DataFrame, V: DataFrame, width: int, total: float,
     return side(U, names[0]).unionByName(side(V, names[1]))
 
 
-def mllib_svd(edges: DataFrame, k: int = 5):
+def mllib_svd(edges: DataFrame, k: int = 5, max_local_columns: int = 1_000_000):
     """Cross-check engine: MLlib ``IndexedRowMatrix.computeSVD`` on An, as the
-    reference does.  V comes back as a driver-local n x r matrix, so this is
-    for moderate column counts only.  Returns (sigma, U rows, V local, numbering)."""
+    reference does.  V comes back as a driver-local n x r matrix, so the
+    column count is checked first and graphs with more than
+    ``max_local_columns`` column nodes are refused (use ``spectral_embedding``).
+    Returns (sigma, U rows, V local, row numbering, column numbering)."""
     from cobi.operators.matrix import indexed_row_matrix, normalize
 
+    n_cols = edges.select("second_field").distinct().count()
+    if n_cols > max_local_columns:
+        raise ValueError(f"{n_cols} column nodes: too many for a driver-local V; "
+                         "use spectral_embedding (DataFrame engine)")
     norm = normalize(edges)
     mat, rows, cols = indexed_row_matrix(norm, "w_norm")
     r = embedding_width(k)
