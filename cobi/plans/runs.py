@@ -50,6 +50,9 @@ def cluster_bipartite(edges: DataFrame, k: int = DEFAULT_CLUSTERS, *, runs: int
     emb = spec.embedding.persist(StorageLevel.MEMORY_AND_DISK)
     km = kmeans_labels(emb, k, runs=runs, max_iter=max_iter, seed=seed,
                        num_partitions=points_partitions(spec.n_nodes, spec.width))
+    # The fits cached their own copy of the points; the embedding can go (it
+    # recomputes from checkpointed blocks if it is ever needed again).
+    emb.unpersist()
     return Clustering(km.labels, spec, km)
 
 
