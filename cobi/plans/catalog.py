@@ -58,6 +58,8 @@ def q_edges_weighted(spark, sf_dir):
 
 
 def _dirty_priority(o):
+    # Every row is kept; the key's last digit only picks which missing-value
+    # token (or the real value) the row carries.
     m = o.o_orderkey % 10
     return (F.when(m == 0, F.lit("\\N")).when(m == 1, F.lit("N/A"))
             .when(m == 2, F.lit("None")).when(m == 3, F.lit("na"))
@@ -108,6 +110,9 @@ def q_edges_top(spark, sf_dir):
 
 
 def q_edges_limited(spark, sf_dir):
+    """LIM1, the reference's own row-cap feature (``testLimitNodes``), under
+    test: table B is capped at its first 5,000 rows by order key.  The cap is
+    the operator being checked, not a way to make the check cheaper."""
     return E.build_edges(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"),
                          "c_custkey", "o_custkey", "c_mktsegment", "o_orderpriority",
                          limit_b=5000, order_b=["o_orderkey"])
