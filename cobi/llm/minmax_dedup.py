@@ -222,7 +222,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = saved(base.mapInArrow(_signatures(size, bands, per_band), _SIGNATURE), "minmax")
     real = sig.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # classes and buckets are written before they are joined: the join then
+    # reads two plain shuffles, of which Spark can split a hot key
+    classes = saved(real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "keys")
     member = saved(real.select("doc_id", "k1", "k2", "n_shingles")
                    .join(classes, ["k1", "k2", "n_shingles"])
                    .select("doc_id", "rep", F.col("n_shingles").alias("n")), "classes")
@@ -230,8 +232,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = (sig.join(reps.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
             .where("n_shingles = n")
             .select("doc_id", F.posexplode("bands").alias("band", "key")))
-    buckets = (rows.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))
-               .where("c > 1").select("band", "key", "low"))
+    buckets = saved(rows.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))
+                    .where("c > 1").select("band", "key", "low"), "buckets")
     stars = rows.join(buckets, ["band", "key"]).select(F.col("low").alias("u"), F.col("doc_id").alias("v"))
     candidate = saved(components(stars, "candidates"), "components").join(
         reps.withColumnRenamed("rep", "node"), "node")

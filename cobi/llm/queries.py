@@ -1,7 +1,8 @@
 """Registered queries of the training-data operators: name -> (function, oracle SQL or None)."""
 
-from cobi.llm import minmax_dedup
+from cobi.llm import doubling_dedup, minmax_dedup
 
 QUERIES = {
+    "op3_doubling_dedup": (doubling_dedup.query, None),
     "op10_minmax_dedup": (minmax_dedup.query, None),
 }
