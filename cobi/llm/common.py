@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from cobi.session import ensure_checkpoint_dir
@@ -28,3 +29,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Shared:
+    """A broadcast value whose class the executors need not import."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._bytes.value)
+        return self._value
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_value": None}

@@ -201,3 +201,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op3: repeated 13-word passages of all ``documents``."""
     from cobi.llm.common import table
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+ORACLE_SQL = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS g FROM (
+          SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM low WHERE len(w) >= 13)),
+least AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p FROM (
+           SELECT win.doc_id, unnest(range(s, s + 13)) AS p FROM win JOIN least ON win.g = least.g WHERE lo < win.doc_id)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM low),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t
+         FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY doc_id)
+SELECT low.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM low LEFT JOIN kept ON low.doc_id = kept.doc_id
+"""

@@ -268,3 +268,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op10: near duplicates of all ``documents`` at 0.85."""
     from cobi.llm.common import table
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM low WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+link AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.g = y.g
+                        AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id) p
+  JOIN size s ON s.doc_id = p.a JOIN size t ON t.doc_id = p.b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT low.doc_id, coalesce(n, 0) AS n_shingles, least(low.doc_id, coalesce(r.m, low.doc_id)) AS component_id,
+       low.doc_id <= coalesce(r.m, low.doc_id) AS kept
+FROM low LEFT JOIN size ON size.doc_id = low.doc_id
+LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = low.doc_id
+"""

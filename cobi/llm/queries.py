@@ -1,8 +1,20 @@
-"""Registered queries of the training-data operators: name -> (function, oracle SQL or None)."""
+"""Registered queries of the training-data operators: name -> (function, oracle
+SQL or None).  Most results hold hashes, trees, tokens or keyed permutations
+that SQL cannot express; ``tests/llm`` compares them with brute force."""
 
-from cobi.llm import doubling_dedup, minmax_dedup
+import corpus_pipeline
+from cobi.llm import ctw, decontaminate, doubling_dedup, main_text, merkle, minmax_dedup, packing, pii, quality, shards
 
 QUERIES = {
-    "op3_doubling_dedup": (doubling_dedup.query, None),
-    "op10_minmax_dedup": (minmax_dedup.query, None),
+    "op1_pii_pseudonyms": (pii.query, None),
+    "op2_main_text": (main_text.query, None),
+    "op3_doubling_dedup": (doubling_dedup.query, doubling_dedup.ORACLE_SQL),
+    "op4_decontaminate": (decontaminate.query, decontaminate.ORACLE_SQL),
+    "op5_importance_resampling": (quality.query, None),
+    "op6_merkle": (merkle.query, None),
+    "op7_training_order": (shards.query, None),
+    "op8_bin_completion": (packing.query, None),
+    "op9_ctw": (ctw.query, None),
+    "op10_minmax_dedup": (minmax_dedup.query, minmax_dedup.ORACLE_SQL),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
