@@ -81,8 +81,11 @@ def word_keys(w: W.Words) -> np.ndarray:
 
 def _count(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often each is a training one."""
-    keys, place = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(place[train], minlength=len(keys))
+    own, n = W.counted(keys[train])
+    keys = W.distinct(keys)
+    out = np.zeros(len(keys), dtype=np.int64)
+    out[np.searchsorted(keys, own)] = n
+    return keys, out
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

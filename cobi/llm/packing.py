@@ -236,7 +236,7 @@ _PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, blo
 
 def _pieces(size: int, tokenizer: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, block = Encoder.shared(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             for rows, data, offsets in W.chunks(batch, "text"):

@@ -64,8 +64,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS) ->
         rate = np.searchsorted(RATES, count / np.maximum(w.counts, 1)).astype(W.U64)
         keys.append((np.arange(n), W.mix(rate + W.U64(100 * k), 4)))
     doc, key = (np.concatenate(x) for x in zip(*keys, strict=True))
-    doc, key = W.distinct_pairs(doc, key >> W.U64(64 - bits))
-    return doc, key.astype(np.int64)
+    both = W.distinct(doc << bits | (key >> W.U64(64 - bits)).astype(np.int64))
+    return both >> bits, both & ((1 << bits) - 1)
 
 
 def _counts(target, bits: int):

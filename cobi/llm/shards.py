@@ -43,7 +43,7 @@ _SHARD = ("shard long, first_slot long, n_slots int, stride int, width int, payl
 
 def _sequences(length: int, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block, n = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, block, n = Encoder.shared(tokenizer), TaskContext.get().partitionId(), 0
         dtype = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             for rows, data, offsets in W.chunks(batch, "text"):

@@ -31,7 +31,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: texts are worked on in pieces of about this many bytes, whole documents each
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -117,6 +117,7 @@ def chunks(batch: pa.RecordBatch, column: str,
         j = min(max(j, i + 1), n)
         yield batch.slice(i, j - i), data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def windows(h: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
@@ -158,11 +159,26 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, which is faster than hashing here)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
 def distinct_pairs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document number, key) pairs, in document order."""
     if not len(doc):
         return doc, key
-    order = np.lexsort((key, doc))
+    order = np.argsort(key)
+    small = doc.astype(np.uint16) if doc.max() < 1 << 16 else doc  # 16 bits are sorted by radix
+    order = order[np.argsort(small[order], kind="stable")]
     doc, key = doc[order], key[order]
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
