@@ -10,7 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from cobi.session import ensure_checkpoint_dir
 
 
+#: rows of an Arrow batch: whole texts are wide rows, and a batch of Spark's
+#: default of 10,000 would hold tens of megabytes several times over
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has its own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,6 +32,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     (``spark.checkpoint.dir``) and read it back: lineage ends there, so a lost
     executor costs no recomputation, and each use reads the same rows."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     # Spark's cleaner removes the shuffle files of finished queries once their

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cobi.llm import words as W
@@ -286,26 +286,26 @@ def cut(text: bytes, autos: list[Automaton]) -> tuple[bytes, float]:
         text = b"".join([*parts, text[at:]])
 
 
-def clean_text(shared: list, max_coverage: float) -> callable:
-    """Column function: the cut text, or null if the document is to go."""
-    @F.pandas_udf("string")
-    def udf(texts):
+def _cleaned(shared: list, text_col: str, max_coverage: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         autos = [s.value for s in shared]
-        out = texts.copy()
-        col = pa.array(texts, pa.string())
-        data, offsets = W.column_bytes(col)
-        for rows, part, offs in W.chunks(pa.RecordBatch.from_arrays(
-                [pa.array(range(len(col))), col], names=["i", "text"]), "text"):
-            w = W.Words(W.LOWER[part], offs, W.ALNUM)
-            hit = np.zeros(len(w), dtype=bool)
-            for auto in autos:
-                hit |= matches(auto, w)[0]
-            for d in np.unique(w.doc()[hit]).tolist():
-                i = rows.column("i")[d].as_py()
-                text, share = cut(data[offsets[i]:offsets[i + 1]].tobytes(), autos)
-                out.iloc[i] = None if share > max_coverage else text.decode()
-        return out
-    return udf
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for rows, data, offsets in W.chunks(batch, text_col):
+                w = W.Words(W.LOWER[data], offsets, W.ALNUM)
+                hit = np.zeros(len(w), dtype=bool)
+                for auto in autos:
+                    hit |= matches(auto, w)[0]
+                touched = np.unique(w.doc()[hit]).tolist()
+                if touched:
+                    texts, kept = rows.column(at).to_pylist(), np.ones(rows.num_rows, dtype=bool)
+                    for d in touched:
+                        text, share = cut(data[offsets[d]:offsets[d + 1]].tobytes(), autos)
+                        texts[d], kept[d] = text.decode(), share <= max_coverage
+                    rows = rows.set_column(at, rows.schema.field(at), pa.array(texts, rows.schema.field(at).type))
+                    rows = rows.filter(pa.array(kept))
+                yield rows
+    return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
@@ -314,13 +314,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     more than ``max_coverage`` of the words were matched are dropped.  All
     other columns and rows (also those with a null text) stay as they are."""
     shared = automata(benchmark, **options)
-    if not shared:
-        return docs
-    text: Column = docs[text_col]
-    new = "__clean_" + "_".join(docs.columns)  # a name that no column has
-    return (docs.withColumn(new, clean_text(shared, max_coverage)(text))
-            .where(text.isNull() | F.col(new).isNotNull())
-            .withColumn(text_col, F.col(new)).drop(new))
+    return docs.mapInArrow(_cleaned(shared, text_col, max_coverage), docs.schema) if shared else docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -276,11 +276,13 @@ def pseudonyms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY, back: bool = False) -> DataFrame:
     """``docs`` with its texts replaced (``back``: restored); all rows and the
     other columns stay."""
-    @F.pandas_udf("string")
-    def udf(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key, back)
-        return texts.map(lambda t: None if t is None else names.replace(t)[0])
-    return docs.withColumn(text_col, udf(docs[text_col]))
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = [None if t is None else names.replace(t)[0] for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def restore(docs: DataFrame, *, text_col: str = "text", key: bytes = KEY) -> DataFrame:

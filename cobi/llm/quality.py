@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +44,7 @@ MAX_LOSS = 0.002
 TEMPERATURE = 0.05
 MAX_LABELLED = 50_000
 _SYMBOLS = W.NON_SPACE & ~W.ALNUM
+_KEYED = "doc_id long, log_weight double, key double"
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -105,20 +105,34 @@ class Model:
         return np.bincount(doc, weights=table[bucket], minlength=len(offsets) - 1)
 
 
-def _weight_column(shared, text: Column) -> Column:
-    @F.pandas_udf("double")
-    def udf(texts: pd.Series) -> pd.Series:
-        col = pa.array(texts, pa.string())
-        batch = pa.RecordBatch.from_arrays([col], names=["text"])
-        parts = [shared.value.log_weights(data, offsets) for _, data, offsets in W.chunks(batch, "text")]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-    return udf(text)
+def _keys(model: Model, batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(log-weight, key) of each row: Gumbel noise by the row's hash ``_u``
+    over the tempered weight."""
+    parts = [model.log_weights(data, offsets) for _, data, offsets in W.chunks(batch, text)]
+    weight = np.concatenate(parts) if parts else np.zeros(0)
+    u = (batch.column("_u").to_numpy().view(W.U64) >> W.U64(12)).astype(np.float64)
+    return weight, weight / TEMPERATURE - np.log(-np.log((u + 0.5) / float(1 << 52)))
 
 
-def _key(weight: Column, doc_id: Column, text: Column) -> Column:
-    """Gumbel noise by the document's id and text, over its tempered weight."""
-    u = (F.pmod(F.xxhash64(doc_id, text, F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return weight / TEMPERATURE - F.log(-F.log(u))
+def _noise(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text, F.lit("gumbel")).alias("_u")
+
+
+def _keyed(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weight, key = _keys(shared.value, batch, "text")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight), pa.array(key)],
+                                             names=["doc_id", "log_weight", "key"])
+    return run
+
+
+def _accepted(shared, text: str, cut: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(_keys(shared.value, batch, text)[1] >= cut))
+            yield kept.select(kept.schema.names[:-1])
+    return run
 
 
 def kth_largest(df: DataFrame, column: str, k: int, most: int = 10_000) -> float:
@@ -168,10 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     model = Model(np.array([r.bucket for r in kept], dtype=np.int64), np.array([r.r for r in kept]), bits)
     shared = Shared(spark, model)
 
-    @F.pandas_udf("boolean")
-    def is_good(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.isin(ids.fillna(-1).to_numpy(dtype=np.int64), target.value) & ids.notna().to_numpy())
-    weights = sorted(r.w for r in base.where(is_good("doc_id")).select(_weight_column(shared, F.col("text")).alias("w")).collect())
+    rated = F.broadcast(spark.createDataFrame([(int(i),) for i in good], "doc_id long"))   # max_labelled at most
+    known = base.join(rated, "doc_id", "left_semi").select("doc_id", "text", F.lit(0).cast("long").alias("_u"))
+    weights = sorted(r.log_weight for r in known.mapInArrow(_keyed(shared), _KEYED).collect())
     model.threshold = weights[int(MAX_LOSS * len(weights))] if weights else -np.inf
     return model
 
@@ -181,9 +194,8 @@ def resample(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     documents are in the sample).  Null and empty texts have weight 1.  Rows
     that are alike have the same key, so they are in or out together."""
     shared = Shared(docs.sparkSession, model)
-    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    keyed = saved(docs.select(doc_id.alias("doc_id"), text.alias("text"), _weight_column(shared, text).alias("log_weight"))
-                  .select("doc_id", "log_weight", _key(F.col("log_weight"), F.col("doc_id"), F.col("text")).alias("key")), "keyed")
+    doc_id, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    keyed = saved(docs.select(doc_id, text, _noise(doc_id, text)).mapInArrow(_keyed(shared), _KEYED), "keyed")
     k = keyed.where(F.col("log_weight") >= model.threshold).count()
     cut = kth_largest(keyed, "key", k) if k else np.inf
     return keyed.withColumn("accepted", F.col("key") >= cut), cut
@@ -194,9 +206,9 @@ def select_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     _, cut = resample(docs, model, id_col=id_col, text_col=text_col)
     shared = Shared(docs.sparkSession, model)
-    text = docs[text_col].cast("string")
-    key = _key(_weight_column(shared, text), docs[id_col].cast("long"), text)
-    return docs.where(key >= F.lit(float(cut)))
+    noise = _noise(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    return docs.select(*[docs[c] for c in docs.columns], noise).mapInArrow(
+        _accepted(shared, text_col, float(cut)), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

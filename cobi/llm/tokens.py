@@ -21,7 +21,7 @@ from cobi.llm import words as W
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1                # id that ends each document
-REMEMBERED = 2_000_000  # words a worker remembers; then it starts anew
+REMEMBERED = 1_000_000  # words a worker remembers; then it starts anew
 _MARK = 1              # a control byte, one token of its own between spaces
 
 
