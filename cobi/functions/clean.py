@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 MISSING_TOKENS = ("\\N", "\\n", "\n", " ", "n/a", "na", "none")
 
 # A key is usable when it is a plain signed decimal integer that fits a long.
-_LONG_PATTERN = r"^[+-]?[0-9]+$"
+_LONG_PATTERN = r"\A[+-]?[0-9]+\z"  # \z: no line end may follow
 
 # Scala's stripMargin: on every line, leading characters <= ' ' followed by '|'
 # are removed together with the bar.  Lines end at LF only ((?d) = UNIX_LINES),

@@ -98,11 +98,3 @@ def recomputed_cost(result: ClusterResult) -> DataFrame:
                      F.lit(0.0), lambda acc, x: acc + x)
     return (result.points.join(F.broadcast(cdf), "prediction")
             .agg(F.count(F.lit(1)).alias("n_points"), F.sum(sq).alias("cost")))
-
-
-def reference_label_tables(labels: DataFrame):
-    """SNK2/SNK3 shape: (cluster_no, recordValue) for rows and for columns."""
-    def side(name):
-        return (labels.filter(F.col("side") == name)
-                .select("cluster_no", F.col("node").alias("recordValue")))
-    return side("row"), side("column")

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from cobi.functions.clean import (is_fractional, is_integral, is_long_key, keep_column,
                                   resolve_column)
-from cobi.operators.skew import salted_join
+from cobi.operators.numbering import number_rows
+from cobi.operators.skew import key_join
 
 log = logging.getLogger(__name__)
 
@@ -32,6 +33,13 @@ def _key_column(df: DataFrame, key: str, as_long: bool) -> Column:
     return F.col(key).cast("string")
 
 
+def key_is_valid(k: Column, min_key: int, as_long: bool) -> Column:
+    """FLT1-FLT3 on a key expression: an integer of at least ``min_key``."""
+    if as_long:
+        return k.isNotNull() & (k >= F.lit(min_key))
+    return is_long_key(k) & (k.try_cast("bigint") >= F.lit(min_key))
+
+
 def clean_side(df: DataFrame, key: str, node: str, min_key: int, *, as_long: bool,
                extra_tokens=()) -> DataFrame:
     """FLT1-FLT4 on one side: -> (key, node) with valid key >= ``min_key`` and a
@@ -47,10 +55,7 @@ def clean_side(df: DataFrame, key: str, node: str, min_key: int, *, as_long: boo
         log.warning("key column %s is fractional: its values print as '12.0' "
                     "and fail the integer-key test, so every row drops", key)
     k = _key_column(df, key, as_long)
-    if as_long:
-        key_ok = k.isNotNull() & (k >= F.lit(min_key))
-    else:
-        key_ok = is_long_key(k) & (k.try_cast("bigint") >= F.lit(min_key))
+    key_ok = key_is_valid(k, min_key, as_long)
     # Integral node values are grouped and joined as numbers (cheaper to hash)
     # and turned into strings after the last aggregate; their decimal form is
     # canonical, so the string relation is the same.
@@ -67,7 +72,8 @@ def cap_rows(df: DataFrame, limit: int | None, order_by: list[str] | None) -> Da
         return df
     if not order_by:
         raise ValueError("a row cap needs an order so that it is deterministic")
-    return df.orderBy(*order_by).limit(int(limit))
+    # numbered and filtered: the kept rows stay spread over their partitions
+    return number_rows(df, order_by, id_col="_cobi_row").filter(F.col("_cobi_row") < int(limit)).drop("_cobi_row")
 
 
 def key_value_counts(side: DataFrame, count_col: str) -> DataFrame:
@@ -78,8 +84,7 @@ def key_value_counts(side: DataFrame, count_col: str) -> DataFrame:
 def build_edges(a: DataFrame, b: DataFrame, key_a: str, key_b: str, node_a: str, node_b: str,
                 *, min_key_a: int = 0, min_key_b: int = 1, limit_a: int | None = None,
                 limit_b: int | None = None, order_a: list[str] | None = None,
-                order_b: list[str] | None = None, extra_tokens=(),
-                split_hot_keys: bool = True, min_hot_rows: int = 100_000) -> DataFrame:
+                order_b: list[str] | None = None, extra_tokens=()) -> DataFrame:
     """E2E1: two tables + four columns -> edges (first_field, second_field, weight).
 
     ``min_key_a=0`` keeps A keys >= 0 and ``min_key_b=1`` keeps B keys > 0, as
@@ -93,12 +98,8 @@ def build_edges(a: DataFrame, b: DataFrame, key_a: str, key_b: str, node_a: str,
     side_b = clean_side(b, key_b, node_b, min_key_b, as_long=as_long, extra_tokens=extra_tokens)
     ca = key_value_counts(side_a, "ca").withColumnRenamed("node", "node_a")
     cb = key_value_counts(side_b, "cb").withColumnRenamed("node", "node_b")
-    if split_hot_keys:
-        joined = salted_join(ca, cb, "key", min_hot_rows=min_hot_rows)
-    else:
-        joined = ca.join(cb, "key")
-    return (joined.groupBy("node_a", "node_b")
-            .agg(F.sum(F.col("ca") * F.col("cb")).cast("double").alias("weight"))
+    return (key_join(ca, cb, "key").groupBy("node_a", "node_b")
+            .agg(F.sum(F.col("ca").cast("double") * F.col("cb")).alias("weight"))
             .select(F.col("node_a").cast("string").alias("first_field"),
                     F.col("node_b").cast("string").alias("second_field"), "weight"))
 
@@ -137,11 +138,6 @@ def graph_size(edges: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("n_edges"))
 
 
-def is_empty(edges: DataFrame) -> bool:
-    """FLT9: the empty-graph guard (one short job; used before the SVD only)."""
-    return edges.isEmpty()
-
-
 def inverted_index(df: DataFrame, key: str, node: str, order_cols: list[str], *,
                    min_key: int = 0, as_long: bool | None = None,
                    extra_tokens=()) -> DataFrame:
@@ -153,8 +149,6 @@ def inverted_index(df: DataFrame, key: str, node: str, order_cols: list[str], *,
     collecting.  Rows are numbered (WIN1) before the key and value filters, as
     in the reference.
     """
-    from cobi.operators.numbering import number_rows
-
     key = resolve_column(df, key)
     node = resolve_column(df, node)
     if as_long is None:
@@ -162,9 +156,7 @@ def inverted_index(df: DataFrame, key: str, node: str, order_cols: list[str], *,
     cols = list(dict.fromkeys([key, node, *order_cols]))
     numbered = number_rows(df.select(*cols), order_cols, id_col="row_id")
     k = _key_column(numbered, key, as_long)
-    key_ok = ((k.isNotNull() & (k >= F.lit(min_key))) if as_long
-              else (is_long_key(k) & (k.try_cast("bigint") >= F.lit(min_key))))
-    kept = numbered.filter(key_ok & keep_column(numbered, node, extra_tokens))
+    kept = numbered.filter(key_is_valid(k, min_key, as_long) & keep_column(numbered, node, extra_tokens))
     return kept.select(F.col(node).cast("string").alias("node"), k.alias("key"), "row_id")
 
 

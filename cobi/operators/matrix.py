@@ -68,26 +68,3 @@ def adjacency_summary(edges: DataFrame) -> DataFrame:
         F.sum("weight").alias("row_sum"),
         F.min("second_field").alias("first_col"),
         F.max("second_field").alias("last_col"))
-
-
-def indexed_row_matrix(edges: DataFrame, weight_col: str = "weight"):
-    """MAT1 for the cross-check engine: an MLlib ``IndexedRowMatrix`` plus the
-    node numberings (WIN2).
-
-    MLlib's distributed matrices take RDDs of Python rows, so this path moves
-    every entry through Python once; it exists to cross-check the DataFrame
-    engine (``cobi.operators.spectral``) and is not used on the main path.
-    """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-    from cobi.operators.numbering import number_nodes
-
-    rows = number_nodes(edges.select(F.col("first_field").alias("node")), id_col="i")
-    cols = number_nodes(edges.select(F.col("second_field").alias("node")), id_col="j")
-    coo = (edges.join(rows.withColumnRenamed("node", "first_field"), "first_field")
-           .join(cols.withColumnRenamed("node", "second_field"), "second_field")
-           .select("i", "j", weight_col))
-    n_rows, n_cols = rows.count(), cols.count()
-    entries = coo.rdd.map(lambda r: MatrixEntry(int(r[0]), int(r[1]), float(r[2])))
-    mat = CoordinateMatrix(entries, n_rows, n_cols).toIndexedRowMatrix()
-    return mat, rows, cols

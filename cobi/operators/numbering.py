@@ -10,21 +10,23 @@ whole table into one task.  Here numbering is distributed instead:
 3. per-partition row counts (at most ``n`` rows, a proven bound) give
    cumulative offsets, broadcast back onto the rows.
 
-The ranged frame is persisted so both uses read one materialisation: the range
-bounds are sampled once, and a recomputation after executor loss reruns the
-same shuffle dependency with the same bounds.
+The ranged frame is checkpointed in the cluster's shared folder, so both uses
+read one materialisation (the range bounds are sampled once), nothing stays
+cached, and a lost executor changes no number.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cobi.session import ensure_checkpoint_dir
+
 _MID = "_cobi_mid"
 _PID = "_cobi_pid"
 _OFF = "_cobi_off"
 _TIE = "_cobi_tie"
+_DUP = "_cobi_dup"
 _LOCAL_BITS = 33
 
 
@@ -35,21 +37,21 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def number_rows(df: DataFrame, order_cols: list[str | Column], id_col: str = "row_id",
-                num_partitions: int | None = None, persist: bool = True) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """WIN1: add ``id_col`` = 0-based position of each row in ``order_cols`` order.
 
     Rows that tie on ``order_cols`` are numbered by a hash of the whole row
-    (deterministic; exact duplicates are interchangeable).
+    (deterministic; exact duplicates are interchangeable, and a random number
+    decides between them so that many of them still spread over partitions).
     """
     n = _partitions(df, num_partitions)
     # A hash of the whole row breaks ties in the order: range partitioning
     # cannot split equal keys, so without it one frequent order value would
     # land in a single task.  The hash is deterministic, so is the numbering.
-    ranged = (df.withColumn(_TIE, F.xxhash64(*df.columns))
-              .repartitionByRange(n, *order_cols, _TIE).sortWithinPartitions(*order_cols, _TIE)
-              .withColumn(_MID, F.monotonically_increasing_id()))
-    if persist:
-        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.withColumn(_TIE, F.xxhash64(*df.columns)).withColumn(_DUP, F.rand(0))
+              .repartitionByRange(n, *order_cols, _TIE, _DUP).sortWithinPartitions(*order_cols, _TIE, _DUP)
+              .withColumn(_MID, F.monotonically_increasing_id()).checkpoint(eager=True))
     pid = F.shiftright(F.col(_MID), _LOCAL_BITS)
     counts = ranged.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +61,7 @@ def number_rows(df: DataFrame, order_cols: list[str | Column], id_col: str = "ro
     local = F.col(_MID).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     return (ranged.join(F.broadcast(offsets), pid == F.col(_PID))
             .withColumn(id_col, (F.col(_OFF) + local).cast("long"))
-            .drop(_MID, _PID, _OFF, _TIE))
+            .drop(_MID, _PID, _OFF, _TIE, _DUP))
 
 
 def number_nodes(nodes: DataFrame, node_col: str = "node", id_col: str = "node_id",

@@ -10,18 +10,21 @@ block v links every A record of v with every B record of v.  Materialising it
 would emit all pairs inside each group -- quadratic in a hot value -- so the
 graph is kept factorised instead:
 
-* ``blocks``: one row per shared value, (value, n_a, n_b, n_edges = n_a * n_b);
-* ``nodes``: one row per record with a partner, (side, node, value, row_id,
-  degree), the degree being the other side's record count for the value.
+* ``blocks``: one row per shared value, (value, n_a, n_b, n_edges = n_a * n_b),
+  from two grouped counts; no row is numbered for it;
+* ``nodes()``: one row per record with a partner, (side, node, value, row_id,
+  degree), the degree being the other side's record count for the value.  Only
+  this table needs row numbers.
 
 Every edge-list quantity (sizes, degrees, the normalised weight
 1 / sqrt(d_a d_b) of any pair, spectral products) follows from these two
 tables with grouped sums and joins on ``value``; each value's block counts are
-pre-aggregated before any join, so a hot value costs one row.
+pre-aggregated before any join, so a hot value costs one row there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,19 +33,32 @@ from pyspark.sql import functions as F
 from cobi.functions.clean import resolve_column
 from cobi.operators.edges import cap_rows
 from cobi.operators.numbering import number_rows, record_node_id
-from cobi.operators.skew import salted_join
+from cobi.operators.skew import key_join
 
 
 @dataclass
 class RecordGraph:
-    nodes: DataFrame    # (side, node, value, row_id, degree)
-    blocks: DataFrame   # (value, n_a, n_b, n_edges)
+    blocks: DataFrame                  # (value, n_a, n_b, n_edges)
+    _nodes: Callable[[], DataFrame]
 
+    def nodes(self) -> DataFrame:
+        """(side, node, value, row_id, degree); numbers the rows of both tables."""
+        return self._nodes()
 
-def _records(df: DataFrame, col: str, order: list[str], limit: int | None) -> DataFrame:
+
+def _kept(df: DataFrame, col: str, order: list[str], limit: int | None) -> DataFrame:
     df = cap_rows(df, limit, order)
     col = resolve_column(df, col)
-    kept = df.filter(F.col(col) > 0).select(F.col(col).alias("_v"), *order)   # FLT6
+    return df.filter(F.col(col) > 0).select(F.col(col).alias("_v"), *order)   # FLT6
+
+
+def filtered_count(df: DataFrame, col: str) -> DataFrame:
+    """AGG9: the number of rows that pass FLT6 -> (n_rows)."""
+    col = resolve_column(df, col)
+    return df.filter(F.col(col) > 0).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _records(kept: DataFrame, order: list[str]) -> DataFrame:
     numbered = number_rows(kept, order, id_col="row_id")                      # WIN1
     return numbered.select(F.col("_v").cast("string").alias("value"), "row_id",
                            record_node_id(F.col("row_id"), F.col("_v")).alias("node"))
@@ -50,27 +66,27 @@ def _records(df: DataFrame, col: str, order: list[str], limit: int | None) -> Da
 
 def build_record_graph(a: DataFrame, b: DataFrame, col_a: str, col_b: str,
                        order_a: list[str], order_b: list[str], *,
-                       limit_a: int | None = None, limit_b: int | None = None,
-                       split_hot_values: bool = True,
-                       min_hot_rows: int = 100_000) -> RecordGraph:
+                       limit_a: int | None = None, limit_b: int | None = None) -> RecordGraph:
     """E2E2: records of A and B linked by equal values of ``col_a`` / ``col_b``."""
-    ra = _records(a, col_a, order_a, limit_a)
-    rb = _records(b, col_b, order_b, limit_b)
-    ca = ra.groupBy("value").agg(F.count(F.lit(1)).alias("n_a"))
-    cb = rb.groupBy("value").agg(F.count(F.lit(1)).alias("n_b"))
+    ka, kb = _kept(a, col_a, order_a, limit_a), _kept(b, col_b, order_b, limit_b)
+
+    def counts(kept: DataFrame, name: str) -> DataFrame:
+        return (kept.groupBy("_v").agg(F.count(F.lit(1)).alias(name))
+                .select(F.col("_v").cast("string").alias("value"), name))
+
+    ca, cb = counts(ka, "n_a"), counts(kb, "n_b")
     blocks = ca.join(cb, "value").withColumn("n_edges", F.col("n_a") * F.col("n_b"))
-    # The per-value count tables have one row per distinct value.  Joined back
-    # to the records on value, a hot value (many records) is split over salt
-    # buckets on the record side and its single count row replicated.
-    rows = (salted_join(ra, cb, "value", min_hot_rows=min_hot_rows) if split_hot_values
-            else ra.join(cb, "value"))
-    cols = (salted_join(rb, ca, "value", min_hot_rows=min_hot_rows) if split_hot_values
-            else rb.join(ca, "value"))
-    rows = rows.select(F.lit("row").alias("side"), "node", "value", "row_id",
-                       F.col("n_b").cast("double").alias("degree"))
-    cols = cols.select(F.lit("column").alias("side"), "node", "value", "row_id",
-                       F.col("n_a").cast("double").alias("degree"))
-    return RecordGraph(rows.unionByName(cols), blocks)
+
+    def nodes() -> DataFrame:
+        # One count row per value meets the value's records; a value of very
+        # many records is split by Spark on the record side.
+        rows = key_join(_records(ka, order_a), cb, "value").select(
+            F.lit("row").alias("side"), "node", "value", "row_id", F.col("n_b").cast("double").alias("degree"))
+        cols = key_join(_records(kb, order_b), ca, "value").select(
+            F.lit("column").alias("side"), "node", "value", "row_id", F.col("n_a").cast("double").alias("degree"))
+        return rows.unionByName(cols)
+
+    return RecordGraph(blocks, nodes)
 
 
 def record_graph_size(g: RecordGraph) -> DataFrame:

@@ -1,31 +1,34 @@
-"""Inner equi-join on one key that splits hot keys over several tasks.
+"""Hot keys of a join.
 
-A key may hold a large share of all rows.  Before joining, the left side's
-rows are counted by key (a partial + final aggregate, so the count itself is
-skew-safe).  A key is *hot* when it holds more than ``total / P`` left rows
-(``P`` = shuffle partitions), with a floor of ``min_hot_rows``; by pigeonhole at
-most ``P`` keys can be hot, so the hot-key table has a proven size bound and is
-broadcast.  Left rows of a hot key are spread over ``ceil(rows / threshold)``
-salt buckets by a hash of their non-key columns; right rows of a hot key are
-replicated once per bucket.  The join then runs on (key, salt), and every
-result row appears exactly once.  Cold keys keep salt 0 and join as usual.
+Joins of tables go through Spark's own skew handling: both sides of ``key_join``
+reach the join as plain shuffles by the key, and adaptive execution cuts a
+partition that is far larger than the others, on either side, into pieces that
+are joined in several tasks (``spark.sql.adaptive.skewJoin.*``).  Nothing runs
+and nothing is cached while the plan is built.
 
-AQE's skew-join split stays enabled underneath as a second line of defence.
+``hot_keys`` finds hot keys ahead of time for layouts that are built once and
+read many times (the spectral engine's cached edges).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-_SALT = "_cobi_salt"
-_BUCKETS = "_cobi_buckets"
 _ROWS = "_cobi_rows"
 
 
+def key_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner equi-join whose hot keys, of either side, Spark splits at run time.
+
+    The sides are (pre-aggregated) tables partitioned by more than the key, so
+    Spark shuffles both by the key itself; it is those shuffles it can split.
+    """
+    return left.join(right, key)
+
+
 def hot_keys(left: DataFrame, key: str, min_hot_rows: int,
              num_partitions: int | None = None) -> list[tuple[object, int]]:
     """Hot keys of ``left`` and the number of buckets for each (at most P rows).
@@ -43,31 +46,3 @@ def hot_keys(left: DataFrame, key: str, min_hot_rows: int,
     total = obs.get.get("total") or 0
     threshold = max(int(min_hot_rows), math.ceil(total / p), 1)
     return [(r[0], min(math.ceil(r[1] / threshold), p)) for r in top if r[1] > threshold]
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, *, min_hot_rows: int = 100_000,
-                num_partitions: int | None = None) -> DataFrame:
-    """``left.join(right, key)`` with hot keys of ``left`` split into buckets.
-
-    ``left`` is persisted first: the detection job materialises it and the
-    join reads it back, so the (usually pre-aggregated) left side is computed
-    once, not twice.
-    """
-    left = left.persist(StorageLevel.MEMORY_AND_DISK)
-    hot = hot_keys(left, key, min_hot_rows, num_partitions)
-    if not hot:
-        return left.join(right, key)
-    spark = left.sparkSession
-    key_type = left.schema[key].dataType
-    hot_df = spark.createDataFrame(hot, f"{key} {key_type.simpleString()}, {_BUCKETS} int")
-    spread_by = [c for c in left.columns if c != key] or [key]
-    left_s = (left.join(F.broadcast(hot_df), key, "left")
-              .withColumn(_SALT, F.when(F.col(_BUCKETS).isNull(), F.lit(0))
-                          .otherwise(F.pmod(F.xxhash64(*spread_by), F.col(_BUCKETS)).cast("int")))
-              .drop(_BUCKETS))
-    right_s = (right.join(F.broadcast(hot_df), key, "left")
-               .withColumn(_SALT, F.explode(
-                   F.when(F.col(_BUCKETS).isNull(), F.array(F.lit(0)))
-                   .otherwise(F.sequence(F.lit(0), F.col(_BUCKETS) - 1))))
-               .drop(_BUCKETS))
-    return left_s.join(right_s, [key, _SALT]).drop(_SALT)

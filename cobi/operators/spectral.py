@@ -1,11 +1,12 @@
 """Truncated SVD of the degree-normalised adjacency matrix and the joint
 embedding of both sides (MAT5-MAT8, SET1).
 
-Engine: block subspace iteration written with DataFrame joins and aggregates.
+Engine: block Krylov iteration with thick restarts, written with DataFrame
+joins and aggregates.
 
-* The normalised matrix An = D1^-1/2 A D2^-1/2 is the persisted edge list
-  (r, c, w).  A factor block is a DataFrame (node, t, f0..f{b-1}): one row per
-  node, b plain double columns.
+* The normalised matrix An = D1^-1/2 A D2^-1/2 is a checkpointed edge list
+  (r, c, w) on long node ids; names come back with the embedding.  Node counts,
+  degrees and the total are plain aggregates over materialised degree tables.
 * A half step  X -> An X  (or An^T X) is one join of the edges with the
   factor block on the column (row) node and one grouped sum on the other node.
   The factor side is broadcast when its size -- node count x columns x 8
@@ -13,38 +14,36 @@ Engine: block subspace iteration written with DataFrame joins and aggregates.
   the edges are stored once hash-partitioned by (node, salt), hot nodes spread
   over salt buckets (see ``cobi.operators.skew``), and only the node-sized
   factor block is shuffled into that layout each step.
-* Orthonormalisation: one aggregate of the b x b Gram matrix (plus the b dot
-  products with the trivial vector) goes to the driver, ``numpy.linalg.eigh``
-  gives the b x b transform, which is applied as literal column expressions.
-  Directions whose Gram eigenvalue is below ``rank_tol`` x the largest drop
-  (a low-rank matrix yields fewer vectors, Q15).
+* The basis K and its image Z = An^T An K are one row per node of the smaller
+  side, (id, t, k array, z array), checkpointed after every step.  Each step
+  applies the matrix to the part of the newest image that is orthogonal to K.
+  Inner products are summed per partition and added up on the driver, which
+  only ever holds p x p matrices (p <= ``basis`` blocks).
+* Rayleigh-Ritz on K after each step gives singular values, and from Z the
+  residual ||An^T u - sigma v|| of every pair.  The loop ends when all wanted
+  pairs are below ``tol`` or the basis is invariant; ``max_iter`` only guards
+  against a run without end, and reaching it is an error unless the caller asks
+  for the unconverged result (``SpectralResult.converged`` says which).
+* When the basis is full it shrinks to its best Ritz vectors and goes on.
 * Exact deflation: the leading singular pair of An is known, sigma = 1,
-  u0 = sqrt(d_row / total), v0 = sqrt(d_col / total).  The column ``t`` carries
-  v0 (or u0) through every half step -- An v0 = u0 and An^T u0 = v0, so the
-  grouped sums recompute it for free -- and every block is projected off it.
-  This is what "discard the first singular vector" means and it stays right
-  when sigma = 1 repeats (disconnected graphs).
-* One Spark job per iteration: Z = An^T (An V) with both half steps fused in
-  one plan; Z is checkpointed (``DataFrame.checkpoint`` into the session's
-  ``spark.checkpoint.dir``) while ``DataFrame.observe`` collects its Gram
-  matrix in the same pass.  Lineage stays one iteration long and a lost
-  executor recomputes at most one iteration.
-* Final Rayleigh-Ritz on the b x b Gram of An V gives sigma, U and V; rows
-  are scaled by d^-1/2 (= 1 / (t sqrt(total))) and both sides are stacked into
-  one frame (side, node, embedding).
-
-The driver only ever holds b x b matrices (b <= about 20).
+  u0 = sqrt(d_row / total), v0 = sqrt(d_col / total).  The column ``t`` holds v0
+  and every block is projected off it.  This is what "discard the first
+  singular vector" means and it stays right when sigma = 1 repeats
+  (disconnected graphs).
+* A pair counts when sigma > ``rank_tol``, where the largest sigma of An is 1,
+  so a low-rank matrix yields fewer vectors (Q15).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cobi.functions.vectors import embedding_width
@@ -56,69 +55,63 @@ _SALT = "_cobi_salt"
 _BUCKETS = "_cobi_buckets"
 
 
+class RankOneGraph(ValueError):
+    """The graph has no singular vector beside the trivial one."""
+
+
 @dataclass
 class NormalizedGraph:
-    """An as a persisted edge list plus the sizes the engine needs."""
+    """An as a checkpointed edge list plus the sizes the engine needs."""
 
-    edges: DataFrame          # (r, c, w): normalised weights, checkpointed
-    row_init: DataFrame       # (node, t): t = sqrt(d_row / total)
-    col_init: DataFrame       # (node, t): t = sqrt(d_col / total)
+    edges: DataFrame          # (r, c, w): long node ids, normalised weights
+    rows: DataFrame           # (node, id, t): t = sqrt(d_row / total)
+    cols: DataFrame           # (node, id, t): t = sqrt(d_col / total)
     m: int
     n: int
     nnz: int
     total: float
     _layouts: dict = field(default_factory=dict)
-    _cached: list = field(default_factory=list)
 
     def release(self) -> None:
-        """Unpersist the cached degree tables and edge layouts."""
-        for df in [*self._cached, *(v[0] for v in self._layouts.values())]:
-            df.unpersist()
+        """Unpersist the cached edge layouts."""
+        for layout in self._layouts.values():
+            layout[0].unpersist()
         self._layouts.clear()
 
 
 def normalized_graph(edges: DataFrame) -> NormalizedGraph:
-    """Degrees, totals and the normalised edge list, materialised once.
-
-    One job: the degree tables are observed (node counts, total weight,
-    smallest degree) while the normalised edges are checkpointed and counted.
-    """
+    """Degrees, totals and the normalised edge list, each materialised once."""
+    ensure_checkpoint_dir(edges.sparkSession)
     base = edges.select(F.col("first_field").alias("r"), F.col("second_field").alias("c"),
-                        F.col("weight").cast("double").alias("weight"))
-    dr = (base.groupBy(F.col("r").alias("node")).agg(F.sum("weight").alias("d"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    dc = (base.groupBy(F.col("c").alias("node")).agg(F.sum("weight").alias("d"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    o_row, o_col = Observation(), Observation()
-    dr_seen = dr.observe(o_row, F.count(F.lit(1)).alias("m"), F.sum("d").alias("total"),
-                         F.min("d").alias("min_d"))
-    dc_seen = dc.observe(o_col, F.count(F.lit(1)).alias("n"), F.min("d").alias("min_d"))
-    o_nnz = Observation()
-    # Checkpointed, not only cached: the iterations then plan against a leaf
-    # (cheap analysis) and a lost executor never replays the edge build.
-    norm = (base.join(dr_seen.select(F.col("node").alias("r"), F.col("d").alias("dr")), "r")
-            .join(dc_seen.select(F.col("node").alias("c"), F.col("d").alias("dc")), "c")
-            .select("r", "c", (F.col("weight") / F.sqrt(F.col("dr") * F.col("dc"))).alias("w"))
-            .observe(o_nnz, F.count(F.lit(1)).alias("nnz"))
-            .checkpoint(eager=True))
-    nnz = int(o_nnz.get.get("nnz") or 0)
-    srow, scol = o_row.get, o_col.get
-    m, n = int(srow.get("m") or 0), int(scol.get("n") or 0)
-    total = float(srow.get("total") or 0.0)
-    if nnz == 0 or m == 0 or n == 0:
+                        F.col("weight").cast("double").alias("weight")).checkpoint(eager=True)
+
+    def side(col: str) -> tuple[DataFrame, dict]:
+        d = (base.groupBy(F.col(col).alias("node")).agg(F.sum("weight").alias("d"))
+             .withColumn("id", F.monotonically_increasing_id()).checkpoint(eager=True))
+        return d, d.agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"),
+                        F.min("d").alias("min_d")).first().asDict()
+
+    dr, row = side("r")
+    dc, col = side("c")
+    if not row["n"]:
         raise ValueError("the graph has no edges; nothing to decompose (FLT9)")
-    if (srow.get("min_d") or 0) <= 0 or (scol.get("min_d") or 0) <= 0:
+    if row["min_d"] <= 0 or col["min_d"] <= 0:
         raise ValueError("edge weights must be positive: a node has degree <= 0")
-    inv_total = 1.0 / total
-    row_init = dr.select("node", F.sqrt(F.col("d") * F.lit(inv_total)).alias("t"))
-    col_init = dc.select("node", F.sqrt(F.col("d") * F.lit(inv_total)).alias("t"))
-    return NormalizedGraph(norm, row_init, col_init, m, n, nnz, total, _cached=[dr, dc])
+    total = float(row["total"])
+    norm = (base.join(dr.select(F.col("node").alias("r"), F.col("id").alias("ri"), F.col("d").alias("dr")), "r")
+            .join(dc.select(F.col("node").alias("c"), F.col("id").alias("ci"), F.col("d").alias("dc")), "c")
+            .select(F.col("ri").alias("r"), F.col("ci").alias("c"),
+                    (F.col("weight") / F.sqrt(F.col("dr") * F.col("dc"))).alias("w"))
+            .checkpoint(eager=True))
+    t = F.sqrt(F.col("d") / F.lit(total)).alias("t")
+    return NormalizedGraph(norm, dr.select("node", "id", t), dc.select("node", "id", t),
+                           int(row["n"]), int(col["n"]), norm.count(), total)
 
 
 def transposed(g: NormalizedGraph) -> NormalizedGraph:
     """An^T of a normalised graph: the node columns swap, nothing moves."""
     edges = g.edges.select(F.col("c").alias("r"), F.col("r").alias("c"), "w")
-    return NormalizedGraph(edges, g.col_init, g.row_init, g.n, g.m, g.nnz, g.total)
+    return NormalizedGraph(edges, g.cols, g.rows, g.n, g.m, g.nnz, g.total)
 
 
 @dataclass
@@ -128,10 +121,8 @@ class SpectralResult:
     iterations: int
     width: int
     n_nodes: int = 0          # m + n
-
-
-def _fcols(b: int) -> list[str]:
-    return [f"f{j}" for j in range(b)]
+    residuals: list[float] = field(default_factory=list)  # ||An^T u - sigma v|| of each
+    converged: bool = True
 
 
 def _partitions(spark) -> int:
@@ -148,7 +139,7 @@ def _salted_layout(g: NormalizedGraph, src: str, min_hot_rows: int):
     hot = hot_keys(g.edges, src, min_hot_rows, p)
     other = "c" if src == "r" else "r"
     if hot:
-        hot_df = F.broadcast(spark.createDataFrame(hot, f"{src} string, {_BUCKETS} int"))
+        hot_df = F.broadcast(spark.createDataFrame(hot, f"{src} long, {_BUCKETS} int"))
         salted = (g.edges.join(hot_df, src, "left")
                   .withColumn(_SALT, F.when(F.col(_BUCKETS).isNull(), F.lit(0))
                               .otherwise(F.pmod(F.xxhash64(other), F.col(_BUCKETS))
@@ -169,10 +160,10 @@ def _salted_layout(g: NormalizedGraph, src: str, min_hot_rows: int):
 def _half_step(g: NormalizedGraph, factors: DataFrame, n_factor_rows: int, src: str,
                b: int, broadcast_bytes: int, min_hot_rows: int) -> DataFrame:
     """``src='c'``: An X (X on column nodes -> result on row nodes);
-    ``src='r'``: An^T X."""
+    ``src='r'``: An^T X.  Blocks are (id, f0..f{b-1})."""
     dst = "r" if src == "c" else "c"
-    cols = ["t", *_fcols(b)]
-    fac = factors.select(F.col("node").alias(src), *cols)
+    cols = [f"f{j}" for j in range(b)]
+    fac = factors.select(F.col("id").alias(src), *cols)
     if n_factor_rows * (b + 2) * 8 <= broadcast_bytes:
         joined = g.edges.join(F.broadcast(fac), src)
     else:
@@ -186,90 +177,84 @@ def _half_step(g: NormalizedGraph, factors: DataFrame, n_factor_rows: int, src:
         # Same hash layout as the cached edges: only the factor block moves.
         fac = fac.repartition(p, *keys).hint("shuffle_hash")
         joined = edges.join(fac, keys)
-    return joined.groupBy(F.col(dst).alias("node")).agg(*_step_sums(b))
-
-
-@lru_cache(maxsize=64)
-def _gram_exprs(b: int, with_t: bool) -> tuple[Column, ...]:
-    """The b(b+1)/2 Gram sums (plus b dot products with ``t``), built once per
-    width from SQL text: unresolved Columns are reusable across DataFrames."""
-    exprs = [f"sum(f{i} * f{j}) AS g_{i}_{j}" for i in range(b) for j in range(i, b)]
-    if with_t:
-        exprs += [f"sum(t * f{i}) AS c_{i}" for i in range(b)]
-    return tuple(F.expr(e) for e in exprs)
-
-
-@lru_cache(maxsize=64)
-def _step_sums(b: int) -> tuple[Column, ...]:
-    """sum(w * x) for x in (t, f0..f{b-1}), built once per width."""
-    return tuple(F.expr(f"sum(w * {c}) AS {c}") for c in ["t", *_fcols(b)])
-
-
-def _materialize(df: DataFrame, b: int, with_t: bool):
-    """Checkpoint a block (cuts lineage) and, in the same job, observe its
-    b x b Gram matrix and its dot products with ``t``."""
-    obs = Observation()
-    frame = df.observe(obs, *_gram_exprs(b, with_t)).checkpoint(eager=True)
-    got = obs.get
-    gram = np.zeros((b, b))
-    for i in range(b):
-        for j in range(i, b):
-            gram[i, j] = gram[j, i] = float(got[f"g_{i}_{j}"] or 0.0)
-    c = (np.array([float(got[f"c_{i}"] or 0.0) for i in range(b)]) if with_t
-         else np.zeros(b))
-    return frame, gram, c
-
-
-def _apply(df: DataFrame, b: int, transform: np.ndarray, shift: np.ndarray) -> DataFrame:
-    """New column k = sum_i f_i * transform[i, k] - t * shift[k].
-
-    Written as SQL expression strings with the coefficients at full precision
-    (``repr`` of a float round-trips), so building the projection costs one
-    call per column instead of one per term.
-    """
-    out = []
-    for k in range(transform.shape[1]):
-        terms = [f"f{i} * ({float(transform[i, k])!r})" for i in range(b)
-                 if transform[i, k] != 0.0]
-        if shift[k] != 0.0:
-            terms.append(f"t * ({-float(shift[k])!r})")
-        out.append(f"CAST({' + '.join(terms) or '0.0'} AS DOUBLE) AS f{k}")
-    return df.selectExpr("node", "t", *out)
-
-
-def _orthonormalize(materialized, b: int, deflate: bool, rank_tol: float):
-    """Project off t (when ``deflate``) and orthonormalise the f-columns of a
-    materialised block.  Returns (new lazy frame, new width, sqrt of the Gram
-    eigenvalues, descending)."""
-    df, gram, c = materialized
-    if deflate:
-        # ||t|| = 1, so the Gram of (F - t c^T) is G - c c^T.
-        gram = gram - np.outer(c, c)
+    return joined.groupBy(F.col(dst).alias("id")).agg(
+        *[F.expr(f"sum(w * {c}) AS {c}") for c in cols])
+
+
+# -- the basis: one row (id, t, k, z) per node of the smaller side -------------
+
+def _arrays(batch: pa.RecordBatch) -> np.ndarray:
+    """[t, k..., z...] of a batch as a matrix."""
+    parts = [batch.column("t").to_numpy(zero_copy_only=False)[:, None]]
+    for name in ("k", "z"):
+        values = batch.column(name).flatten().to_numpy(zero_copy_only=False)
+        parts.append(values.reshape(batch.num_rows, -1))
+    return np.concatenate(parts, axis=1)
+
+
+def _gram(basis: DataFrame, p: int) -> np.ndarray:
+    """Inner products of t, K and Z: summed inside each partition, one small
+    matrix a partition comes to the driver."""
+    size = 1 + 2 * p
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((size, size))
+        for batch in batches:
+            if batch.num_rows:
+                x = _arrays(batch)
+                g += x.T @ x
+        yield pa.RecordBatch.from_pydict({"g": [g.ravel().tolist()]})
+
+    total = np.zeros(size * size)
+    for row in basis.select("t", "k", "z").mapInArrow(partial, "g array<double>").toLocalIterator():
+        total += np.array(row.g)
+    return total.reshape(size, size)
+
+
+def _combined(basis: DataFrame, keep: np.ndarray, new: np.ndarray) -> DataFrame:
+    """(id, t, k @ keep, z @ keep, f) with f = [t, k, z] @ new."""
+    p = keep.shape[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _arrays(batch)
+            none = np.zeros((len(x), 0))
+            out = [x[:, 1:1 + p] @ keep if keep.size else none, x[:, 1 + p:] @ keep if keep.size else none, x @ new]
+            lists = [pa.ListArray.from_arrays(
+                pa.array(np.arange(0, y.size + 1, max(1, y.shape[1]), dtype=np.int32)
+                         if y.shape[1] else np.zeros(len(x) + 1, dtype=np.int32)),
+                pa.array(np.ascontiguousarray(y).ravel())) for y in out]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *lists],
+                                             names=["id", "t", "k", "z", "f"])
+
+    return basis.mapInArrow(run, "id long, t double, k array<double>, z array<double>, f array<double>")
+
+
+def _whitened(gram: np.ndarray, floor: float) -> np.ndarray:
+    """Columns that make a basis with this Gram matrix orthonormal; directions
+    whose squared norm is at most ``floor`` are left out."""
     lam, vecs = np.linalg.eigh((gram + gram.T) / 2.0)
-    order = np.argsort(lam)[::-1]
-    lam, vecs = lam[order], vecs[:, order]
-    top = lam[0] if len(lam) else 0.0
-    keep = lam > max(rank_tol * top, 1e-300) if top > 0 else np.zeros_like(lam, dtype=bool)
-    lam, vecs = lam[keep], vecs[:, keep]
-    transform = vecs / np.sqrt(lam)
-    shift = c @ transform if deflate else np.zeros(transform.shape[1])
-    return _apply(df, b, transform, shift), int(keep.sum()), np.sqrt(lam)
+    good = lam > floor
+    return vecs[:, good] / np.sqrt(lam[good])
 
 
-def _seed_block(init: DataFrame, b: int, seed: int) -> DataFrame:
+def _start(init: DataFrame, b: int, seed: int) -> DataFrame:
     """Start block from a hash of (node, column, seed): the same values
     whatever the partitioning."""
     cols = []
     for j in range(b):
         h = F.xxhash64(F.col("node"), F.lit(j), F.lit(seed))
-        cols.append((F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30) - 0.5).alias(f"f{j}"))
-    return init.select("node", "t", *cols)
+        cols.append(F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30) - 0.5)
+    return init.select("id", "t", F.array(*cols).alias("k"), F.array().cast("array<double>").alias("z"))
 
 
 def spectral_embedding(edges: DataFrame, k: int = 5, *, discard: str = "trivial",
-                       width: int | None = None, oversample: int = 4, max_iter: int = 8,
-                       tol: float = 1e-6, seed: int = 0, rank_tol: float = 1e-12,
+                       width: int | None = None, oversample: int = 4, basis: int = 10,
+                       max_iter: int = 400, tol: float = 1e-5, seed: int = 0, rank_tol: float = 1e-6,
                        broadcast_bytes: int = 64 << 20, min_hot_rows: int = 100_000,
+                       require_converged: bool = True,
                        graph: NormalizedGraph | None = None) -> SpectralResult:
     """MAT6-MAT8 + SET1: joint embedding of row and column nodes.
 
@@ -281,11 +266,13 @@ def spectral_embedding(edges: DataFrame, k: int = 5, *, discard: str = "trivial"
     * ``'first'`` / ``'last'``: r vectors without deflation, drop the largest /
       the smallest (the latter is what the reference's code does, Q1);
     * ``'none'``: r vectors without deflation, all kept.
+
+    ``basis`` is the number of blocks (wanted + ``oversample`` vectors each) the
+    basis holds before it restarts.
     """
     if discard not in DISCARD_MODES:
         raise ValueError(f"discard must be one of {DISCARD_MODES}")
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(edges.sparkSession)
     base_graph = graph or normalized_graph(edges)
     # Iterate with the smaller side as "columns": that block is the one
     # materialised and orthonormalised every iteration (transposing is free).
@@ -293,64 +280,106 @@ def spectral_embedding(edges: DataFrame, k: int = 5, *, discard: str = "trivial"
     g = transposed(base_graph) if flip else base_graph
     r = width or embedding_width(k)
     deflate = discard == "trivial"
-    wanted = r - 1 if discard != "none" else r
-    if deflate:
-        wanted_block = r - 1
-        cap = min(g.m, g.n) - 1
-    else:
-        wanted_block = r
-        cap = min(g.m, g.n)
-    b = max(1, min(wanted_block + oversample, cap)) if cap > 0 else 0
-    if b == 0 or wanted <= 0:
-        raise ValueError("the graph has rank 1 after deflation; no embedding to compute")
-
+    wanted = r - 1 if deflate else r
+    dimension = g.n - 1 if deflate else g.n
+    b = max(0, min(wanted + oversample, dimension))
+    if b == 0:
+        raise RankOneGraph("the graph has rank 1 after deflation; no embedding to compute")
     step = dict(broadcast_bytes=broadcast_bytes, min_hot_rows=min_hot_rows)
-    V, b, _ = _orthonormalize(_materialize(_seed_block(g.col_init, b, seed), b, deflate), b,
-                              deflate, rank_tol)
-    prev = None
-    it = 0
-    for it in range(1, max_iter + 1):
-        # One job per iteration: Z = An^T (An V), both half steps fused; the
-        # Gram of Z (eigenvalues ~ sigma^4) is observed while Z is checkpointed.
-        W = _half_step(g, V, g.n, "c", b, **step)
-        Z = _materialize(_half_step(g, W, g.m, "r", b, **step), b, deflate)
-        V, b, root = _orthonormalize(Z, b, deflate, rank_tol)
-        head = np.sqrt(root[:wanted])
-        if prev is not None and len(prev) == len(head) and np.max(np.abs(head - prev)) < tol:
-            break
-        prev = head
 
-    # Rayleigh-Ritz: An V = W, W^T W = R S^2 R^T -> U = W R S^-1, V <- V R.
-    W, gram, c = _materialize(_half_step(g, V, g.n, "c", b, **step), b, deflate)
+    frame, p = _start(g.cols, b, seed), b
+    gram = _gram(frame.withColumn("z", F.col("k")), p)
+    keep = np.zeros((p, 0))
+    # the start block without its part along t, orthonormal
+    new = np.zeros((1 + p, p))
+    new[1:] = np.eye(p)
     if deflate:
-        gram = gram - np.outer(c, c)
-    lam, R = np.linalg.eigh((gram + gram.T) / 2.0)
-    order = np.argsort(lam)[::-1]
-    lam, R = np.clip(lam[order], 0.0, None), R[:, order]
-    keep = lam > rank_tol * lam[0] if lam[0] > 0 else np.zeros_like(lam, dtype=bool)
-    lam, R = lam[keep], R[:, keep]
-    sigma = np.sqrt(lam)
-    sel = list(range(len(sigma)))
+        new[0] = -gram[0, 1:1 + p]
+    white = _whitened(new.T @ gram[:1 + p, :1 + p] @ new, 1e-12)
+    state = _combined(frame, keep, new @ white)
+    p, b_new = 0, white.shape[1]
+    it, converged = 0, False
+    theta, coeff, residual = np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+    while True:
+        it += 1
+        block = state.select("id", *[F.col("f")[j].alias(f"f{j}") for j in range(b_new)])
+        image = _half_step(g, _half_step(g, block, g.n, "c", b_new, **step), g.m, "r", b_new, **step)
+        image = image.select("id", F.array(*[f"f{j}" for j in range(b_new)]).alias("y"))
+        frame = (state.join(image, "id").select(
+            "id", "t", F.concat("k", "f").alias("k"), F.concat("z", "y").alias("z")).checkpoint(eager=True))
+        p += b_new
+        gram = _gram(frame, p)
+        T, K, Z = 0, slice(1, 1 + p), slice(1 + p, 1 + 2 * p)
+        if deflate:
+            # images lose what rounding left along t
+            shift = np.zeros((1 + 2 * p, 1 + 2 * p))
+            shift += np.eye(1 + 2 * p)
+            shift[T, Z] = -gram[T, Z]
+            gram_d = shift.T @ gram @ shift
+        else:
+            gram_d = gram
+        kk, kz, zz = gram_d[K, K], gram_d[K, Z], gram_d[Z, Z]
+        white = _whitened(kk, 1e-10)
+        theta, s = np.linalg.eigh(white.T @ ((kz + kz.T) / 2.0) @ white)
+        order = np.argsort(theta)[::-1]
+        theta, coeff = np.clip(theta[order], 0.0, None), white @ s[:, order]
+        square = (np.einsum("ij,ik,kj->j", coeff, zz, coeff) - 2 * theta * np.einsum("ij,ik,kj->j", coeff, kz, coeff)
+                  + theta ** 2)
+        sigma = np.sqrt(theta)
+        residual = np.sqrt(np.clip(square, 0.0, None)) / np.maximum(sigma, 1e-300)
+        real = sigma[:wanted] > rank_tol
+        # a pair with sigma near zero is the end of the spectrum
+        done = len(sigma) >= min(wanted, dimension) and bool(np.all(residual[:wanted][real] <= tol))
+        # directions of the newest image that the basis does not hold
+        last = np.zeros((1 + 2 * p, b_new))
+        last[1 + p + p - b_new:, :] = np.eye(b_new)
+        if deflate:
+            last[T] = -gram[T, 1 + p + p - b_new:]
+        last[K] -= white @ (white.T @ (gram[K] @ last))
+        fresh = last.T @ gram @ last
+        extend = _whitened(fresh, 1e-22)
+        extend = extend[:, ::-1][:, :max(0, dimension - p)]
+        converged = done or extend.shape[1] == 0
+        if converged or it >= max_iter:
+            break
+        keep = np.eye(p)
+        if p + extend.shape[1] > basis * b:
+            keep = coeff[:, :max(2 * b, p // 3)]
+        state, b_new = _combined(frame, keep, last @ extend), extend.shape[1]
+        p = keep.shape[1]
+
+    if not converged and require_converged:
+        raise RuntimeError(f"the decomposition has not converged after {it} steps: residuals "
+                           f"{residual[:wanted].tolist()} are over {tol}; raise max_iter or tol")
+    sigma = np.sqrt(theta)
+    sel = [i for i in range(min(r if not deflate else wanted, len(sigma))) if sigma[i] > rank_tol]
     if discard == "first":
-        sel = sel[1:wanted + 1]
+        sel = sel[1:]
     elif discard == "last":
-        sel = sel[:min(r, len(sel))][:-1] if len(sel) >= 1 else []
-    else:
-        sel = sel[:wanted]
+        sel = sel[:-1]
     if not sel:
-        raise ValueError("no singular vectors left after the discard rule")
-    R_sel = R[:, sel]
-    U_shift = (c @ R_sel) / sigma[sel] if deflate else np.zeros(len(sel))
-    U_final = _apply(W, b, R_sel / sigma[sel], U_shift)
-    V_final = _apply(V, b, R_sel, np.zeros(len(sel)))
-    emb = _stack(U_final, V_final, len(sel), g.total,
+        if flip:
+            g.release()
+        base_graph.release()
+        raise RankOneGraph("no singular vectors left after the discard rule")
+    w = len(sel)
+    new = np.zeros((1 + 2 * p, w))
+    new[1:1 + p] = coeff[:, sel]
+    if deflate:
+        new[0] = -(gram[0, 1:1 + p] @ coeff[:, sel])
+    V = _combined(frame, np.zeros((p, 0)), new).select("id", *[F.col("f")[j].alias(f"f{j}") for j in range(w)]) \
+        .checkpoint(eager=True)
+    U = _half_step(g, V, g.n, "c", w, **step).select(
+        "id", *[(F.col(f"f{j}") / F.lit(float(sigma[i]))).alias(f"f{j}") for j, i in enumerate(sel)]).checkpoint(eager=True)
+    emb = _stack(U.join(g.rows, "id"), V.join(g.cols, "id"), w, g.total,
                  names=("column", "row") if flip else ("row", "column"))
     if flip:
         g.release()
     if graph is None:
         # The result reads only checkpointed blocks, never the cached edges.
         base_graph.release()
-    return SpectralResult(emb, [float(sigma[i]) for i in sel], it, len(sel), g.m + g.n)
+    return SpectralResult(emb, [float(sigma[i]) for i in sel], it, w, g.m + g.n,
+                          [float(residual[i]) for i in sel], converged)
 
 
 def _stack(U: DataFrame, V: DataFrame, width: int, total: float,
@@ -364,60 +393,3 @@ def _stack(U: DataFrame, V: DataFrame, width: int, total: float,
                          F.array(*[F.col(f"f{j}") * inv for j in range(width)]).alias("embedding"))
 
     return side(U, names[0]).unionByName(side(V, names[1]))
-
-
-def mllib_svd(edges: DataFrame, k: int = 5, max_local_columns: int = 1_000_000):
-    """Cross-check engine: MLlib ``IndexedRowMatrix.computeSVD`` on An, as the
-    reference does.  V comes back as a driver-local n x r matrix, so the
-    column count is checked first and graphs with more than
-    ``max_local_columns`` column nodes are refused (use ``spectral_embedding``).
-    Returns (sigma, U rows, V local, row numbering, column numbering)."""
-    from cobi.operators.matrix import indexed_row_matrix, normalize
-
-    n_cols = edges.select("second_field").distinct().count()
-    if n_cols > max_local_columns:
-        raise ValueError(f"{n_cols} column nodes: too many for a driver-local V; "
-                         "use spectral_embedding (DataFrame engine)")
-    norm = normalize(edges)
-    mat, rows, cols = indexed_row_matrix(norm, "w_norm")
-    r = embedding_width(k)
-    svd = mat.computeSVD(r, computeU=True)
-    return svd.s.toArray(), svd.U, svd.V.toArray(), rows, cols
-
-
-def mllib_embedding(edges: DataFrame, k: int = 5, discard: str = "last") -> SpectralResult:
-    """MAT6-MAT8 through MLlib, as the reference computes them: the top r
-    triplets of An with ``computeSVD`` (no deflation), then one dropped by
-    ``discard`` ('last' as in the reference's code, 'first' as in its comments,
-    'none').  V is a driver-local n x r matrix and U's rows pass through
-    Python, so this engine is for cross-checks on moderate graphs; the
-    DataFrame engine above is the one that scales.
-    """
-    if discard not in ("none", "first", "last"):
-        raise ValueError("the MLlib engine supports discard='none', 'first' or 'last'")
-    from cobi.operators.matrix import degrees
-
-    spark = edges.sparkSession
-    sigma, U, V, rows, cols = mllib_svd(edges, k)
-    r = len(sigma)
-    sel = list(range(r))
-    if discard == "first":
-        sel = sel[1:]
-    elif discard == "last":
-        sel = sel[:-1]
-    if not sel:
-        raise ValueError("no singular vectors left after the discard rule")
-    u = spark.createDataFrame(
-        U.rows.map(lambda row: (int(row.index), [float(row.vector[j]) for j in sel])),
-        "i long, f array<double>")
-    v = spark.createDataFrame([(j, [float(V[j, c]) for c in sel]) for j in range(V.shape[0])],
-                              "j long, f array<double>")
-    deg = degrees(edges)
-    scale = lambda f: F.transform(f, lambda x: x / F.sqrt(F.col("degree")))
-    row_side = (u.join(rows, "i").join(deg.filter(F.col("side") == "row"), "node")
-                .select("side", "node", scale(F.col("f")).alias("embedding")))
-    col_side = (v.join(cols, "j").join(deg.filter(F.col("side") == "column"), "node")
-                .select("side", "node", scale(F.col("f")).alias("embedding")))
-    emb = row_side.unionByName(col_side)
-    n_nodes = rows.count() + cols.count()
-    return SpectralResult(emb, [float(sigma[i]) for i in sel], 0, len(sel), n_nodes)

@@ -13,7 +13,7 @@ from cobi.functions.vectors import embedding_width
 from cobi.operators import edges as E
 from cobi.operators import matrix as M
 from cobi.operators.cluster import recomputed_cost
-from cobi.operators.records import build_record_graph, record_graph_size
+from cobi.operators.records import build_record_graph, filtered_count, record_graph_size
 from cobi.operators.spectral import spectral_embedding
 from cobi.operators.numbering import index_table
 from cobi.operators.sweep import sweep_edges
@@ -87,7 +87,8 @@ def _dirty_key(c):
     return (F.when(m == 0, F.lit("12.0")).when(m == 1, F.concat(F.lit(" "), k, F.lit(" ")))
             .when(m == 2, F.concat(F.lit("+"), k)).when(m == 3, F.lit("x"))
             .when(m == 4, F.concat(F.lit("00"), k)).when(m == 5, F.concat(F.lit("-"), k))
-            .when(m == 6, F.lit("99999999999999999999"))
+            .when(m == 6, F.when(F.col("c_custkey") % 20 == 6, F.concat(k, F.lit("\n")))
+                  .otherwise(F.lit("99999999999999999999")))
             .when(m == 7, F.lit(None).cast("string")).otherwise(k))
 
 
@@ -95,7 +96,8 @@ _DIRTY_KEY_SQL = (
     "CASE c_custkey % 10 WHEN 0 THEN '12.0' WHEN 1 THEN ' ' || CAST(c_custkey AS VARCHAR) || ' ' "
     "WHEN 2 THEN '+' || CAST(c_custkey AS VARCHAR) WHEN 3 THEN 'x' "
     "WHEN 4 THEN '00' || CAST(c_custkey AS VARCHAR) WHEN 5 THEN '-' || CAST(c_custkey AS VARCHAR) "
-    "WHEN 6 THEN '99999999999999999999' WHEN 7 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END")
+    "WHEN 6 THEN CASE WHEN c_custkey % 20 = 6 THEN CAST(c_custkey AS VARCHAR) || chr(10) "
+    "ELSE '99999999999999999999' END WHEN 7 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END")
 
 
 def q_edges_key_parse(spark, sf_dir):
@@ -310,7 +312,7 @@ def _record_graph(spark, sf_dir):
 
 
 def q_record_nodes(spark, sf_dir):
-    return _record_graph(spark, sf_dir).nodes
+    return _record_graph(spark, sf_dir).nodes()
 
 
 def q_record_edges(spark, sf_dir):
@@ -350,14 +352,12 @@ RECORDS = {
 # spectral embedding and clustering (MAT5-8, SET1, CLU1-3, AGG11, E2E6)
 
 SPECTRAL_K = 5
-KMEANS_RUNS = 3
 
 
 def q_trivial_vector(spark, sf_dir):
     """Without deflation the leading singular pair is the trivial one; scaled by
     d^-1/2 it is 1/sqrt(total) on every node (sign is free)."""
-    res = spectral_embedding(part_supplier(spark, sf_dir), SPECTRAL_K, discard="none",
-                             max_iter=12, tol=1e-10)
+    res = spectral_embedding(part_supplier(spark, sf_dir), SPECTRAL_K, discard="none", tol=1e-9)
     return res.embedding.select("side", "node",
                                 (F.round(F.abs(F.col("embedding")[0]), 9) + F.lit(0.0)).alias("z0"))
 
@@ -409,7 +409,7 @@ _PLANTED_CTE = (
 
 
 def _planted(spark, sf_dir):
-    return cluster_bipartite(region_stars(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS)
+    return cluster_bipartite(region_stars(spark, sf_dir), SPECTRAL_K)
 
 
 def q_planted_labels(spark, sf_dir):
@@ -426,7 +426,7 @@ def q_cluster_cost(spark, sf_dir):
     against the cost Spark reports.  Spark measures its cost at the last
     assignment step, before the final centre update, so the two agree to a
     small relative gap, compared at 3 decimals."""
-    c = cluster_bipartite(part_supplier(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS)
+    c = cluster_bipartite(part_supplier(spark, sf_dir), SPECTRAL_K)
     check = recomputed_cost(c.kmeans)
     gap = (F.col("cost") - F.lit(c.kmeans.cost)) / F.greatest(F.col("cost"), F.lit(1e-300))
     return check.select("n_points", (F.round(gap, 3) + F.lit(0.0)).alias("cost_gap"))
@@ -434,14 +434,92 @@ def q_cluster_cost(spark, sf_dir):
 
 def q_sweep_labels(spark, sf_dir):
     """E2E3 + E2E6: every string-field pair of customer x orders, each pair's
-    graph clustered (rank-1 pairs are skipped by ``cluster_sweep``)."""
+    graph clustered.  The labels of graphs without planted blocks have no SQL
+    form; that every node of every pair has one valid label does."""
     sw = sweep_edges(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"),
                      "c_custkey", "o_custkey")
-    return cluster_sweep(sw, SPECTRAL_K, runs=KMEANS_RUNS)
+    labels = cluster_sweep(sw, SPECTRAL_K)
+    return labels.select("column_a", "column_b", "side", "node",
+                         F.col("cluster_no").between(0, SPECTRAL_K - 1).alias("valid"))
+
+
+def q_embedding_residual(spark, sf_dir):
+    """MAT6: ||An v - s u|| and ||An^T u - s v|| of every kept pair, recomputed
+    from the edges: with z = D^-1/2 (u, v) the rows of An v - s u are
+    sqrt(d) (sum_c w z_c / d - s z_r).  0 to four decimals at defaults."""
+    edges = part_supplier(spark, sf_dir)
+    res = spectral_embedding(edges, SPECTRAL_K)
+    z = res.embedding.join(M.degrees(edges), ["side", "node"])
+    sigma = F.array(*[F.lit(s) for s in res.sigma])
+    parts = []
+    for side, own, other in (("row", "first_field", "second_field"), ("column", "second_field", "first_field")):
+        far = z.filter(F.col("side") != side).select(F.col("node").alias(other), F.col("embedding").alias("far"))
+        near = z.filter(F.col("side") == side).select(F.col("node").alias(own), "degree", "embedding")
+        image = (edges.join(far, other).select(own, "weight", F.posexplode("far").alias("j", "x"))
+                 .groupBy(own, "j").agg(F.sum(F.col("weight") * F.col("x")).alias("y")))
+        gap = F.col("y") / F.col("degree") - F.get(sigma, F.col("j")) * F.get("embedding", F.col("j"))
+        parts.append(image.join(near, own).groupBy(F.lit(side).alias("side"), F.col("j").cast("long").alias("j"))
+                     .agg((F.round(F.sqrt(F.sum(F.col("degree") * gap * gap)), 4) + F.lit(0.0)).alias("residual")))
+    return parts[0].unionByName(parts[1])
+
+
+def _residual_sql():
+    width = embedding_width(SPECTRAL_K) - 1
+    return (f"SELECT side, range AS j, CAST(0.0 AS DOUBLE) AS residual "
+            f"FROM range({width}), (SELECT 'row' AS side UNION ALL SELECT 'column' AS side) s")
+
+
+# four blocks by part key; every twentieth order's rows keep their own supplier
+_NOISY_SQL = ("CASE WHEN l_orderkey % 20 = 0 THEN l_suppkey ELSE l_suppkey - l_suppkey % 4 + l_partkey % 4 END")
+
+
+def noisy_blocks(spark, sf_dir) -> DataFrame:
+    """All rows of lineitem as pairs, part x supplier moved into the part's
+    block of four, but for one row in twenty, which links across blocks."""
+    li = table(spark, sf_dir, "lineitem").withColumn("_supplier", F.expr(_NOISY_SQL))
+    return E.edges_from_pairs(li, "l_partkey", "_supplier")
+
+
+def q_labels_noisy(spark, sf_dir):
+    """E2E6 on one connected graph with weak cuts: the blocks must come back."""
+    return cluster_bipartite(noisy_blocks(spark, sf_dir), 4, width=4).labels
+
+
+_LABELS_NOISY_SQL = (
+    f"WITH e AS (SELECT l_partkey AS a, {_NOISY_SQL} AS b FROM lineitem), "
+    f"n AS (SELECT DISTINCT 'row' AS side, CAST(a AS VARCHAR) AS node, a % 4 AS block FROM e UNION ALL "
+    f"SELECT DISTINCT 'column', CAST(b AS VARCHAR), b % 4 FROM e), "
+    f"f AS (SELECT block, min(side || ' ' || node) AS first FROM n GROUP BY 1), "
+    f"r AS (SELECT block, CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS cluster_no FROM f) "
+    f"SELECT side, node, cluster_no FROM n JOIN r USING (block)")
+
+
+def q_sweep_string_keys(spark, sf_dir):
+    """E2E3 on string keys: the key columns are swept like any other field."""
+    key = lambda df, c: df.withColumn(c, F.col(c).cast("string"))
+    return sweep_edges(key(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_mktsegment"),
+                       key(table(spark, sf_dir, "orders"), "o_custkey").select("o_custkey", "o_orderstatus"),
+                       "c_custkey", "o_custkey")
+
+
+def _sweep_string_keys_sql():
+    parts = []
+    for fa in ("c_custkey", "c_mktsegment"):
+        for fb in ("o_custkey", "o_orderstatus"):
+            e = Q.edges_sql(Q.side_sql("customer", "c_custkey", fa, 0), Q.side_sql("orders", "o_custkey", fb, 1))
+            parts.append(f"SELECT '{fa}' AS column_a, '{fb}' AS column_b, * FROM ({e})")
+    return " UNION ALL ".join(parts)
+
+
+def q_filtered_rows(spark, sf_dir):
+    """AGG9: rows of customer and supplier that the record graph keeps."""
+    parts = [filtered_count(table(spark, sf_dir, t), c).select(F.lit(t).alias("name"), "n_rows")
+             for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
+    return parts[0].unionByName(parts[1])
 
 
 def q_labels_part_supplier(spark, sf_dir):
-    return cluster_bipartite(part_supplier(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS).labels
+    return cluster_bipartite(part_supplier(spark, sf_dir), SPECTRAL_K).labels
 
 
 SPECTRAL = {
@@ -466,9 +544,19 @@ SPECTRAL = {
         f"SELECT (SELECT count(DISTINCT first_field) FROM ({PART_SUPPLIER_SQL})) + "
         f"(SELECT count(DISTINCT second_field) FROM ({PART_SUPPLIER_SQL})) AS n_points, "
         f"CAST(0.0 AS DOUBLE) AS cost_gap"),
+    "embedding_residual": (q_embedding_residual, _residual_sql()),
+    "labels_noisy": (q_labels_noisy, _LABELS_NOISY_SQL),
     # k-means labels of graphs without planted blocks: no SQL form.
     "labels_part_supplier": (q_labels_part_supplier, None),
-    "sweep_labels": (q_sweep_labels, None),
+    "sweep_labels": (
+        q_sweep_labels,
+        f"WITH s AS ({_sweep_sql()}) SELECT DISTINCT column_a, column_b, 'row' AS side, first_field AS node, "
+        f"true AS valid FROM s UNION ALL SELECT DISTINCT column_a, column_b, 'column', second_field, true FROM s"),
+    "sweep_string_keys": (q_sweep_string_keys, _sweep_string_keys_sql()),
+    "filtered_rows": (
+        q_filtered_rows,
+        "SELECT 'customer' AS name, count(*) AS n_rows FROM customer WHERE c_nationkey > 0 UNION ALL "
+        "SELECT 'supplier', count(*) FROM supplier WHERE s_nationkey > 0"),
 }
 
 
@@ -481,4 +569,4 @@ REGISTRY.update(SPECTRAL)
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of customer segment x order priority, then both sides clustered."""
-    return cluster_bipartite(segment_priority(spark, sf_dir), SPECTRAL_K, runs=KMEANS_RUNS).labels
+    return cluster_bipartite(segment_priority(spark, sf_dir), SPECTRAL_K).labels

@@ -1,19 +1,24 @@
 """End-to-end operators: cluster one edge list (E2E6), run one pair from a
-pair list (E2E4), write one pair's output (E2E5), CLI defaults (E2E7)."""
+pair list (E2E4), write its field pairs (E2E5) with the reference's options and
+defaults (E2E7)."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cobi.operators.cluster import ClusterResult, kmeans_labels, points_partitions
-from cobi.operators.edges import build_edges
-from cobi.operators.spectral import SpectralResult, mllib_embedding, spectral_embedding
+from cobi.operators.edges import node_sets
+from cobi.operators.spectral import RankOneGraph, SpectralResult, spectral_embedding
 from cobi.operators.sweep import sweep_edges
+from cobi.session import ensure_checkpoint_dir
 from cobi.sources import sinks
-from cobi.sources.describe import collect_field_names, read_description, string_fields
+from cobi.sources.describe import collect_field_names, read_description, string_fields, string_fields_of
 from cobi.sources.pairs import select_pair
 from cobi.sources.tables import TableResolver
 
@@ -30,23 +35,20 @@ class Clustering:
     spectral: SpectralResult
     kmeans: ClusterResult
 
+    def release(self) -> None:
+        """Unpersist the cached points of the fits."""
+        self.kmeans.points.unpersist()
+
 
 def cluster_bipartite(edges: DataFrame, k: int = DEFAULT_CLUSTERS, *, runs: int = 10,
                       max_iter: int = 300, seed: int = 0, discard: str = "trivial",
-                      width: int | None = None, iterations: int = 8, engine: str = "dataframe",
-                      **spectral_options) -> Clustering:
+                      width: int | None = None, **spectral_options) -> Clustering:
     """E2E6: edge list -> labels of row and column nodes.
 
-    ``engine='mllib'`` uses MLlib's ``computeSVD`` the way the reference does
-    (driver-local V; for cross-checks), with ``discard`` 'last' by default.
-
-    Raises on an empty graph (Q9) instead of returning nothing.
+    Raises on an empty graph (Q9) instead of returning nothing, and on one of
+    rank 1 (``RankOneGraph``), which has no second singular vector.
     """
-    if engine == "mllib":
-        spec = mllib_embedding(edges, k, discard="last" if discard == "trivial" else discard)
-    else:
-        spec = spectral_embedding(edges, k, discard=discard, width=width, max_iter=iterations,
-                                  seed=seed, **spectral_options)
+    spec = spectral_embedding(edges, k, discard=discard, width=width, seed=seed, **spectral_options)
     emb = spec.embedding.persist(StorageLevel.MEMORY_AND_DISK)
     km = kmeans_labels(emb, k, runs=runs, max_iter=max_iter, seed=seed,
                        num_partitions=points_partitions(spec.n_nodes, spec.width))
@@ -56,32 +58,33 @@ def cluster_bipartite(edges: DataFrame, k: int = DEFAULT_CLUSTERS, *, runs: int
     return Clustering(km.labels, spec, km)
 
 
-def pair_fields(spark: SparkSession, resolver: TableResolver, table: str,
-                df: DataFrame, key: str) -> list[str]:
-    """String fields of a table: from its description file when the resolver
-    names one (FLT5 on type names), else from the schema."""
-    from cobi.sources.describe import string_fields_of
-
+def pair_fields(spark: SparkSession, resolver: TableResolver, table: str, df: DataFrame) -> list[str]:
+    """String fields of a table, the key column too if it is one: from its
+    description file when the resolver names one (FLT5 on type names), else
+    from the schema."""
     path = resolver.desc_path(table)
     if path:
-        return [f for f in collect_field_names(string_fields(read_description(spark, path)))
-                if f != key.lower()]
-    return string_fields_of(df, exclude=(key,))
+        return collect_field_names(string_fields(read_description(spark, path)))
+    return string_fields_of(df)
 
 
-def run_pair(spark: SparkSession, pairs: DataFrame, resolver: TableResolver,
-             pair_no: int = DEFAULT_PAIR_NO, **options) -> DataFrame:
-    """E2E4 + E2E3: pick line ``pair_no`` of a pair list and sweep all string
-    field pairs of its two tables in one job.  The pair row is metadata (one
-    row), so it is read on the driver."""
+def _chosen(pairs: DataFrame, pair_no: int):
+    """The pair's row: metadata, so it is read on the driver."""
     rows = select_pair(pairs, pair_no).collect()
     if not rows:
         raise ValueError(f"pair list has no line {pair_no}")
-    p = rows[0]
+    return rows[0]
+
+
+def run_pair(spark: SparkSession, pairs: DataFrame, resolver: TableResolver,
+             pair_no: int = DEFAULT_PAIR_NO, **options) -> DataFrame:
+    """E2E4 + E2E3: pick line ``pair_no`` of a pair list and sweep all string
+    field pairs of its two tables in one job (``limit_a``, ``limit_b``: LIM1)."""
+    p = _chosen(pairs, pair_no)
     a = resolver.table(spark, p["table_a"])
     b = resolver.table(spark, p["table_b"])
-    fa = pair_fields(spark, resolver, p["table_a"], a, p["column_a"])
-    fb = pair_fields(spark, resolver, p["table_b"], b, p["column_b"])
+    fa = pair_fields(spark, resolver, p["table_a"], a)
+    fb = pair_fields(spark, resolver, p["table_b"], b)
     return sweep_edges(a, b, p["column_a"], p["column_b"], fa, fb, **options)
 
 
@@ -99,10 +102,44 @@ def write_pair(edges: DataFrame, root: str, pair_no: int, table_a: str, column_a
     return out
 
 
-def edges_for_pair(a: DataFrame, b: DataFrame, key_a: str, key_b: str, node_a: str,
-                   node_b: str, **options) -> DataFrame:
-    """E2E1 under its pair-run name."""
-    return build_edges(a, b, key_a, key_b, node_a, node_b, **options)
+def sweep_pairs(sweep: DataFrame, pairs: list[tuple[str, str]] | None = None
+                ) -> Iterator[tuple[str, str, DataFrame]]:
+    """(column_a, column_b, edges) of each field pair of a sweep.  The sweep is
+    written once to the shared folder, a directory per pair, so each pair reads
+    its own files.  The pairs are metadata, one entry per column pair."""
+    spark = sweep.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/sweep-{uuid.uuid4().hex}"
+    sinks.write_sweep(sweep, path, mode="errorifexists")
+    laid_out = spark.read.schema(sweep.schema).parquet(path)
+    if pairs is None:
+        pairs = sorted((r.column_a, r.column_b) for r in
+                       laid_out.select("column_a", "column_b").distinct().collect())
+    for ca, cb in pairs:
+        yield ca, cb, (laid_out.filter((F.col("column_a") == ca) & (F.col("column_b") == cb))
+                       .select("first_field", "second_field", "weight"))
+
+
+def run_pair_to_files(spark: SparkSession, pairs: DataFrame, resolver: TableResolver, root: str,
+                      pair_no: int = DEFAULT_PAIR_NO, *, k: int | None = None, runs: int = 10,
+                      limit_a: int | None = None, limit_b: int | None = None) -> list[str]:
+    """The reference's live run in one call (E2E3-E2E5, E2E7, SNK1, SNK8): the
+    chosen pair's sweep, one directory per field pair with its edge list as
+    TSV, heaviest edge first; with ``k`` also its labels and embedding.
+    Returns the directories."""
+    p = _chosen(pairs, pair_no)
+    sweep = run_pair(spark, pairs, resolver, pair_no, limit_a=limit_a, limit_b=limit_b)
+    out = []
+    for ca, cb, edges in sweep_pairs(sweep):
+        clustering = None
+        if k is not None:
+            try:
+                clustering = cluster_bipartite(edges, k, runs=runs)
+            except RankOneGraph:
+                pass  # its edge list is written; one cluster holds every node
+        out.append(write_pair(edges, root, pair_no, p["table_a"], ca, p["table_b"], cb, clustering))
+        if clustering is not None:
+            clustering.release()
+    return out
 
 
 def cluster_sweep(sweep: DataFrame, k: int = DEFAULT_CLUSTERS,
@@ -110,29 +147,22 @@ def cluster_sweep(sweep: DataFrame, k: int = DEFAULT_CLUSTERS,
     """E2E3 + E2E6: cluster the edge list of each requested field pair of a
     sweep -> (column_a, column_b, side, node, cluster_no).
 
-    The sweep itself is one job; clustering is iterative per pair, so it is a
-    loop over the requested pairs (metadata, one entry per column pair).
-    Pairs whose graph is empty or of rank 1 are skipped.
+    A graph of rank 1 has nothing to tell its nodes apart: all are in cluster
+    0.  Any other error surfaces.
     """
-    from pyspark.sql import functions as F
-
-    sweep = sweep.persist(StorageLevel.MEMORY_AND_DISK)
-    if pairs is None:
-        pairs = [(r.column_a, r.column_b) for r in
-                 sweep.select("column_a", "column_b").distinct().orderBy("column_a", "column_b")
-                 .collect()]
+    spark = sweep.sparkSession
     out = None
-    for ca, cb in pairs:
-        edges = (sweep.filter((F.col("column_a") == ca) & (F.col("column_b") == cb))
-                 .select("first_field", "second_field", "weight"))
+    for ca, cb, edges in sweep_pairs(sweep, pairs):
         try:
-            labels = cluster_bipartite(edges, k, **options).labels
-        except ValueError:
-            continue
-        labels = labels.select(F.lit(ca).alias("column_a"), F.lit(cb).alias("column_b"), "*")
+            found = cluster_bipartite(edges, k, **options)
+            labels = found.labels.checkpoint(eager=True)
+            found.release()
+        except RankOneGraph:
+            labels = node_sets(edges).withColumn("cluster_no", F.lit(0))
+        labels = labels.select(F.lit(ca).alias("column_a"), F.lit(cb).alias("column_b"),
+                               "side", "node", "cluster_no")
         out = labels if out is None else out.unionByName(labels)
     if out is None:
-        spark = sweep.sparkSession
         return spark.createDataFrame([], "column_a string, column_b string, side string, "
                                          "node string, cluster_no int")
     return out

@@ -59,8 +59,8 @@ def pair_dir(root: str, pair_no: int, table_a: str, column_a: str, table_b: str,
 def write_sweep(sweep: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK8 for a one-job sweep: one directory per field pair through
     ``partitionBy``; ``overwrite`` replaces earlier output of the same pairs
-    when ``spark.sql.sources.partitionOverwriteMode=dynamic``."""
-    sweep.write.mode(mode).partitionBy("column_a", "column_b").parquet(path)
+    and leaves that of others."""
+    sweep.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("column_a", "column_b").parquet(path)
 
 
 def save_model(model, path: str, overwrite: bool = False) -> None:

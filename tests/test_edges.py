@@ -1,12 +1,12 @@
-"""E2E1 edges: the pre-aggregated join equals the naive record-pair join;
-hot-key salting changes nothing; Q2 key rules; LIM1; AGG4-8; E2E3 sweep."""
+"""E2E1 edges: the pre-aggregated join equals the naive record-pair join; hot
+keys of either side are split; Q2 key rules; LIM1; AGG4-8; E2E3 sweep."""
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cobi.operators import edges as E
-from cobi.operators.skew import salted_join
 from cobi.operators.sweep import sweep_edges
 from tests.conftest import rows, table
 
@@ -35,20 +35,44 @@ def test_random_property_preaggregation_equals_naive(spark):
     want = naive_edges(a_rows, b_rows)
     got = rows(E.build_edges(a, b, "ka", "kb", "fa", "pb"))
     assert got == want
-    # hot keys split into salt buckets: identical result
-    got_salted = rows(E.build_edges(a, b, "ka", "kb", "fa", "pb", min_hot_rows=1))
-    assert got_salted == want
     # swapping A and B transposes the edges (with the key rules swapped too)
     swapped = rows(E.build_edges(b, a, "kb", "ka", "pb", "fa", min_key_a=1, min_key_b=0))
     assert sorted((p, f, w) for f, p, w in want) == swapped
 
 
-def test_salted_join_splits_a_hot_key(spark):
-    left = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 0), (3, 1)], "k long, x long")
-    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, y string")
-    got = salted_join(left, right, "k", min_hot_rows=10)
-    assert got.count() == 1001
-    assert rows(got) == rows(left.join(right, "k"))
+@pytest.mark.parametrize("hot", ["left", "right"])
+def test_hot_key_of_either_side_is_split(spark, hot):
+    """One key with very many values: Spark cuts its partition in several
+    tasks, whichever side it is on; nothing is cached while the plan is built."""
+    many = spark.range(40000).select(
+        F.when(F.col("id") % 10 < 8, 7).otherwise(F.col("id") % 50).alias("k"), F.concat(F.lit("v"), F.col("id")).alias("n"))
+    few = spark.range(1, 50).select(F.col("id").alias("k"), F.lit("x").alias("n"))
+    a, b = (many, few) if hot == "left" else (few, many)
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        edges = E.build_edges(a, b, "k", "k", "n", "n")
+        assert edges.agg(F.sum("weight")).first()[0] == many.filter("k > 0").count()
+        edges.collect()
+        assert "skew=true" in edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+
+
+def test_products_beyond_a_long(spark, monkeypatch):
+    big = spark.createDataFrame([(1, 10**10)], "key long, n long")
+    monkeypatch.setattr(E, "key_value_counts", lambda side, name: side.select("key", "node").join(
+        big.withColumnRenamed("n", name), "key"))
+    t = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert rows(E.build_edges(t, t, "k", "k", "v", "v")) == [("a", "a", 1e20)]
 
 
 def test_segment_priority_totals(spark):
@@ -64,6 +88,8 @@ def test_string_keys_compare_as_strings(spark):
     a = spark.createDataFrame([("7", "f"), ("007", "g"), ("12.0", "h")], "k string, n string")
     b = spark.createDataFrame([(7, "p")], "k long, n string")
     assert rows(E.build_edges(a, b, "k", "k", "n", "n")) == [("f", "p", 1.0)]
+    ends = spark.createDataFrame([("7\n", "f"), ("7", "g")], "k string, n string")
+    assert rows(E.build_edges(ends, b, "k", "k", "n", "n")) == [("g", "p", 1.0)]
 
 
 def test_limit_empty_and_sizes(spark):
@@ -73,7 +99,7 @@ def test_limit_empty_and_sizes(spark):
     assert capped.agg(F.sum("weight")).first()[0] <= 100
     empty = E.build_edges(c.filter("c_custkey < 0"), o, "c_custkey", "o_custkey",
                           "c_mktsegment", "o_orderpriority")
-    assert E.is_empty(empty) and empty.columns == E.EDGE_COLUMNS
+    assert empty.isEmpty() and empty.columns == E.EDGE_COLUMNS
     e = E.build_edges(table(spark, "part"), table(spark, "lineitem"), "p_partkey", "l_partkey",
                       "p_brand", "l_returnflag")
     size = E.graph_size(e).first()

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from cobi.operators.records import build_record_graph, record_graph_size
+from cobi.operators.records import build_record_graph, filtered_count, record_graph_size
 from tests.conftest import table
 
 
@@ -15,7 +15,7 @@ def test_record_graph_matches_pairs(spark):
     b_nodes = {f"{i}_{v}": v for i, (_, v) in enumerate(supp)}
     pairs = [(na, nb) for na, va in a_nodes.items() for nb, vb in b_nodes.items() if va == vb]
     deg_a, deg_b = Counter(p[0] for p in pairs), Counter(p[1] for p in pairs)
-    got = {(r.side, r.node): r.degree for r in g.nodes.collect()}
+    got = {(r.side, r.node): r.degree for r in g.nodes().collect()}
     want = {("row", n): float(d) for n, d in deg_a.items()}
     want.update({("column", n): float(d) for n, d in deg_b.items()})
     assert got == want
@@ -24,11 +24,13 @@ def test_record_graph_matches_pairs(spark):
     assert size.n_rows == len(deg_a) and size.n_cols == len(deg_b)
 
 
-def test_record_graph_hot_value_split(spark):
-    """A value held by most records is salted; the nodes are unchanged."""
+def test_record_graph_with_a_hot_value(spark):
+    """A value held by most records; blocks come from counts alone."""
     a = spark.createDataFrame([(i, 1 if i % 10 else 2) for i in range(1, 301)], "ka long, v long")
     b = spark.createDataFrame([(i, 1 if i % 3 else 2) for i in range(1, 31)], "kb long, v long")
-    plain = build_record_graph(a, b, "v", "v", ["ka"], ["kb"], split_hot_values=False)
-    salted = build_record_graph(a, b, "v", "v", ["ka"], ["kb"], min_hot_rows=5)
-    assert sorted(plain.nodes.collect()) == sorted(salted.nodes.collect())
-    assert record_graph_size(salted).first().n_edges == 270 * 20 + 30 * 10
+    g = build_record_graph(a, b, "v", "v", ["ka"], ["kb"])
+    assert record_graph_size(g).first().n_edges == 270 * 20 + 30 * 10
+    assert "rangepartitioning" not in g.blocks._jdf.queryExecution().executedPlan().toString()
+    degrees = Counter((r.side, r.value, r.degree) for r in g.nodes().collect())
+    assert degrees == {("row", "1", 20.0): 270, ("row", "2", 10.0): 30, ("column", "1", 270.0): 20, ("column", "2", 30.0): 10}
+    assert filtered_count(a, "V").first().n_rows == 300

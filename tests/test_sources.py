@@ -64,9 +64,50 @@ def test_run_pair_and_write(spark, tmp_out):
     assert back.columns == ["first_field", "Second_field", "Weight"]
     ws = [float(r.Weight) for r in back.collect()]
     assert ws == sorted(ws, reverse=True) and len(ws) == 25
-    sinks.write_sweep(sweep, tmp_out + "/sweep")
+    # two pairs written in turn: the second leaves the first, a repeat replaces it
+    other = sweep.filter("column_a = 'c_mktsegment' AND column_b = 'o_orderstatus'")
+    for part in (one, other, one):
+        sinks.write_sweep(part, tmp_out + "/sweep")
     parts = spark.read.parquet(tmp_out + "/sweep")
-    assert parts.count() == sweep.count()
+    assert parts.count() == one.count() + other.count()
+
+
+def test_live_run_to_files(spark, tmp_out):
+    from cobi.__main__ import main
+    spark.createDataFrame([(str(k % 7), "s" + str(k % 3), k) for k in range(60)], "id string, grp string, n long") \
+        .write.parquet(tmp_out + "/t/a.parquet")
+    spark.createDataFrame([(str(k % 7), "q" + str(k % 4)) for k in range(40)], "id string, kind string") \
+        .write.parquet(tmp_out + "/t/b.parquet")
+    _write(tmp_out + "/pairs.csv", "X.x,Y.y\nA.id,B.id\n")
+    out = main([tmp_out + "/pairs.csv", tmp_out + "/t", tmp_out + "/out", "2"])
+    names = sorted(os.path.basename(o) for o in out)
+    assert names == sorted(f"1-A_{a}__B_{b}" for a in ("id", "grp") for b in ("id", "kind"))   # the key columns too
+    for o in out:
+        back = spark.read.option("sep", "\t").option("header", True).csv(o + "/edgelist")
+        ws = [float(r.Weight) for r in back.collect()]
+        assert ws and ws == sorted(ws, reverse=True)
+    assert main([tmp_out + "/pairs.csv", tmp_out + "/t", tmp_out + "/out2", "2", "10", "1", "--edges-only"])
+    small = spark.read.option("sep", "\t").option("header", True).csv(tmp_out + "/out2/1-A_grp__B_kind/edgelist")
+    assert 0 < sum(float(r.Weight) for r in small.collect()) <= 10 * 60
+
+
+def test_other_sinks(spark, tmp_out):
+    from cobi.operators.cluster import kmeans_labels
+    from pyspark.ml.clustering import KMeansModel
+    emb = spark.createDataFrame([("row", f"r{i}", [float(i % 2), 0.0]) for i in range(6)]
+                                + [("column", "c", [1.0, 0.0])], "side string, node string, embedding array<double>")
+    sinks.write_embedding(emb, tmp_out + "/e")
+    sinks.write_embedding(emb, tmp_out + "/j", fmt="json")
+    assert rows(spark.read.parquet(tmp_out + "/e").select("side", "node")) == rows(emb.select("side", "node"))
+    assert spark.read.json(tmp_out + "/j").count() == 7
+    sinks.write_table(emb, tmp_out + "/t")
+    assert spark.read.parquet(tmp_out + "/t").columns == emb.columns
+    res = kmeans_labels(emb, 2, runs=1)
+    sinks.write_labels(res.labels, tmp_out + "/c", "column")
+    assert spark.read.option("sep", "\t").option("header", True).csv(tmp_out + "/c").first().recordValue == "c"
+    sinks.save_model(res.model, tmp_out + "/m")
+    sinks.save_model(res.model, tmp_out + "/m", overwrite=True)
+    assert KMeansModel.load(tmp_out + "/m").getK() == 2
 
 
 def test_label_and_indexed_sinks(spark, tmp_out):
@@ -89,7 +130,11 @@ def test_cluster_sweep(spark):
     from cobi.plans.runs import cluster_sweep
     sw = sweep_edges(table(spark, "customer"), table(spark, "orders"), "c_custkey", "o_custkey",
                      ["c_mktsegment"], ["o_orderstatus", "o_orderpriority"])
-    labels = cluster_sweep(sw, 3, runs=1, iterations=3)
+    labels = cluster_sweep(sw, 3, runs=1)
     got = {(r.column_b, r.side) for r in labels.select("column_b", "side").distinct().collect()}
     assert got == {(b, s) for b in ("o_orderstatus", "o_orderpriority") for s in ("row", "column")}
     assert labels.filter("cluster_no < 0 OR cluster_no >= 3").count() == 0
+    flat = spark.createDataFrame([("a", "b", f"x{i}", f"y{j}", 1.0) for i in range(3) for j in range(2)],
+                                 "column_a string, column_b string, first_field string, second_field string, weight double")
+    got = cluster_sweep(flat, 3, runs=1).collect()
+    assert len(got) == 5 and {r.cluster_no for r in got} == {0}      # rank 1: one cluster
