@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.col("node").alias("doc_id"), "n", "component", "blocks",
         F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     spark = docs.sparkSession
-    tiles = (base.join(placed, "doc_id").select("doc_id", "text", "component", "blocks", "block")
+    # always by shuffles: what one small table would let Spark do is no plan for large ones
+    tiles = (base.join(placed.hint("merge"), "doc_id").select("doc_id", "text", "component", "blocks", "block")
              .mapInArrow(_tile_rows(size), "tile string, doc_id long, shingles array<long>"))
     links = saved(tiles.repartition(4 * partitions(spark), "tile").sortWithinPartitions("tile", "doc_id")
                   .mapInArrow(_verify(percent), "u long, v long"), "links")
