@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from cobi.llm import words as W
 from cobi.llm.common import partitions, saved
 
-DEPTH = 5
+DEPTH = 4
 BLOCK_BYTES = 32_000_000
 HELD_OUT = 10        # crc32 of the id modulo this is 0: held out
 _SPACE, _END = 0x20, 0x0A

@@ -106,11 +106,11 @@ class Model:
 
 
 def _keys(model: Model, batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(log-weight, key) of each row: Gumbel noise by the row's hash ``_u``
-    over the tempered weight."""
+    """(log-weight, key) of each row: Gumbel noise by the row's hash, which is
+    the last column, over the tempered weight."""
     parts = [model.log_weights(data, offsets) for _, data, offsets in W.chunks(batch, text)]
     weight = np.concatenate(parts) if parts else np.zeros(0)
-    u = (batch.column("_u").to_numpy().view(W.U64) >> W.U64(12)).astype(np.float64)
+    u = (batch.column(batch.num_columns - 1).to_numpy().view(W.U64) >> W.U64(12)).astype(np.float64)
     return weight, weight / TEMPERATURE - np.log(-np.log((u + 0.5) / float(1 << 52)))
 
 
@@ -131,7 +131,7 @@ def _accepted(shared, text: str, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = batch.filter(pa.array(_keys(shared.value, batch, text)[1] >= cut))
-            yield kept.select(kept.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], schema=pa.schema(list(kept.schema)[:-1]))
     return run
 
 
@@ -207,7 +207,10 @@ def select_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     _, cut = resample(docs, model, id_col=id_col, text_col=text_col)
     shared = Shared(docs.sparkSession, model)
     noise = _noise(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    return docs.select(*[docs[c] for c in docs.columns], noise).mapInArrow(
+    name = "_u"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return docs.select(*[docs[c] for c in docs.columns], noise.alias(name)).mapInArrow(
         _accepted(shared, text_col, float(cut)), docs.schema)
 
 
