@@ -5,11 +5,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from cobi.llm.ctw import score_documents
+from cobi.llm.ctw import DEPTH, score_documents
 from tests.conftest import SF_SMALL, table
 
-DEPTH = 5
-
 
 def words(t):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
