@@ -36,6 +36,7 @@ KEY = b"pseudonym key of the registered query"
 #: a text without one of these holds no value
 _MAY_HOLD = re.compile(r"[0-9@]|=")
 
+# groups with names of two letters are separators
 _FINDER = re.compile("|".join([
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
     r"(?P<secret>(?i:password|passwd|pwd|secret|api_?key)=[^\s\"'&;,]*[^\s\"'&;,.!?:)])",
@@ -45,10 +46,12 @@ _FINDER = re.compile("|".join([
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     r"(?P<ymd>(?<![0-9./-])[0-9]{4}([-/.])[0-9]{1,2}\g<SEP1>[0-9]{1,2}(?![0-9]|[./-][0-9]))",
     r"(?P<dmy>(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\g<SEP2>[0-9]{4}(?![0-9]|[./-][0-9]))",
-    r"(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))",
+    r"(?P<ipv4>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))",
     r"(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9]))",
-    r"(?P<card>(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9]))",
-    r"(?P<phone>(?<![0-9A-Za-z+.])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,5}){1,5}(?![0-9A-Za-z])"
+    r"(?P<card>(?<![0-9A-Za-z.+-])(?:[0-9]{13,19}|[0-9]{4}(?P<c1>[ -])[0-9]{4}(?P=c1)[0-9]{4}(?P=c1)[0-9]{1,7}"
+    r"|[0-9]{4}(?P<c2>[ -])[0-9]{6}(?P=c2)[0-9]{5})(?![0-9A-Za-z]|-[0-9]))",
+    r"(?P<phone>(?<![0-9A-Za-z+.])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z+.])\+(?!1[ (.-])[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,5}){1,5}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z(.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z]|-[0-9]))",
 ]).replace(r"([-/.])[0-9]{1,2}\g<SEP1>", r"(?P<s1>[-/.])[0-9]{1,2}(?P=s1)")
   .replace(r"([-/.])[0-9]{1,2}\g<SEP2>", r"(?P<s2>[-/.])[0-9]{1,2}(?P=s2)"))
@@ -182,7 +185,7 @@ class Pseudonyms:
         out = self._date("mdy", fields, 2, 0, 1) if month_first else self._date("day", fields, 2, 1, 0)
         return out and text[-5].join(out)
 
-    def _ip_value(self, text: str) -> str | None:
+    def _ipv4_value(self, text: str) -> str | None:
         octets = text.split(".")
         if any(int(o) > 255 or str(int(o)) != o for o in octets):
             return None
@@ -237,14 +240,18 @@ class Pseudonyms:
             return text, found
         parts, at, pos = [], 0, 0
         while (m := _FINDER.search(text, pos)) is not None:
-            kind = next(k for k, v in m.groupdict().items() if v is not None and k not in ("s1", "s2"))
-            new = self.value(kind, m[0])
+            kind = next(k for k, v in m.groupdict().items() if v is not None and len(k) > 2)
+            old = m[0]
+            new = self.value(kind, old)
+            while new is None and kind == "iban" and " " in old:  # the next words may look like its last groups
+                old = old.rpartition(" ")[0]
+                new = self.value(kind, old)
             if new is None:  # another kind of value may start inside
                 pos = m.start() + 1
                 continue
             found["date" if kind in ("ymd", "dmy") else kind] += 1
             parts += [text[at:m.start()], new]
-            at = pos = m.end()
+            at = pos = m.start() + len(old)
         return ("".join([*parts, text[at:]]) if parts else text), found
 
 
