@@ -165,10 +165,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     repeated = saved(grams.groupBy("h").agg(F.min("th").alias("lo"), F.max("th").alias("hi"),
                                             F.min("doc_id").alias("least"))
                      .where("lo < hi").select("h", "least"), "grams")
-    seen = (grams.join(repeated, "h").groupBy("doc_id", "th")
+    # written on its own, so that the grams' shuffle is gone when the texts are shuffled
+    seen = saved(grams.join(repeated, "h").groupBy("doc_id", "th")
             .agg(F.collect_list("h").alias("seen"),
                  F.collect_list(F.when(F.col("least") < F.col("doc_id"), F.col("h"))).alias("later"))
-            .join(copies, ["doc_id", "th"], "left_anti"))
+            .join(copies, ["doc_id", "th"], "left_anti"), "seen")
     work = saved(named.join(seen, ["doc_id", "th"]).select("doc_id", "th", "text", "seen", "later"), "work")
 
     schema = "a long, b long, doc_id long, th long, start int"
