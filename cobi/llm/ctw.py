@@ -16,7 +16,11 @@ At scale: documents are dealt into blocks of about ``BLOCK_BYTES`` of text.  A
 block sends each distinct word and (context, byte) gram once, however often it
 holds it.  The model is the aggregated tables of these, built level by level
 with grouped sums (up: counts and log P_w; down: the mixture), and grows with
-the corpus.  A block gets back the entries of its own words and grams and
+the corpus.  Only the levels 0..``SPLIT`` are tables of nodes.  The deeper ones
+have several times as many nodes as there are grams, so they are never stored:
+the grams with the same last ``SPLIT`` context bytes hold whole subtrees, and a
+task builds these from the grams, once for the way up and once for the way down.
+A block gets back the entries of its own words and grams and
 scores its documents with them: nothing is broadcast and no key can be hot,
 since it occurs once a block at most.
 """
@@ -34,7 +38,9 @@ from pyspark.sql import functions as F
 from cobi.llm import words as W
 from cobi.llm.common import partitions, saved
 
-DEPTH = 4
+DEPTH = 5
+SPLIT = 3            # context bytes down to which the levels are tables
+TASK_GRAMS = 1 << 18
 BLOCK_BYTES = 32_000_000
 HELD_OUT = 10        # crc32 of the id modulo this is 0: held out
 _SPACE, _END = 0x20, 0x0A
@@ -149,28 +155,119 @@ def _log_kt(a: Column, b: Column) -> Column:
         _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1.0))
 
 
-def _bits(grams: DataFrame) -> DataFrame:
-    """The eight nodes (context * 256 + bits so far) of each gram and its bit."""
-    byte = F.col("key").bitwiseAND(255)
-    return (grams.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"))
-            .select("*", ((F.col("key") - byte) + F.expr("shiftright(key & 255 | 256, 8 - j)")).alias("node"),
-                    F.expr("shiftright(key, 7 - j) & 1").alias("bit")))
-
-
 def _parent(depth: int) -> Column:
     """Node key with the oldest of ``depth`` context bytes taken away."""
     return F.col("node").bitwiseAND((1 << (8 * depth)) - 1)
 
 
+def _np_lgamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5)
+    below = sum(np.log(x + k) for k in range(8))
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - below
+
+
+def _np_log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a + b == 0, 0.0,
+                    _np_lgamma(a + 0.5) + _np_lgamma(b + 0.5) - math.log(math.pi) - _np_lgamma(a + b + 1.0))
+
+
+def _subtrees(keys: np.ndarray, n: np.ndarray, depth: int, split: int, j: int):
+    """Levels ``depth``..``split`` of the nodes with ``j`` bits, as (node, a, b,
+    kt, pw, place of what is below: of the grams at first), and the grams' bits."""
+    byte = keys & 255
+    bit = byte >> (7 - j) & 1
+    node, place = np.unique(keys - byte + ((byte | 256) >> (8 - j)), return_inverse=True)
+    b = np.bincount(place, weights=n * bit, minlength=len(node))
+    a = np.bincount(place, weights=n * (1 - bit), minlength=len(node))
+    kt = _np_log_kt(a, b)
+    levels = [(node, a, b, kt, kt, place)]
+    for d in range(depth, split, -1):
+        below, a, b, _, pw, _ = levels[-1]
+        node, place = np.unique(below & ((1 << (8 * d)) - 1), return_inverse=True)
+        a, b, children = (np.bincount(place, weights=x, minlength=len(node)) for x in (a, b, pw))
+        kt = _np_log_kt(a, b)
+        pw = np.where(a + b == 0, 0.0, np.logaddexp(kt, children) - math.log(2))
+        levels.append((node, a, b, kt, pw, place))
+    return levels, bit
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``tail``, in tables of about ``TASK_GRAMS`` rows that end
+    where a tail ends."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tails = batch.column("tail").to_numpy()
+        if rows >= TASK_GRAMS:
+            last = held[-1].column("tail")[-1].as_py()
+            cut = int(np.searchsorted(tails, last, side="right"))
+            if cut < len(tails):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _up(depth: int, split: int):
+    """The nodes of level ``split`` from the grams."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            keys, n = t.column("key").to_numpy(), t.column("n").to_numpy()
+            for j in range(8):
+                node, a, b, _, pw, _ = _subtrees(keys, n, depth, split, j)[0][-1]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, a, b, pw)], names=["node", "a", "b", "pw"])
+    return run
+
+
+def _down(depth: int, split: int):
+    """(key, score) of the grams, which come with the nodes of level ``split``
+    (``rest`` is null for a gram, and ``final`` its count)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            t = t.combine_chunks()
+            gram = t.column("rest").is_null().to_numpy()
+            key = t.column("key").to_numpy()
+            final, total, rest = (t.column(c).to_numpy() for c in ("final", "sum", "rest"))
+            keys, n = key[gram], final[gram]
+            order = np.argsort(key[~gram])
+            nodes, *above = (x[~gram][order] for x in (key, final, total, rest))
+            score = np.zeros(len(keys))
+            for j in range(8):
+                levels, bit = _subtrees(keys, n, depth, split, j)
+                at = np.searchsorted(nodes, levels[-1][0])
+                f, s, r = (x[at] for x in above)
+                for k in range(len(levels) - 2, -1, -1):
+                    _, a, b, kt, pw, _ = levels[k]
+                    up = levels[k + 1][-1]
+                    f, s, r = f[up], s[up], r[up]
+                    p, w, seen = (b + 0.5) / (a + b + 1.0), np.exp(kt - pw - math.log(2)), a + b > 0
+                    f, s, r = (np.where(seen, s + r * p, f), np.where(seen, s + r * w * p, s),
+                               np.where(seen, r * (1 - w), r))
+                one = f[levels[0][-1]]
+                score += np.log10(np.where(bit == 1, one, 1 - one))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(score)], names=["key", "score"])
+    return run
+
+
+def _by_tail(df: DataFrame, split: int) -> DataFrame:
+    """Rows dealt and sorted by the last ``split`` context bytes of ``key``."""
+    tail = F.shiftright("key", 8).bitwiseAND((1 << (8 * split)) - 1)
+    return (df.withColumn("tail", tail).repartition(partitions(df.sparkSession), "tail")
+            .sortWithinPartitions("tail"))
+
+
 def gram_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, score) from (key, n): log10 probability of a gram's byte after its
     context.  Grams with n = 0 are asked for without having been seen."""
-    leaf = (_bits(grams).groupBy("node")
-            .agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("a"),
-                 F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("b")))
-    levels = [saved(leaf.withColumn("kt", _log_kt(F.col("a"), F.col("b"))).withColumn("pw", F.col("kt")),
-                    f"depth{depth}")]
-    for d in range(depth, 0, -1):
+    split = min(SPLIT, depth)
+    leaf = (_by_tail(grams.select("key", F.col("n").cast("double").alias("n")), split)
+            .mapInArrow(_up(depth, split), "node long, a double, b double, pw double"))
+    levels = [saved(leaf.withColumn("kt", _log_kt(F.col("a"), F.col("b"))), f"depth{split}")]
+    for d in range(split, 0, -1):
         up = (levels[-1].select(_parent(d).alias("node"), "a", "b", "pw").groupBy("node")
               .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("children"))
               .withColumn("kt", _log_kt(F.col("a"), F.col("b"))))
@@ -179,8 +276,8 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
             high + F.log1p(F.exp(low - high)) - math.log(2))
         levels.append(saved(up.withColumn("pw", pw).drop("children"), f"depth{d - 1}"))
     down = None
-    for d in range(depth + 1):
-        t = levels[depth - d].withColumn("p", (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)) \
+    for d in range(split + 1):
+        t = levels[split - d].withColumn("p", (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0)) \
             .withColumn("w", F.exp(F.col("kt") - F.col("pw") - math.log(2)))
         if d == 0:
             now = t.select("node", F.col("p").alias("final"), (F.col("w") * F.col("p")).alias("sum"),
@@ -194,10 +291,11 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
                 "node", F.when(seen, F.col("s") + F.col("r") * F.col("p")).otherwise(F.col("f")).alias("final"),
                 F.when(seen, F.col("s") + F.col("r") * F.col("w") * F.col("p")).otherwise(F.col("s")).alias("sum"),
                 F.when(seen, F.col("r") * (1 - F.col("w"))).otherwise(F.col("r")).alias("rest"))
-        down = saved(now, f"mixture{d}") if 0 < d < depth else now
-    bit = F.when(F.col("bit") == 1, F.col("final")).otherwise(1 - F.col("final"))
-    return (_bits(grams.select("key")).join(down.select("node", "final"), "node")
-            .groupBy("key").agg(F.sum(F.log10(bit)).alias("score")))
+        down = saved(now, f"mixture{d}") if 0 < d < split else now
+    none = F.lit(None).cast("double")
+    both = (grams.select("key", F.col("n").cast("double").alias("final"), none.alias("sum"), none.alias("rest"))
+            .unionAll(down.select(F.col("node").alias("key"), "final", "sum", "rest")))
+    return _by_tail(both, split).mapInArrow(_down(depth, split), "key long, score double")
 
 
 # -- scores --------------------------------------------------------------------

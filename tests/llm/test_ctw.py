@@ -1,10 +1,12 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
+from cobi.llm import ctw
 from cobi.llm.ctw import DEPTH, score_documents
 from tests.conftest import SF_SMALL, table
 
@@ -116,3 +118,28 @@ def test_empty_and_untrained(spark):
     assert score_documents(docs).count() == 0
     one = score_documents(spark.createDataFrame([(None, "ab")], "doc_id long, text string")).first()
     assert (one.train_tokens, one.n_known) == (0, 0) and one.score == pytest.approx(24 * math.log10(0.5))
+
+
+def test_fifth_byte_back_is_used(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["axxxxp", "bxxxxq"]) for _ in range(50))) for i in range(300)],
+                                 "doc_id long, text string")
+    out = score_documents(docs).where("held_out").groupBy().sum("score", "n_bytes").first()
+    # a word is one free choice; without the fifth byte back its end would be another one
+    assert -out["sum(score)"] * math.log2(10) / (out["sum(n_bytes)"] / 7) < 1.4
+
+
+def test_scores_above_the_unigram_base(spark):
+    out = score_documents(table(spark, "documents", "/root/testdata/sf0.1")).where("held_out").groupBy() \
+        .sum("score", "base_score").first()
+    assert out["sum(score)"] > 0.97 * out["sum(base_score)"]
+
+
+def test_every_depth_and_task_size(spark, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in table(spark, "documents").orderBy("doc_id").limit(5).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for depth in (0, 2, 3, 6):
+        monkeypatch.setattr(ctw, "TASK_GRAMS", 1 + 50 * depth)
+        want = brute(rows, depth)
+        for r in score_documents(docs, depth=depth).collect():
+            assert r.score == pytest.approx(want[r.doc_id, dict(rows)[r.doc_id]][5], rel=1e-6)
