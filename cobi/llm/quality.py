@@ -9,7 +9,10 @@ of symbols, and the rates of repeated words, capitals and symbol runs.
 
 Weights are truncated at 1: an n-gram that the target holds more often does not
 raise a weight (else long texts win by length alone), and a ratio counts only
-if the target's shortfall is beyond ``SIGMAS`` standard errors of chance.
+if the target's shortfall is beyond ``SIGMAS`` standard errors of chance.  An
+n-gram too rare for that counts if no target document holds it and the labelled
+junk or toxic documents hold it as far beyond chance: b of B bad documents and
+none of T good ones have the log-likelihood ratio 2 b log((T + B) / B).
 
 Documents are sampled by Gumbel top-k over log-weight / ``TEMPERATURE``, with k
 the number of documents at or above the threshold.  That is the weight below
@@ -44,6 +47,7 @@ MAX_LOSS = 0.002
 TEMPERATURE = 0.05
 MAX_LABELLED = 50_000
 _SYMBOLS = W.NON_SPACE & ~W.ALNUM
+_COUNTED = ["raw", "target", "junk", "toxic"]
 _KEYED = "doc_id long, log_weight double, key double"
 
 
@@ -68,25 +72,24 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS) ->
     return both >> bits, both & ((1 << bits) - 1)
 
 
-def _counts(target, bits: int):
-    """(bucket, documents that hold it, target documents that do), once a task;
-    bucket -1 holds the numbers of documents."""
+def _counts(labelled, bits: int):
+    """(bucket, documents that hold it, target, junk and toxic documents that
+    do), once a task; bucket -1 holds the numbers of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good = target.value
-        raw, own = (np.zeros(1 << bits, dtype=np.int64) for _ in range(2))
-        n = n_own = 0
+        counts = np.zeros((1 + len(labelled.value), 1 << bits), dtype=np.int64)
+        n = np.zeros(len(counts), dtype=np.int64)
         for batch in batches:
             for rows, data, offsets in W.chunks(batch, "text"):
                 ids = rows.column("doc_id").fill_null(-1).to_numpy()
-                is_own = np.isin(ids, good) & rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                valid = rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 doc, bucket = features(data, offsets, bits)
-                raw += np.bincount(bucket, minlength=1 << bits)
-                own += np.bincount(bucket[is_own[doc]], minlength=1 << bits)
-                n, n_own = n + len(ids), n_own + int(is_own.sum())
-        at = np.flatnonzero(raw)
+                for k, own in enumerate([np.ones(len(ids), bool), *(np.isin(ids, x) & valid for x in labelled.value)]):
+                    counts[k] += np.bincount(bucket[own[doc]], minlength=1 << bits)
+                    n[k] += int(own.sum())
+        at = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(raw[at], n)), pa.array(np.append(own[at], n_own))],
-            names=["bucket", "raw", "target"])
+            [pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(c[at], x)) for c, x in zip(counts, n, strict=True))],
+            names=["bucket", *_COUNTED])
     return run
 
 
@@ -168,17 +171,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rated = (labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id")
              .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    good = np.array(sorted(r.doc_id for r in rated.collect() if r.quality == 1 and r.toxic == 0), dtype=np.int64)
-    target = Shared(spark, good)
-    counts = saved(base.mapInArrow(_counts(target, bits), "bucket int, raw long, target long")
-                   .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "counts")
+    rows = rated.collect()
+    good, junk, toxic = (np.array(sorted(r.doc_id for r in rows if rule(r)), dtype=np.int64) for rule in (
+        lambda r: r.quality == 1 and r.toxic == 0, lambda r: r.quality == 0, lambda r: r.toxic == 1))
+    labelled = Shared(spark, [good, junk, toxic])
+    counts = saved(base.mapInArrow(_counts(labelled, bits), "bucket int, " + ", ".join(f"{c} long" for c in _COUNTED))
+                   .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in _COUNTED)), "counts")
     total = counts.where("bucket = -1").first()
     if total is None or not total.target:
         return Model(np.zeros(0, np.int64), np.zeros(0), bits)
     expected = F.col("raw") * (total.target / total.raw)
     ratio = F.log((F.col("target") + SMOOTHING) / (expected + SMOOTHING))
-    kept = counts.where("bucket >= 0").select("bucket", ratio.alias("r")).where(
-        (expected - F.col("target") >= SIGMAS * F.sqrt(expected + 1)) & (ratio <= -MIN_LOG_RATIO)).collect()
+    short = expected - F.col("target") >= SIGMAS * F.sqrt(expected + 1)
+    for bad in ("junk", "toxic"):
+        if total[bad]:
+            proof = 2 * F.col(bad) * float(np.log((total.target + total[bad]) / total[bad]))
+            short = short | ((F.col("target") == 0) & (proof >= SIGMAS ** 2))
+    kept = counts.where("bucket >= 0").select("bucket", ratio.alias("r")).where(short & (ratio <= -MIN_LOG_RATIO)).collect()
     model = Model(np.array([r.bucket for r in kept], dtype=np.int64), np.array([r.r for r in kept]), bits)
     shared = Shared(spark, model)
 

@@ -75,3 +75,28 @@ def test_edge_rows(spark):
         assert select_quality(docs, rated).count() == 6
     assert resample(docs.limit(0), fit(docs.limit(0), labels))[0].count() == 0
     assert query(spark, "/root/testdata/sf0.001").count() == table(spark, "documents").count()
+
+
+def test_toxic_words_too_rare_for_a_shortfall(spark):
+    docs, rows = [], []
+    for i in range(600):
+        toxic = i % 60 == 0     # ten in 600: the target expects nine or ten
+        docs.append((i, f"plain words here {'abc'[i % 3]}" + " slur" * toxic))
+        if i < 540:
+            rows.append((i, 1, int(toxic)))
+    rows += [(i, 1, 1) for i in range(1000, 1040)]
+    docs += [(i, "plain words here a insult") for i in range(1000, 1040)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.accepted for r in resample(docs, fit(docs, labels))[0].collect()}
+    # also the one without a label (540)
+    assert {i for i, ok in out.items() if not ok} == {*range(0, 600, 60), *range(1000, 1040)}
+
+
+def test_held_out_toxic_documents_go(spark):
+    docs, labels = table(spark, "documents", SF), table(spark, "labels", SF)
+    train, test = labels.randomSplit([0.7, 0.3], 5)
+    got = {r.doc_id: r.accepted for r in resample(docs, fit(docs, train))[0].collect()}
+    kept = lambda rows: (lambda x: sum(x) / len(x))([got[r.doc_id] for r in test.where(rows).collect()])
+    rates = {"good": kept("quality = 1 and toxic = 0"), "junk": kept("quality = 0"), "toxic": kept("toxic = 1")}
+    assert rates["good"] > 0.99 and rates["junk"] < 0.05 and rates["toxic"] < 0.15, rates
