@@ -39,8 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the smallest id stays."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
+    """Of each group of near duplicates (similarity of 0.8 or more), the smallest id stays."""
+    gone = near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
 
 

@@ -60,3 +60,29 @@ def test_edge_rows(spark, tmp_out):
     empty = chained(spark, docs.limit(0), SF_SMALL, f"{tmp_out}/empty")
     assert [t.count() for t in empty] == [0] * 6
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_dedup_goes_by_a_similarity_of_80(spark):
+    rows = []
+    for k, (n, changed) in enumerate([(49, [20]), (100, [30, 60]), (100, [30, 50, 70]), (100, [50]), (48, [20])]):
+        w = [f"w{k}x{i}" for i in range(n)]     # 0.80, 0.81, 0.73, 0.90, 0.796
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join("new" if i in changed else x for i, x in enumerate(w)))]
+    rows += [(100 + r.doc_id, r.text) for r in table(spark, "documents").collect()]
+    want = groups(rows, percent=80)
+    assert [i for i in range(10) if want[i][1] != i] == [1, 3, 7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF_SMALL).collect()} == {
+        i for i, _ in rows if want[i][1] == i}
+
+
+def test_all_stages_at_80(spark, tmp_out):
+    _, good, single, clean, private, packed = chained(spark, table(spark, "documents"), SF_SMALL, tmp_out)
+    text = lambda df: {r.doc_id: r.text for r in df.collect()}
+    before, after = text(good), text(clean)
+    want = groups(before.items(), percent=80)
+    assert text(single) == {i: t for i, t in before.items() if want[i][1] == i}
+    items = [(r.item_id, r.text) for r in table(spark, "benchmark").collect()]
+    assert not any(r[-1] for r in hits(after.items(), items))
+    names = Pseudonyms(KEY)
+    assert text(private) == {i: names.replace(t)[0] for i, t in after.items()}
+    check(packed.collect(), list(text(private).items()), 4096)
