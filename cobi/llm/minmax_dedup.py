@@ -228,9 +228,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = saved(real.select("doc_id", "k1", "k2", "n_shingles")
                    .join(classes, ["k1", "k2", "n_shingles"])
                    .select("doc_id", "rep", F.col("n_shingles").alias("n")), "classes")
-    reps = member.where("doc_id = rep").groupBy("rep").agg(F.max("n").alias("n"))
-    rows = (sig.join(reps.select(F.col("rep").alias("doc_id"), "n"), "doc_id")
-            .where("n_shingles = n")
+    # an id with several texts can represent several classes: each has its bands
+    reps = classes.groupBy("rep").agg(F.sum("n_shingles").alias("n"))
+    rows = (sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2", "n_shingles"])
             .select("doc_id", F.posexplode("bands").alias("band", "key")))
     buckets = saved(rows.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))
                     .where("c > 1").select("band", "key", "low"), "buckets")

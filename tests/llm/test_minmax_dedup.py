@@ -75,3 +75,13 @@ def test_edge_rows(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0
+
+
+def test_near_copies_of_each_text_of_one_id(spark):
+    long, short = [f"a{k}" for k in range(80)], [f"b{k}" for k in range(60)]
+    rows = [(1, " ".join(long)), (1, " ".join(short)), (1, " ".join(short)), (2, " ".join([*short[:-1], "x"])),
+            (3, " ".join([*long[:-1], "x"])), (4, "one two"), (5, " ".join([*short[:20], *long[:20]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()) == [
+        (1, 56, 1, True), (1, 56, 1, True), (1, 76, 1, True), (2, 56, 1, False), (3, 76, 1, False), (4, 1, 4, True),
+        (5, 36, 5, True)]
