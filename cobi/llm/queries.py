@@ -3,7 +3,8 @@ SQL or None).  Most results hold hashes, trees, tokens or keyed permutations
 that SQL cannot express; ``tests/llm`` compares them with brute force."""
 
 import corpus_pipeline
-from cobi.llm import ctw, decontaminate, doubling_dedup, main_text, merkle, minmax_dedup, packing, pii, quality, shards
+from cobi.llm import (collocations, ctw, decontaminate, doubling_dedup, main_text, merkle, minmax_dedup, packing, pii,
+                      quality, shards)
 
 QUERIES = {
     "op1_pii_pseudonyms": (pii.query, None),
@@ -16,5 +17,6 @@ QUERIES = {
     "op8_bin_completion": (packing.query, None),
     "op9_ctw": (ctw.query, None),
     "op10_minmax_dedup": (minmax_dedup.query, minmax_dedup.ORACLE_SQL),
+    "op11_toivonen": (collocations.query, collocations.ORACLE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
