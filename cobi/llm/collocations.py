@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobi.llm import words as W
+from cobi.llm.bitmap import Bitmap, bitmap_of
 from cobi.llm.common import Shared, partitions, saved
 
 LEAST = 100       # occurrences of a candidate
@@ -75,29 +76,6 @@ def _pieces(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
     return w, h, last[np.searchsorted(last, np.arange(n))] + 1 - np.arange(n)
 
 
-class _Bitmap:
-    def __init__(self, cells: np.ndarray, bits: int):
-        self.cells, self.shift = cells, 64 - bits
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        slot = h >> W.U64(self.shift)
-        return (self.cells[(slot >> W.U64(6)).astype(np.int64)] >> (slot & W.U64(63))) & W.U64(1) == 1
-
-    def __or__(self, other: _Bitmap) -> _Bitmap:
-        return _Bitmap(self.cells | other.cells, 64 - self.shift)
-
-
-def _bitmap(phrases: DataFrame, bits: int) -> _Bitmap:
-    """The hashes of ``phrases``, at most 2**bits / 64 numbers for the driver."""
-    slot = F.shiftrightunsigned("h1", 64 - bits)
-    rows = (phrases.select(F.shiftright(slot, 6).alias("cell"), F.expr("1L").alias("one"),
-                           (slot.bitwiseAND(63)).cast("int").alias("at"))
-            .groupBy("cell").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("word")).toArrow())
-    cells = np.zeros(1 << (bits - 6), dtype=np.int64)
-    cells[rows.column("cell").to_numpy()] = rows.column("word").to_numpy()
-    return _Bitmap(cells.view(W.U64), bits)
-
-
 def _summed(level: list, h1: list, h2: list) -> pa.RecordBatch:
     level, h1, h2 = np.concatenate(level), np.concatenate(h1), np.concatenate(h2)
     order = np.argsort(h1)
@@ -181,7 +159,7 @@ def _spelled(levels: list[int], wanted: Shared):
     return run
 
 
-def _sums(docs: DataFrame, levels: list[int], known: _Bitmap | None, before: _Bitmap | None, name: str,
+def _sums(docs: DataFrame, levels: list[int], known: Bitmap | None, before: Bitmap | None, name: str,
           least: int = 1) -> DataFrame:
     spark = docs.sparkSession
     share = lambda x: None if x is None else Shared(spark, x)
@@ -205,7 +183,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
     proposed, known = None, None
     for k in levels:
         found = _sums(sample, [k], known, None, f"sample{k}", lowered(least, fraction))
-        more = _bitmap(found, bits)
+        more = bitmap_of(found, bits)
         known = more if known is None else known | more
         proposed = found if proposed is None else proposed.unionAll(found)
         if k > 1 and not more.cells.any():
@@ -217,7 +195,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
         frequent = now if frequent is None else frequent.unionAll(now)
         failures = saved(now.where(F.col("level") < longest).join(proposed, ["level", "h1", "h2"], "left_anti"),
                          "failures")
-        more = _bitmap(failures, bits)
+        more = bitmap_of(failures, bits)
         if passes is not None:
             passes.append(failures.count())
         if not (more.cells & ~known.cells).any():
@@ -242,7 +220,7 @@ def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     frequent = frequent_phrases(base, least=least, longest=longest, fraction=fraction, bits=bits, passes=passes)
     spelled = saved(
-        base.mapInArrow(_spelled(list(range(1, longest + 1)), Shared(spark, _bitmap(frequent, bits))),
+        base.mapInArrow(_spelled(list(range(1, longest + 1)), Shared(spark, bitmap_of(frequent, bits))),
                         "level int, h1 long, h2 long, lang string, phrase string")
         .groupBy("level", "lang", "phrase", "h2", F.when(F.col("level") > 0, F.col("h1")).alias("h1"))
         .agg(F.sum(F.when(F.col("level") == 0, F.col("h1"))).alias("words")), "spelled")

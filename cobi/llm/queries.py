@@ -4,7 +4,7 @@ that SQL cannot express; ``tests/llm`` compares them with brute force."""
 
 import corpus_pipeline
 from cobi.llm import (collocations, ctw, decontaminate, doubling_dedup, main_text, merkle, minmax_dedup, packing, pii,
-                      quality, shards)
+                      quality, search, shards)
 
 QUERIES = {
     "op1_pii_pseudonyms": (pii.query, None),
@@ -18,5 +18,6 @@ QUERIES = {
     "op9_ctw": (ctw.query, None),
     "op10_minmax_dedup": (minmax_dedup.query, minmax_dedup.ORACLE_SQL),
     "op11_toivonen": (collocations.query, collocations.ORACLE_SQL),
+    "op12_hybrid_search": (search.query, search.ORACLE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
