@@ -15,7 +15,9 @@ def _distinct(df: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node moves to the node's smallest one."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"))
+    # written first: the join then reads two plain shuffles, and Spark splits a
+    # node with very many neighbours
+    low = saved(both.groupBy("u").agg(F.min("v").alias("m")), "stars")
     return _distinct(both.join(low, "u").where("v > u")
                      .select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
 
@@ -23,7 +25,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node's smaller neighbours, and the node, move to the smallest one."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = saved(down.groupBy("u").agg(F.min("v").alias("m")), "stars")
     moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _distinct(moved.unionAll(low.select("u", F.col("m").alias("v"))))
 

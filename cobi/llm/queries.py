@@ -3,7 +3,7 @@ SQL or None).  Most results hold hashes, trees, tokens or keyed permutations
 that SQL cannot express; ``tests/llm`` compares them with brute force."""
 
 import corpus_pipeline
-from cobi.llm import (collocations, ctw, decontaminate, doubling_dedup, main_text, merkle, minmax_dedup, packing, pii,
+from cobi.llm import (collocations, ctw, decontaminate, doubling_dedup, heavy_light, main_text, merkle, minmax_dedup, packing, pii,
                       quality, search, shards)
 
 QUERIES = {
@@ -19,5 +19,6 @@ QUERIES = {
     "op10_minmax_dedup": (minmax_dedup.query, minmax_dedup.ORACLE_SQL),
     "op11_toivonen": (collocations.query, collocations.ORACLE_SQL),
     "op12_hybrid_search": (search.query, search.ORACLE_SQL),
+    "op13_heavy_light": (heavy_light.query, heavy_light.ORACLE_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
