@@ -9,19 +9,18 @@ threshold of 0.85 shares no band with probability (1 - 0.85^6)^40 = 6e-9.
 
 From candidates to exact components, without a pair list:
 
-1. documents with the same set are one class, represented by its smallest id;
-2. each bucket links its members to its smallest one; the components of these
-   links (candidate components) hold every pair that shares a bucket;
-3. a candidate component is cut into blocks of at most ``block_docs``
-   documents and ``block_shingles`` shingles, and each pair of blocks is one
-   tile.  A task gets one tile at a time, counts all intersections there from
-   the full sets, and emits a spanning forest of the confirmed links;
+1. documents with the same set are one class, and one node from here on;
+2. each band value that several classes share is a bucket; buckets with the same
+   members are one;
+3. ``confirmed_links`` compares full sets inside buckets, where a link would still
+   join two components: one member with the others first, then bounded tiles;
 4. the components of the confirmed links, spread over the classes.
 
-No bucket, class or component is collected whole: buckets and classes are
-aggregated with partial sums, and tiles are bounded.  The work in a candidate
-component of n distinct sets is n^2 / 2 counts in matrix products and n^2 /
-``block_docs`` shipped sets, which is the price of an exact answer there.
+No bucket, class or component is collected whole.  Identical rows reach the
+comparison as one set, whatever their number.
+
+Cases: as in ``near_duplicates``; texts of any length are whole, an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -34,32 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cobi.llm import words as W
-from cobi.llm.common import partitions, saved
-from cobi.llm.graph import components
+from cobi.llm.common import saved
+from cobi.llm.shingles import classes, full_sets, lists, one_bucket_each, set_keys, shingle_sets, smallest_ids
+from cobi.llm.verify import BLOCK, BLOCK_VALUES, confirmed_links
 
 SHINGLE = 5
 BANDS = 40
 PER_BAND = 3        # permutations of a band: two values each
-BLOCK_DOCS = 128
-BLOCK_SHINGLES = 1_000_000
-
-_SIGNATURE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
-
+BITS = 26           # bitmap of candidate classes
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, in one array with limits.
-    A document of fewer words than ``size`` has its whole sequence as one."""
-    w = W.Words(W.LOWER[data], offsets, W.NON_SPACE)
-    h = w.hashes()
-    at = W.inside_document(w.first, size)
-    doc, key = w.doc()[at], W.windows(h, size)[at]
-    short = np.flatnonzero((w.counts > 0) & (w.counts < size))
-    if len(short):
-        whole = [W.windows(h[w.first[i]:w.first[i + 1]], int(w.counts[i]), int(w.counts[i]))[0]
-                 for i in short]
-        doc, key = np.concatenate([doc, short]), np.concatenate([key, np.array(whole, W.U64)])
-    doc, key = W.distinct_pairs(doc, key)
-    return key, np.searchsorted(doc, np.arange(len(w.counts) + 1))
+_SIGNATURE = "doc_id long, n long, k1 long, k2 long, bands array<long>"
 
 
 def band_keys(key: np.ndarray, first: np.ndarray, bands: int, per_band: int) -> np.ndarray:
@@ -90,126 +73,21 @@ def _signatures(size: int, bands: int, per_band: int):
                 key, first = shingle_sets(data, offsets, size)
                 n = np.diff(first)
                 some = n > 0
-                limits = np.concatenate([first[:-1][some], first[-1:]])
-                k1, k2 = np.zeros(len(n), W.U64), np.zeros(len(n), W.U64)
+                k1, k2 = set_keys(key, first)
                 keys = np.zeros((0, bands), W.U64)
                 if some.any():
-                    k1[some] = np.add.reduceat(W.mix(key, 11), limits[:-1])
-                    k2[some] = np.add.reduceat(W.mix(key, 12), limits[:-1])
-                    keys = band_keys(key, limits, bands, per_band)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)),
-                    pa.array(W.signed(np.ascontiguousarray(keys).reshape(-1))))
+                    keys = band_keys(key, np.concatenate([first[:-1][some], first[-1:]]), bands, per_band)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(W.signed(k1)),
-                     pa.array(W.signed(k2)), lists],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands"])
-    return run
-
-
-def _tile_rows(size: int):
-    """(tile, doc_id, shingles) for each tile of each candidate."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in W.chunks(batch, "text"):
-                key, first = shingle_sets(data, offsets, size)
-                ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-                comp = rows.column("component").to_numpy(zero_copy_only=False)
-                blocks = rows.column("blocks").to_numpy(zero_copy_only=False)
-                own = rows.column("block").to_numpy(zero_copy_only=False)
-                for i in range(len(ids)):
-                    nb, b = int(blocks[i]), int(own[i])
-                    if nb == 1:
-                        tiles = [f"{comp[i]}"]
-                    else:
-                        tiles = [f"{comp[i]}:{min(b, x)}:{max(b, x)}" for x in range(nb)]
-                    one = pa.array(W.signed(key[first[i]:first[i + 1]]))
-                    n = len(one)
-                    for at in range(0, len(tiles), 16):
-                        part = tiles[at:at + 16]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(part), pa.array([ids[i]] * len(part), pa.int64()),
-                             pa.ListArray.from_arrays(
-                                 pa.array(np.arange(len(part) + 1, dtype=np.int32) * n),
-                                 pa.concat_arrays([one] * len(part)))],
-                            names=["tile", "doc_id", "shingles"])
-    return run
-
-
-def confirmed(keys: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent *
-    union, from counts over all shingles that two documents share."""
-    n = len(first) - 1
-    sizes = np.diff(first)
-    doc = np.repeat(np.arange(n), sizes)
-    order = np.argsort(keys, kind="stable")
-    keys, doc = keys[order], doc[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    keep = shared[column]
-    doc, column = doc[keep], (np.cumsum(shared) - 1)[column[keep]]
-    both = np.zeros((n, n), dtype=np.float64)
-    step = 4096
-    for at in range(0, int(shared.sum()), step):
-        lo, hi = np.searchsorted(column, [at, at + step])
-        x = np.zeros((n, min(step, int(shared.sum()) - at)), dtype=np.float32)
-        x[doc[lo:hi], column[lo:hi] - at] = 1
-        both += x @ x.T  # counts of at most 4,096 are exact in float32
-    union = sizes[:, None] + sizes[None, :] - both
-    a, b = np.nonzero(np.triu((100 * both >= percent * union) & (both > 0), 1))
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-    out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
-
-
-def _verify(percent: int):
-    """Tiles arrive sorted; each is held alone."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, ids, sets, us, vs = None, [], [], [], []
-
-        def close():
-            if len(ids) > 1:
-                first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                for i, j in confirmed(np.concatenate(sets), first, percent):
-                    us.append(ids[i])
-                    vs.append(ids[j])
-        for batch in batches:
-            names = batch.column("tile").to_pylist()
-            doc = batch.column("doc_id").to_pylist()
-            lists = batch.column("shingles")
-            at = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)
-            for i, name in enumerate(names):
-                if name != tile:
-                    close()
-                    tile, ids, sets = name, [], []
-                ids.append(doc[i])
-                sets.append(values[at[i]:at[i + 1]].copy())
-            if len(us) > 10000:
-                yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-                us, vs = [], []
-        close()
-        yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+                     pa.array(W.signed(k2)), lists(keys.reshape(-1), some * bands)],
+                    names=["doc_id", "n", "k1", "k2", "bands"])
     return run
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     size: int = SHINGLE, percent: int = 85, bands: int = BANDS,
-                    per_band: int = PER_BAND, block_docs: int = BLOCK_DOCS,
-                    block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+                    per_band: int = PER_BAND, bits: int = BITS, block: int = BLOCK,
+                    block_values: int = BLOCK_VALUES, done: dict | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``.
 
     Two documents are linked when 100 * |intersection| >= ``percent`` *
@@ -221,48 +99,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = saved(base.mapInArrow(_signatures(size, bands, per_band), _SIGNATURE), "minmax")
-    real = sig.where("doc_id is not null and n_shingles > 0")
-    # classes and buckets are written before they are joined: the join then
-    # reads two plain shuffles, of which Spark can split a hot key
-    classes = saved(real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "keys")
-    member = saved(real.select("doc_id", "k1", "k2", "n_shingles")
-                   .join(classes, ["k1", "k2", "n_shingles"])
-                   .select("doc_id", "rep", F.col("n_shingles").alias("n")), "classes")
-    # an id with several texts can represent several classes: each has its bands
-    reps = classes.groupBy("rep").agg(F.sum("n_shingles").alias("n"))
-    rows = (sig.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2", "n_shingles"])
-            .select("doc_id", F.posexplode("bands").alias("band", "key")))
-    buckets = saved(rows.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))
-                    .where("c > 1").select("band", "key", "low"), "buckets")
-    stars = rows.join(buckets, ["band", "key"]).select(F.col("low").alias("u"), F.col("doc_id").alias("v"))
-    candidate = saved(components(stars, "candidates"), "components").join(
-        reps.withColumnRenamed("rep", "node"), "node")
-    cut = (candidate.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-           .select("component", F.greatest(F.ceil(F.col("c") / block_docs),
-                                           F.ceil(F.col("s") / block_shingles)).alias("blocks")))
-    placed = candidate.join(cut, "component").select(
-        F.col("node").alias("doc_id"), "n", "component", "blocks",
-        F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    spark = docs.sparkSession
-    # always by shuffles: what one small table would let Spark do is no plan for large ones
-    tiles = (base.join(placed.hint("merge"), "doc_id").select("doc_id", "text", "component", "blocks", "block")
-             .mapInArrow(_tile_rows(size), "tile string, doc_id long, shingles array<long>"))
-    links = saved(tiles.repartition(4 * partitions(spark), "tile").sortWithinPartitions("tile", "doc_id")
-                  .mapInArrow(_verify(percent), "u long, v long"), "links")
-    # a row repeated under one id with another text ties its classes together
-    ties = member.where("doc_id != rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    same = components(links, "links")
-    rep_of = (member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")))
-    several = rep_of.where("rep != other")
-    if not several.isEmpty():
-        ids = several.select("doc_id")
-        same = components(links.unionAll(ties.join(ids, ties.v == ids.doc_id, "left_semi"))
-                          .unionAll(several.select(F.col("rep").alias("u"), F.col("other").alias("v"))), "ties")
-    labels = (rep_of.select("doc_id", "rep").join(same, F.col("rep") == F.col("node"), "left")
-              .select("doc_id", F.coalesce("component", "rep").alias("label")))
-    return (sig.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
-                    F.coalesce(F.col("doc_id") == F.coalesce("label", "doc_id"), F.lit(True)).alias("kept")))
+    nodes = classes(sig.where("doc_id is not null and n > 0"), "bands")
+    rows = (nodes.select("node", F.posexplode("bands").alias("band", "key"))
+            .select("node", F.xxhash64("band", "key").alias("bucket")))
+    # written before the join, which then reads two plain shuffles: Spark can split a hot bucket
+    used = saved(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "used")
+    buckets = one_bucket_each(rows.join(used, "bucket").select("bucket", "node", F.lit(True).alias("own")))
+    sets = full_sets(base, nodes, buckets, size, bits)
+    links = confirmed_links(buckets, sets, percent, block=block, block_values=block_values, done=done)
+    return (smallest_ids(sig, nodes, links).withColumnRenamed("n", "n_shingles")
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ A bucket says that its members may be linked to each other.  Sets are compared
 in full, and only where a link would join two components that are still apart:
 
 1. *Star rounds.*  In every bucket whose members lie in several components, one
-   member is compared with those of other components.  A large group of near
-   copies becomes one component here for one comparison a member.
+   member is compared with those of other components, and leaves the bucket.  A
+   large group of near copies becomes one component here for one comparison a
+   member, and small buckets are done.
 2. *Tiles.*  What is left of a bucket is cut into blocks, the members of one
    large component in blocks of their own.  Each pair of blocks is a tile, but
    for two blocks of the same component.  A tile counts all intersections of
@@ -155,16 +156,17 @@ def _compared(places: DataFrame, sets: DataFrame, run, name: str) -> DataFrame:
                  .mapInArrow(run, _LINKS), name)
 
 
-def _open(buckets: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
-    """(bucket, node, own, component) of the buckets that hold several components."""
+def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, node, own, component) of the buckets that hold several
+    components; components only grow, so the others are settled."""
     if labels is None:
         return buckets.withColumn("component", F.col("node"))
     now = saved(buckets.join(labels, "node", "left").select(
-        "bucket", "node", "own", F.coalesce("component", "node").alias("component")), name)
+        "bucket", "node", "own", F.coalesce("component", "node").alias("component")), "labelled")
     several = saved(now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                               F.max("own").alias("any"))
-                    .where("lo != hi and any").select("bucket"), name)
-    return now.join(several, "bucket")
+                    .where("lo != hi and any").select("bucket"), "several")
+    return saved(now.join(several, "bucket"), "open")
 
 
 def confirmed_links(buckets: DataFrame, sets: DataFrame, percent: int, *, rounds: int = 2, block: int = BLOCK,
@@ -180,12 +182,15 @@ def confirmed_links(buckets: DataFrame, sets: DataFrame, percent: int, *, rounds
     spark = buckets.sparkSession
     links, labels = None, None
     for r in range(rounds):
-        left = _open(buckets, labels, "open")
+        left = _open(buckets, labels)
         order = F.xxhash64("node", F.lit(r)) if r else F.col("node")
         centre = saved(left.where("own").groupBy("bucket").agg(F.min_by(F.struct("node", "component"), order).alias("c"))
                        .select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("home")), "centres")
-        pairs = saved(left.join(centre, "bucket").where("component != home and node != centre")
-                      .groupBy("centre", "node").agg(F.first("component").alias("component")), "pairs")
+        around = saved(left.join(centre, "bucket").where("node != centre"), "around")
+        # the centre has met all others of its bucket and leaves it
+        buckets = around.select("bucket", "node", "own")
+        pairs = saved(around.where("component != home").groupBy("centre", "node")
+                      .agg(F.first("component").alias("component")), "pairs")
         if pairs.isEmpty():
             break
         if done is not None:
@@ -201,8 +206,7 @@ def confirmed_links(buckets: DataFrame, sets: DataFrame, percent: int, *, rounds
         labels = saved(components(links, "stars"), "labels")
     if links is None:
         return spark.createDataFrame([], _LINKS)
-    found = _compared(_blocks(saved(_open(buckets, labels, "open"), "rest"), sets, block, block_values, done),
-                      sets, _tiles(percent), "tiles")
+    found = _compared(_blocks(_open(buckets, labels), sets, block, block_values, done), sets, _tiles(percent), "tiles")
     return links.unionAll(found)
 
 

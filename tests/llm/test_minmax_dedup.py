@@ -57,7 +57,7 @@ def test_large_group_in_small_blocks(spark):
     rows += [(100 + i, rows[0][1]) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows)
-    assert got(near_duplicates(docs, block_docs=8)) == want
+    assert got(near_duplicates(docs, block=8)) == want
     assert len({c for _, c in want.values()}) > 1
 
 
