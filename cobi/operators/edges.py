@@ -72,8 +72,18 @@ def cap_rows(df: DataFrame, limit: int | None, order_by: list[str] | None) -> Da
         return df
     if not order_by:
         raise ValueError("a row cap needs an order so that it is deterministic")
-    # numbered and filtered: the kept rows stay spread over their partitions
-    return number_rows(df, order_by, id_col="_cobi_row").filter(F.col("_cobi_row") < int(limit)).drop("_cobi_row")
+    # Only the order keys and a hash of each row are ranked; the rows themselves
+    # are filtered by the last key that stays.
+    limit, place = int(limit), F.struct(*order_by, F.xxhash64(*df.columns).alias("_cobi_tie"))
+    ranked = number_rows(df.select(place.alias("_cobi_place")), ["_cobi_place"], id_col="_cobi_row")
+    last = ranked.filter(F.col("_cobi_row") == limit - 1).first()
+    if last is None:
+        return df if limit > 0 else df.limit(0)
+    cut = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+                     for v, f in zip(last["_cobi_place"], ranked.schema["_cobi_place"].dataType.fields, strict=True)])
+    before = ranked.filter(F.col("_cobi_place") < cut).count()
+    # equal rows at the limit: as many as there is room for
+    return df.filter(place < cut).unionAll(df.filter(place == cut).limit(limit - before))
 
 
 def key_value_counts(side: DataFrame, count_col: str) -> DataFrame:

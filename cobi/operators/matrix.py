@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cobi.session import ensure_checkpoint_dir
+
 
 def row_degrees(edges: DataFrame) -> DataFrame:
     """AGG3: d_row(F) = sum of F's row of A -> (node, degree)."""
@@ -45,13 +47,14 @@ def normalize(edges: DataFrame) -> DataFrame:
     """MAT4: An = D1^-1/2 A D2^-1/2 -> (first_field, second_field, weight, w_norm,
     d_row, d_col).
 
-    Both degree tables come from one aggregate over the edges (``degrees``),
-    so the edge list is computed twice (degrees, entries) rather than three
-    times.  Degree tables are node-sized; the two joins let AQE choose
-    broadcast when a side is small at runtime and split skewed partitions
-    otherwise.
+    The edge list is computed once and checkpointed; both degree tables come
+    from one aggregate over it (``degrees``), checkpointed too, so that the two
+    joins read plain tables: Spark chooses a broadcast when a side is small at
+    run time and splits a hot node otherwise.
     """
-    deg = degrees(edges)
+    ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.checkpoint(eager=True)
+    deg = degrees(edges).checkpoint(eager=True)
     dr = deg.filter(F.col("side") == "row").select(F.col("node").alias("first_field"),
                                                    F.col("degree").alias("d_row"))
     dc = deg.filter(F.col("side") == "column").select(F.col("node").alias("second_field"),

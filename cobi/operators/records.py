@@ -20,13 +20,21 @@ Every edge-list quantity (sizes, degrees, the normalised weight
 1 / sqrt(d_a d_b) of any pair, spectral products) follows from these two
 tables with grouped sums and joins on ``value``; each value's block counts are
 pre-aggregated before any join, so a hot value costs one row there.
+
+``FactorisedGraph`` embeds and clusters the record graph (MAT2): with B_a, B_b the
+record x value incidence matrices of the two sides, A = B_a B_b^T, so
+
+    An x = D_a^-1/2 B_a (B_b^T (D_b^-1/2 x)),
+
+one grouped sum by value and one join back, whatever the number of pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +42,8 @@ from cobi.functions.clean import resolve_column
 from cobi.operators.edges import cap_rows
 from cobi.operators.numbering import number_rows, record_node_id
 from cobi.operators.skew import key_join
+from cobi.operators.spectral import Graphs, GraphSize, with_scale
+from cobi.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -94,3 +104,71 @@ def record_graph_size(g: RecordGraph) -> DataFrame:
     return g.blocks.agg(F.sum("n_a").cast("long").alias("n_rows"),
                         F.sum("n_b").cast("long").alias("n_cols"),
                         F.sum("n_edges").cast("long").alias("n_edges"))
+
+
+@dataclass
+class FactorisedGraph(Graphs):
+    """An of a record graph as two incidence tables.
+
+    ``members``: (id, vid, small, salt): a record, its value's number, whether
+    it is on the smaller side, and which part of a hot value it is in.
+    ``values``: (vid, scale, parts_big, parts_small), scale = (n_a n_b)^-1/2,
+    which is D_a^-1/2 D_b^-1/2 for all pairs of a value.
+    """
+
+    members: DataFrame
+    values: DataFrame
+    n_values: int
+    nodes: DataFrame
+    sizes: dict[int, GraphSize]
+    _layouts: dict = field(default_factory=dict)
+
+    def half(self, block, to_small, b, active, *, broadcast_bytes, min_hot_rows):
+        cols = [f"f{j}" for j in range(b)]
+        src, dst = self.members.where(F.col("small") != to_small), self.members.where(F.col("small") == to_small)
+        sums = (block.join(src.select("id", "vid"), "id").groupBy("vid").agg(*[F.expr(f"sum({c}) AS {c}") for c in cols])
+                .join(self.values, "vid")
+                .select("vid", *[F.expr(f"{c} * scale AS {c}") for c in cols],
+                        F.col("parts_small" if to_small else "parts_big").alias("parts")))
+        if self.n_values * (b + 2) * 8 <= broadcast_bytes:
+            return dst.join(F.broadcast(sums), "vid").select("id", *cols)
+        if to_small not in self._layouts:   # stored once; only the sums move afterwards
+            p = int(dst.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            self._layouts[to_small] = dst.select("id", "vid", "salt").repartition(p, "vid", "salt").persist(
+                StorageLevel.MEMORY_AND_DISK), p
+        laid_out, p = self._layouts[to_small]
+        sums = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        sums = sums.repartition(p, "vid", "salt").hint("shuffle_hash")
+        return laid_out.join(sums, ["vid", "salt"]).select("id", *cols)
+
+    def release(self) -> None:
+        for laid_out, _ in self._layouts.values():
+            laid_out.unpersist()
+        self._layouts.clear()
+
+
+def factorised(g: RecordGraph, part_rows: int = 1_000_000) -> FactorisedGraph:
+    """The record graph as input of ``spectral_embeddings``; a value of more than
+    ``part_rows`` records is stored in several parts."""
+    spark = g.blocks.sparkSession
+    ensure_checkpoint_dir(spark)
+    values = g.blocks.withColumn("vid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    total = values.agg(F.count(F.lit(1)).alias("values"), F.sum("n_a").alias("m"), F.sum("n_b").alias("n"),
+                       F.sum("n_edges").cast("double").alias("total")).first()
+    if not total["values"]:
+        raise ValueError("the graph has no edges; nothing to decompose (FLT9)")
+    size = GraphSize(int(total["m"]), int(total["n"]), float(total["total"]))
+    rows_small = F.lit(size.flip)
+    parts = lambda c: F.ceil(F.col(c) / part_rows)
+    values = values.select(
+        "vid", "value", (1 / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))).alias("scale"),
+        F.when(rows_small, parts("n_b")).otherwise(parts("n_a")).alias("parts_big"),
+        F.when(rows_small, parts("n_a")).otherwise(parts("n_b")).alias("parts_small"))
+    nodes = (g.nodes().withColumn("pair", F.lit(0))
+             .withColumn("id", F.col("row_id") * 2 + F.when(F.col("side") == "row", 0).otherwise(1))
+             .withColumnRenamed("degree", "d"))
+    rows = key_join(nodes, values.select("value", "vid", "parts_big", "parts_small"), "value").checkpoint(eager=True)
+    small = (F.col("side") == "row") == rows_small
+    members = rows.select("id", "vid", small.alias("small"), F.pmod(
+        F.xxhash64("id"), F.when(small, F.col("parts_small")).otherwise(F.col("parts_big"))).alias("salt"))
+    return FactorisedGraph(members, values.drop("value"), int(total["values"]), with_scale(rows, {0: size}), {0: size})

@@ -1,36 +1,38 @@
-"""Truncated SVD of the degree-normalised adjacency matrix and the joint
-embedding of both sides (MAT5-MAT8, SET1).
+"""Truncated SVD of degree-normalised adjacency matrices and the joint embedding
+of both sides (MAT5-MAT8, SET1), for one graph or for many at once.
 
 Engine: block Krylov iteration with thick restarts, written with DataFrame
 joins and aggregates.
 
-* The normalised matrix An = D1^-1/2 A D2^-1/2 is a checkpointed edge list
-  (r, c, w) on long node ids; names come back with the embedding.  Node counts,
-  degrees and the total are plain aggregates over materialised degree tables.
-* A half step  X -> An X  (or An^T X) is one join of the edges with the
-  factor block on the column (row) node and one grouped sum on the other node.
-  The factor side is broadcast when its size -- node count x columns x 8
-  bytes, counted before the loop -- is under ``broadcast_bytes``; otherwise
-  the edges are stored once hash-partitioned by (node, salt), hot nodes spread
-  over salt buckets (see ``cobi.operators.skew``), and only the node-sized
-  factor block is shuffled into that layout each step.
-* The basis K and its image Z = An^T An K are one row per node of the smaller
-  side, (id, t, k array, z array), checkpointed after every step.  Each step
-  applies the matrix to the part of the newest image that is orthogonal to K.
-  Inner products are summed per partition and added up on the driver, which
-  only ever holds p x p matrices (p <= ``basis`` blocks).
-* Rayleigh-Ritz on K after each step gives singular values, and from Z the
-  residual ||An^T u - sigma v|| of every pair.  The loop ends when all wanted
-  pairs are below ``tol`` or the basis is invariant; ``max_iter`` only guards
-  against a run without end, and reaching it is an error unless the caller asks
-  for the unconverged result (``SpectralResult.converged`` says which).
-* When the basis is full it shrinks to its best Ritz vectors and goes on.
-* Exact deflation: the leading singular pair of An is known, sigma = 1,
+* ``Graphs`` holds An = D1^-1/2 A D2^-1/2 of each graph, told apart by ``pair``.
+  Node ids are unique over all of them, so the graphs together are one
+  block-diagonal matrix and a half step  X -> An X  (or An^T X) serves them all.
+  ``EdgeGraphs`` keeps An as an edge list: a half step is one join with the
+  factor block and one grouped sum.  The factor side is broadcast when its size
+  -- node count x columns x 8 bytes, counted before the loop -- is under
+  ``broadcast_bytes``; otherwise the edges are stored once hash-partitioned by
+  (node, salt), hot nodes spread over salt buckets (``cobi.operators.skew``), and
+  only the node-sized factor block is shuffled into that layout each step.
+  (``cobi.operators.records`` has a factorised form for the record graph.)
+* The iteration runs on each graph's smaller side.  The basis K and its image
+  Z = An^T An K are one row per node, (pair, id, t, k array, z array),
+  checkpointed after every step.  Each step applies the matrix to the part of the
+  newest image that is orthogonal to K.
+* Inner products are one job a step for all graphs: summed inside each
+  partition, merged in about sqrt(P) tasks, and only those sums, p x p matrices
+  per graph, reach the driver (p <= ``basis`` blocks).
+* Rayleigh-Ritz on K after each step gives a graph's singular values, and from Z
+  the residual ||An^T u - sigma v|| of every triplet.  A graph leaves the
+  iteration when its wanted ones are below ``tol`` or its basis is invariant;
+  ``max_iter`` only guards against a run without end, and reaching it is an error
+  unless the caller asks for the unconverged result.
+* When a basis is full it shrinks to its best Ritz vectors and goes on.
+* Exact deflation: the leading singular triplet is known, sigma = 1,
   u0 = sqrt(d_row / total), v0 = sqrt(d_col / total).  The column ``t`` holds v0
   and every block is projected off it.  This is what "discard the first
   singular vector" means and it stays right when sigma = 1 repeats
   (disconnected graphs).
-* A pair counts when sigma > ``rank_tol``, where the largest sigma of An is 1,
+* A triplet counts when sigma > ``rank_tol``, where the largest sigma of An is 1,
   so a low-rank matrix yields fewer vectors (Q15).
 """
 
@@ -46,7 +48,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cobi.functions.vectors import embedding_width
+from cobi.functions.vectors import embedding_width, scale
 from cobi.operators.skew import hot_keys
 from cobi.session import ensure_checkpoint_dir
 
@@ -59,59 +61,167 @@ class RankOneGraph(ValueError):
     """The graph has no singular vector beside the trivial one."""
 
 
+@dataclass(frozen=True)
+class GraphSize:
+    m: int             # row nodes
+    n: int             # column nodes
+    total: float       # sum of the weights
+
+    @property
+    def flip(self) -> bool:
+        """The rows are the smaller side, which the iteration runs on."""
+        return self.m < self.n
+
+    @property
+    def small(self) -> int:
+        return min(self.m, self.n)
+
+
+class Graphs:
+    """Normalised matrices of one or more graphs.
+
+    ``nodes``: (pair, side, node, id, d, t, small): d the degree, t = sqrt(d /
+    total), small whether the node is on its graph's smaller side; ids are unique
+    over all graphs and sides.  ``sizes``: a GraphSize for each pair.
+    """
+
+    nodes: DataFrame
+    sizes: dict[int, GraphSize]
+
+    def half(self, block: DataFrame, to_small: bool, b: int, active: list[int], *,
+             broadcast_bytes: int, min_hot_rows: int) -> DataFrame:
+        """An^T X (``to_small``) or An X, of the active graphs; blocks are
+        (id, f0..f{b-1})."""
+        raise NotImplementedError
+
+    def factor_rows(self, to_small: bool) -> int:
+        return sum(max(s.m, s.n) if to_small else s.small for s in self.sizes.values())
+
+    def release(self) -> None:
+        """Unpersist what half steps have cached."""
+
+
 @dataclass
-class NormalizedGraph:
-    """An as a checkpointed edge list plus the sizes the engine needs."""
-
-    edges: DataFrame          # (r, c, w): long node ids, normalised weights
-    rows: DataFrame           # (node, id, t): t = sqrt(d_row / total)
-    cols: DataFrame           # (node, id, t): t = sqrt(d_col / total)
-    m: int
-    n: int
-    nnz: int
-    total: float
+class EdgeGraphs(Graphs):
+    """An as a checkpointed edge list (pair, r, c, w): c on the smaller side."""
+
+    edges: DataFrame
+    nodes: DataFrame
+    sizes: dict[int, GraphSize]
     _layouts: dict = field(default_factory=dict)
 
     def release(self) -> None:
-        """Unpersist the cached edge layouts."""
         for layout in self._layouts.values():
             layout[0].unpersist()
         self._layouts.clear()
 
+    def _only(self, df: DataFrame, active: list[int]) -> DataFrame:
+        return df if len(active) == len(self.sizes) else df.where(F.col("pair").isin(active))
 
-def normalized_graph(edges: DataFrame) -> NormalizedGraph:
-    """Degrees, totals and the normalised edge list, each materialised once."""
+    def half(self, block, to_small, b, active, *, broadcast_bytes, min_hot_rows):
+        src, dst = ("r", "c") if to_small else ("c", "r")
+        cols = [f"f{j}" for j in range(b)]
+        fac = block.select(F.col("id").alias(src), *cols)
+        if self.factor_rows(to_small) * (b + 2) * 8 <= broadcast_bytes:
+            joined = self._only(self.edges, active).join(F.broadcast(fac), src)
+        else:
+            edges, hot_df, p, keys = self._salted_layout(src, min_hot_rows)
+            if hot_df is not None:
+                fac = (fac.join(hot_df, src, "left")
+                       .withColumn(_SALT, F.explode(
+                           F.when(F.col(_BUCKETS).isNull(), F.array(F.lit(0)))
+                           .otherwise(F.sequence(F.lit(0), F.col(_BUCKETS) - 1))))
+                       .drop(_BUCKETS))
+            # Same hash layout as the cached edges: only the factor block moves.
+            fac = fac.repartition(p, *keys).hint("shuffle_hash")
+            joined = self._only(edges, active).join(fac, keys)
+        return joined.groupBy(F.col(dst).alias("id")).agg(*[F.expr(f"sum(w * {c}) AS {c}") for c in cols])
+
+    def _salted_layout(self, src: str, min_hot_rows: int):
+        """Edges hash-partitioned by (src node, salt) with hot src nodes spread
+        over salt buckets; built once per side and reused by every iteration."""
+        if src in self._layouts:
+            return self._layouts[src]
+        spark = self.edges.sparkSession
+        p = _partitions(spark)
+        hot = hot_keys(self.edges, src, min_hot_rows, p)
+        other = "c" if src == "r" else "r"
+        if hot:
+            hot_df = F.broadcast(spark.createDataFrame(hot, f"{src} long, {_BUCKETS} int"))
+            salted = (self.edges.join(hot_df, src, "left")
+                      .withColumn(_SALT, F.when(F.col(_BUCKETS).isNull(), F.lit(0))
+                                  .otherwise(F.pmod(F.xxhash64(other), F.col(_BUCKETS)).cast("int")))
+                      .drop(_BUCKETS))
+            keys = [src, _SALT]
+        else:
+            # No hot node: partition by the node alone (a constant salt would be
+            # folded out of the join keys and force a re-shuffle of the edges).
+            hot_df = None
+            salted = self.edges
+            keys = [src]
+        layout = (salted.repartition(p, *keys).persist(StorageLevel.MEMORY_AND_DISK), hot_df, p, keys)
+        self._layouts[src] = layout
+        return layout
+
+
+def edge_graphs(edges: DataFrame) -> EdgeGraphs:
+    """Degrees, totals and normalised edges of (pair int, first_field,
+    second_field, weight), each materialised once for all graphs.  The sizes are
+    metadata: one row per graph and side."""
     ensure_checkpoint_dir(edges.sparkSession)
-    base = edges.select(F.col("first_field").alias("r"), F.col("second_field").alias("c"),
+    base = edges.select("pair", F.col("first_field").alias("r"), F.col("second_field").alias("c"),
                         F.col("weight").cast("double").alias("weight")).checkpoint(eager=True)
 
-    def side(col: str) -> tuple[DataFrame, dict]:
-        d = (base.groupBy(F.col(col).alias("node")).agg(F.sum("weight").alias("d"))
-             .withColumn("id", F.monotonically_increasing_id()).checkpoint(eager=True))
-        return d, d.agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"),
-                        F.min("d").alias("min_d")).first().asDict()
-
-    dr, row = side("r")
-    dc, col = side("c")
-    if not row["n"]:
+    def side(col: str, name: str, parity: int) -> tuple[DataFrame, dict]:
+        d = (base.groupBy("pair", F.col(col).alias("node")).agg(F.sum("weight").alias("d"))
+             .withColumn("side", F.lit(name))
+             .withColumn("id", F.monotonically_increasing_id() * 2 + parity).checkpoint(eager=True))
+        stats = d.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"),
+                                      F.min("d").alias("min_d")).collect()
+        return d, {r["pair"]: r for r in stats}
+
+    dr, rows = side("r", "row", 0)
+    dc, cols = side("c", "column", 1)
+    if not rows:
         raise ValueError("the graph has no edges; nothing to decompose (FLT9)")
-    if row["min_d"] <= 0 or col["min_d"] <= 0:
+    if min(r["min_d"] for r in [*rows.values(), *cols.values()]) <= 0:
         raise ValueError("edge weights must be positive: a node has degree <= 0")
-    total = float(row["total"])
-    norm = (base.join(dr.select(F.col("node").alias("r"), F.col("id").alias("ri"), F.col("d").alias("dr")), "r")
-            .join(dc.select(F.col("node").alias("c"), F.col("id").alias("ci"), F.col("d").alias("dc")), "c")
-            .select(F.col("ri").alias("r"), F.col("ci").alias("c"),
-                    (F.col("weight") / F.sqrt(F.col("dr") * F.col("dc"))).alias("w"))
-            .checkpoint(eager=True))
-    t = F.sqrt(F.col("d") / F.lit(total)).alias("t")
-    return NormalizedGraph(norm, dr.select("node", "id", t), dc.select("node", "id", t),
-                           int(row["n"]), int(col["n"]), norm.count(), total)
+    sizes = {p: GraphSize(int(rows[p]["n"]), int(cols[p]["n"]), float(rows[p]["total"])) for p in rows}
+    norm = (base.join(dr.select("pair", F.col("node").alias("r"), F.col("id").alias("ri"), F.col("d").alias("dr")),
+                      ["pair", "r"])
+            .join(dc.select("pair", F.col("node").alias("c"), F.col("id").alias("ci"), F.col("d").alias("dc")),
+                  ["pair", "c"]))
+    flip = F.col("pair").isin([p for p, s in sizes.items() if s.flip])
+    norm = norm.select("pair", F.when(flip, F.col("ci")).otherwise(F.col("ri")).alias("r"),
+                       F.when(flip, F.col("ri")).otherwise(F.col("ci")).alias("c"),
+                       (F.col("weight") / F.sqrt(F.col("dr") * F.col("dc"))).alias("w")).checkpoint(eager=True)
+    return EdgeGraphs(norm, with_scale(dr.unionByName(dc), sizes), sizes)
+
+
+def with_scale(nodes: DataFrame, sizes: dict[int, GraphSize]) -> DataFrame:
+    """Adds t = sqrt(d / total) and ``small`` to (pair, side, node, id, d)."""
+    total = F.create_map(*[F.lit(x) for p, s in sizes.items() for x in (p, s.total)])
+    flip = F.col("pair").isin([p for p, s in sizes.items() if s.flip])
+    return nodes.select("pair", "side", "node", "id", "d",
+                        F.sqrt(F.col("d") / F.element_at(total, F.col("pair"))).alias("t"),
+                        (flip == (F.col("side") == "row")).alias("small"))
 
 
-def transposed(g: NormalizedGraph) -> NormalizedGraph:
-    """An^T of a normalised graph: the node columns swap, nothing moves."""
-    edges = g.edges.select(F.col("c").alias("r"), F.col("r").alias("c"), "w")
-    return NormalizedGraph(edges, g.cols, g.rows, g.n, g.m, g.nnz, g.total)
+def normalized_graph(edges: DataFrame) -> EdgeGraphs:
+    """The normalised matrix of one edge list."""
+    return edge_graphs(edges.withColumn("pair", F.lit(0)))
+
+
+@dataclass
+class Spectrum:
+    sigma: list[float]        # singular values kept, descending
+    residuals: list[float]    # ||An^T u - sigma v|| of each
+    iterations: int
+    converged: bool
+
+    @property
+    def width(self) -> int:
+        return len(self.sigma)
 
 
 @dataclass
@@ -129,62 +239,23 @@ def _partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _salted_layout(g: NormalizedGraph, src: str, min_hot_rows: int):
-    """Edges hash-partitioned by (src node, salt) with hot src nodes spread over
-    salt buckets; built once per side and reused by every iteration."""
-    if src in g._layouts:
-        return g._layouts[src]
-    spark = g.edges.sparkSession
-    p = _partitions(spark)
-    hot = hot_keys(g.edges, src, min_hot_rows, p)
-    other = "c" if src == "r" else "r"
-    if hot:
-        hot_df = F.broadcast(spark.createDataFrame(hot, f"{src} long, {_BUCKETS} int"))
-        salted = (g.edges.join(hot_df, src, "left")
-                  .withColumn(_SALT, F.when(F.col(_BUCKETS).isNull(), F.lit(0))
-                              .otherwise(F.pmod(F.xxhash64(other), F.col(_BUCKETS))
-                                         .cast("int")))
-                  .drop(_BUCKETS))
-        keys = [src, _SALT]
-    else:
-        # No hot node: partition by the node alone (a constant salt would be
-        # folded out of the join keys and force a re-shuffle of the edges).
-        hot_df = None
-        salted = g.edges
-        keys = [src]
-    layout = (salted.repartition(p, *keys).persist(StorageLevel.MEMORY_AND_DISK), hot_df, p, keys)
-    g._layouts[src] = layout
-    return layout
-
-
-def _half_step(g: NormalizedGraph, factors: DataFrame, n_factor_rows: int, src: str,
-               b: int, broadcast_bytes: int, min_hot_rows: int) -> DataFrame:
-    """``src='c'``: An X (X on column nodes -> result on row nodes);
-    ``src='r'``: An^T X.  Blocks are (id, f0..f{b-1})."""
-    dst = "r" if src == "c" else "c"
-    cols = [f"f{j}" for j in range(b)]
-    fac = factors.select(F.col("id").alias(src), *cols)
-    if n_factor_rows * (b + 2) * 8 <= broadcast_bytes:
-        joined = g.edges.join(F.broadcast(fac), src)
-    else:
-        edges, hot_df, p, keys = _salted_layout(g, src, min_hot_rows)
-        if hot_df is not None:
-            fac = (fac.join(hot_df, src, "left")
-                   .withColumn(_SALT, F.explode(
-                       F.when(F.col(_BUCKETS).isNull(), F.array(F.lit(0)))
-                       .otherwise(F.sequence(F.lit(0), F.col(_BUCKETS) - 1))))
-                   .drop(_BUCKETS))
-        # Same hash layout as the cached edges: only the factor block moves.
-        fac = fac.repartition(p, *keys).hint("shuffle_hash")
-        joined = edges.join(fac, keys)
-    return joined.groupBy(F.col(dst).alias("id")).agg(
-        *[F.expr(f"sum(w * {c}) AS {c}") for c in cols])
-
-
-# -- the basis: one row (id, t, k, z) per node of the smaller side -------------
+# -- the basis: one row (pair, id, t, k, z) per node of the smaller side ---------
+
+def _by_pair(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    pairs = batch.column("pair").to_numpy(zero_copy_only=False)
+    if not len(pairs):
+        return
+    if (pairs == pairs[0]).all():
+        yield int(pairs[0]), batch
+        return
+    order = np.argsort(pairs, kind="stable")
+    limits = np.flatnonzero(np.diff(pairs[order], prepend=pairs[order[0]] - 1))
+    for lo, hi in zip(limits, [*limits[1:], len(order)], strict=True):
+        yield int(pairs[order[lo]]), batch.take(pa.array(order[lo:hi]))
+
 
 def _arrays(batch: pa.RecordBatch) -> np.ndarray:
-    """[t, k..., z...] of a batch as a matrix."""
+    """[t, k..., z...] of the rows of one graph as a matrix."""
     parts = [batch.column("t").to_numpy(zero_copy_only=False)[:, None]]
     for name in ("k", "z"):
         values = batch.column(name).flatten().to_numpy(zero_copy_only=False)
@@ -192,44 +263,66 @@ def _arrays(batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def _gram(basis: DataFrame, p: int) -> np.ndarray:
-    """Inner products of t, K and Z: summed inside each partition, one small
-    matrix a partition comes to the driver."""
-    size = 1 + 2 * p
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((size, size))
-        for batch in batches:
-            if batch.num_rows:
-                x = _arrays(batch)
-                g += x.T @ x
-        yield pa.RecordBatch.from_pydict({"g": [g.ravel().tolist()]})
+def _matrices(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array([g.ravel() for g in sums.values()], pa.list_(pa.float64()))],
+        names=["pair", "g"])
 
-    total = np.zeros(size * size)
-    for row in basis.select("t", "k", "z").mapInArrow(partial, "g array<double>").toLocalIterator():
-        total += np.array(row.g)
-    return total.reshape(size, size)
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for pair, g in zip(batch.column("pair").to_pylist(), batch.column("g"), strict=True):
+            g = g.values.to_numpy()
+            sums[pair] = sums[pair] + g if pair in sums else g.copy()
+    if sums:
+        yield _matrices(sums)
 
-def _combined(basis: DataFrame, keep: np.ndarray, new: np.ndarray) -> DataFrame:
-    """(id, t, k @ keep, z @ keep, f) with f = [t, k, z] @ new."""
-    p = keep.shape[0]
 
+def _grams(basis: DataFrame) -> dict[int, np.ndarray]:
+    """Inner products of t, K and Z of each graph, in one job: sums of each
+    partition, merged in about sqrt(P) tasks."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for pair, rows in _by_pair(batch):
+                x = _arrays(rows)
+                g = x.T @ x
+                sums[pair] = sums[pair] + g if pair in sums else g
+        if sums:
+            yield _matrices(sums)
+
+    schema = "pair int, g array<double>"
+    rows = basis.select("pair", "t", "k", "z").mapInArrow(partial, schema)
+    merge = math.isqrt(_partitions(basis.sparkSession))
+    if merge > 4:
+        rows = rows.repartition(merge).mapInArrow(_merged, schema)
+    out: dict[int, np.ndarray] = {}
+    for pair, g in zip(*rows.toArrow().to_pydict().values(), strict=True):
+        g = np.array(g).reshape(math.isqrt(len(g)), -1)
+        out[pair] = out[pair] + g if pair in out else g
+    return out
+
+
+def _combined(basis: DataFrame, plan: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(pair, id, t, k @ keep, z @ keep, f) with f = [t, k, z] @ new, where
+    ``plan`` has (keep, new) of each graph."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _arrays(batch)
-            none = np.zeros((len(x), 0))
-            out = [x[:, 1:1 + p] @ keep if keep.size else none, x[:, 1 + p:] @ keep if keep.size else none, x @ new]
-            lists = [pa.ListArray.from_arrays(
-                pa.array(np.arange(0, y.size + 1, max(1, y.shape[1]), dtype=np.int32)
-                         if y.shape[1] else np.zeros(len(x) + 1, dtype=np.int32)),
-                pa.array(np.ascontiguousarray(y).ravel())) for y in out]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *lists],
-                                             names=["id", "t", "k", "z", "f"])
-
-    return basis.mapInArrow(run, "id long, t double, k array<double>, z array<double>, f array<double>")
+            for pair, rows in _by_pair(batch):
+                keep, new = plan[pair]
+                x, p = _arrays(rows), keep.shape[0]
+                none = np.zeros((len(x), 0))
+                out = [x[:, 1:1 + p] @ keep if keep.size else none,
+                       x[:, 1 + p:] @ keep if keep.size else none, x @ new]
+                lists = [pa.ListArray.from_arrays(
+                    pa.array((np.arange(len(x) + 1) * y.shape[1]).astype(np.int32)),
+                    pa.array(np.ascontiguousarray(y).ravel())) for y in out]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("pair"), rows.column("id"), rows.column("t"), *lists],
+                    names=["pair", "id", "t", "k", "z", "f"])
+
+    return basis.mapInArrow(run, "pair int, id long, t double, k array<double>, z array<double>, f array<double>")
 
 
 def _whitened(gram: np.ndarray, floor: float) -> np.ndarray:
@@ -240,156 +333,208 @@ def _whitened(gram: np.ndarray, floor: float) -> np.ndarray:
     return vecs[:, good] / np.sqrt(lam[good])
 
 
-def _start(init: DataFrame, b: int, seed: int) -> DataFrame:
-    """Start block from a hash of (node, column, seed): the same values
+class _Iteration:
+    """The driver's part of one graph: small matrices only."""
+
+    def __init__(self, wanted: int, oversample: int, dimension: int, deflate: bool, basis: int):
+        self.wanted, self.dimension, self.deflate, self.basis = wanted, dimension, deflate, basis
+        self.b = max(0, min(wanted + oversample, dimension))
+        self.p, self.b_new, self.steps = 0, 0, 0
+        self.done = self.exhausted = False
+
+    def start(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The start block (k, with z = k) without its part along t, orthonormal."""
+        p = self.b
+        new = np.zeros((1 + p, p))
+        new[1:] = np.eye(p)
+        if self.deflate:
+            new[0] = -gram[0, 1:1 + p]
+        white = _whitened(new.T @ gram[:1 + p, :1 + p] @ new, 1e-12)
+        self.b_new = white.shape[1]
+        return np.zeros((p, 0)), np.concatenate([new @ white, np.zeros((p, self.b_new))])
+
+    def step(self, gram: np.ndarray, tol: float, rank_tol: float) -> None:
+        """Rayleigh-Ritz on the basis with its newest block."""
+        self.steps += 1
+        self.p += self.b_new
+        p, self.gram = self.p, gram
+        T, K, Z = 0, slice(1, 1 + p), slice(1 + p, 1 + 2 * p)
+        if self.deflate:
+            # images lose what rounding left along t
+            shift = np.eye(1 + 2 * p)
+            shift[T, Z] = -gram[T, Z]
+            gram_d = shift.T @ gram @ shift
+        else:
+            gram_d = gram
+        kk, kz, zz = gram_d[K, K], gram_d[K, Z], gram_d[Z, Z]
+        self.white = _whitened(kk, 1e-10)
+        theta, s = np.linalg.eigh(self.white.T @ ((kz + kz.T) / 2.0) @ self.white)
+        order = np.argsort(theta)[::-1]
+        theta, self.coeff = np.clip(theta[order], 0.0, None), self.white @ s[:, order]
+        c = self.coeff
+        square = (np.einsum("ij,ik,kj->j", c, zz, c) - 2 * theta * np.einsum("ij,ik,kj->j", c, kz, c) + theta ** 2)
+        self.sigma = np.sqrt(theta)
+        self.residual = np.sqrt(np.clip(square, 0.0, None)) / np.maximum(self.sigma, 1e-300)
+        real = self.sigma[:self.wanted] > rank_tol
+        # a triplet with sigma near zero is the end of the spectrum
+        self.done = (len(self.sigma) >= min(self.wanted, self.dimension)
+                     and bool(np.all(self.residual[:self.wanted][real] <= tol)))
+        # directions of the newest image that the basis does not hold
+        last = np.zeros((1 + 2 * p, self.b_new))
+        last[1 + p + p - self.b_new:, :] = np.eye(self.b_new)
+        if self.deflate:
+            last[T] = -gram[T, 1 + p + p - self.b_new:]
+        last[K] -= self.white @ (self.white.T @ (gram[K] @ last))
+        extend = _whitened(last.T @ gram @ last, 1e-22)
+        self.last, self.extend = last, extend[:, ::-1][:, :max(0, self.dimension - p)]
+        self.exhausted = self.extend.shape[1] == 0
+
+    def extended(self) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.eye(self.p)
+        if self.p + self.extend.shape[1] > self.basis * self.b:
+            keep = self.coeff[:, :max(2 * self.b, self.p // 3)]
+        new = self.last @ self.extend
+        self.b_new, self.p = self.extend.shape[1], keep.shape[1]
+        return keep, new
+
+    def chosen(self, discard: str, r: int, rank_tol: float) -> list[int]:
+        most = min(self.wanted if self.deflate else r, len(self.sigma))
+        sel = [i for i in range(most) if self.sigma[i] > rank_tol]
+        return {"first": sel[1:], "last": sel[:-1]}.get(discard, sel)
+
+    def vectors(self, sel: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The right vectors, and these over sigma (An takes them to the left ones)."""
+        new = np.zeros((1 + 2 * self.p, len(sel)))
+        new[1:1 + self.p] = self.coeff[:, sel]
+        if self.deflate:
+            new[0] = -(self.gram[0, 1:1 + self.p] @ self.coeff[:, sel])
+        return np.zeros((self.p, 0)), np.concatenate([new, new / self.sigma[sel]], axis=1)
+
+
+def _start(init: DataFrame, widths: dict[int, int], seed: int) -> DataFrame:
+    """Start blocks from a hash of (node, column, seed): the same values
     whatever the partitioning."""
     cols = []
-    for j in range(b):
+    for j in range(max(widths.values())):
         h = F.xxhash64(F.col("node"), F.lit(j), F.lit(seed))
         cols.append(F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30) - 0.5)
-    return init.select("id", "t", F.array(*cols).alias("k"), F.array().cast("array<double>").alias("z"))
+    width = F.create_map(*[F.lit(x) for p, b in widths.items() for x in (p, b)])
+    block = F.slice(F.array(*cols), F.lit(1), F.element_at(width, F.col("pair")))
+    return init.select("pair", "id", "t", block.alias("k"), block.alias("z"))
 
 
-def spectral_embedding(edges: DataFrame, k: int = 5, *, discard: str = "trivial",
-                       width: int | None = None, oversample: int = 4, basis: int = 10,
-                       max_iter: int = 400, tol: float = 1e-5, seed: int = 0, rank_tol: float = 1e-6,
-                       broadcast_bytes: int = 64 << 20, min_hot_rows: int = 100_000,
-                       require_converged: bool = True,
-                       graph: NormalizedGraph | None = None) -> SpectralResult:
-    """MAT6-MAT8 + SET1: joint embedding of row and column nodes.
+def _columns(b: int) -> list:
+    return [F.coalesce(F.get("f", F.lit(j)), F.lit(0.0)).alias(f"f{j}") for j in range(b)]
 
-    ``width`` is the number of singular triplets requested, r = 1 + ceil(log2 k)
-    by default (MAT5).  ``discard`` picks which one is not used:
 
-    * ``'trivial'`` (default): the known leading pair is deflated exactly and
-      r - 1 vectors are computed;
-    * ``'first'`` / ``'last'``: r vectors without deflation, drop the largest /
-      the smallest (the latter is what the reference's code does, Q1);
-    * ``'none'``: r vectors without deflation, all kept.
-
-    ``basis`` is the number of blocks (wanted + ``oversample`` vectors each) the
-    basis holds before it restarts.
+def spectral_embeddings(graphs: Graphs, k: int = 5, *, discard: str = "trivial", width: int | None = None,
+                        oversample: int = 4, basis: int = 10, max_iter: int = 400, tol: float = 1e-5,
+                        seed: int = 0, rank_tol: float = 1e-6, broadcast_bytes: int = 64 << 20,
+                        min_hot_rows: int = 100_000, require_converged: bool = True
+                        ) -> tuple[DataFrame | None, dict[int, Spectrum]]:
+    """MAT6-MAT8 + SET1 for every graph at once: (pair, side, node, embedding)
+    and the spectrum of each graph that has one.  The number of jobs depends on
+    the slowest graph, not on how many there are; a graph of rank one (after the
+    discard rule) is left out of both.  See ``spectral_embedding``.
     """
     if discard not in DISCARD_MODES:
         raise ValueError(f"discard must be one of {DISCARD_MODES}")
-    ensure_checkpoint_dir(edges.sparkSession)
-    base_graph = graph or normalized_graph(edges)
-    # Iterate with the smaller side as "columns": that block is the one
-    # materialised and orthonormalised every iteration (transposing is free).
-    flip = base_graph.m < base_graph.n
-    g = transposed(base_graph) if flip else base_graph
+    ensure_checkpoint_dir(graphs.nodes.sparkSession)
     r = width or embedding_width(k)
     deflate = discard == "trivial"
     wanted = r - 1 if deflate else r
-    dimension = g.n - 1 if deflate else g.n
-    b = max(0, min(wanted + oversample, dimension))
-    if b == 0:
-        raise RankOneGraph("the graph has rank 1 after deflation; no embedding to compute")
+    states = {p: _Iteration(wanted, oversample, s.small - 1 if deflate else s.small, deflate, basis)
+              for p, s in graphs.sizes.items()}
+    active = [p for p, s in states.items() if s.b > 0]
+    if not active:
+        return None, {}
     step = dict(broadcast_bytes=broadcast_bytes, min_hot_rows=min_hot_rows)
 
-    frame, p = _start(g.cols, b, seed), b
-    gram = _gram(frame.withColumn("z", F.col("k")), p)
-    keep = np.zeros((p, 0))
-    # the start block without its part along t, orthonormal
-    new = np.zeros((1 + p, p))
-    new[1:] = np.eye(p)
-    if deflate:
-        new[0] = -gram[0, 1:1 + p]
-    white = _whitened(new.T @ gram[:1 + p, :1 + p] @ new, 1e-12)
-    state = _combined(frame, keep, new @ white)
-    p, b_new = 0, white.shape[1]
-    it, converged = 0, False
-    theta, coeff, residual = np.zeros(0), np.zeros((0, 0)), np.zeros(0)
-    while True:
+    def only(df: DataFrame, pairs: list[int], every: int) -> DataFrame:
+        return df if len(pairs) == every else df.where(F.col("pair").isin(pairs))
+
+    init = only(graphs.nodes.where("small"), active, len(graphs.sizes))
+    frame = _start(init, {p: states[p].b for p in active}, seed)
+    plan = {p: states[p].start(g) for p, g in _grams(frame).items()}
+    found, parts, it = {}, [], 0
+    while active:
         it += 1
-        block = state.select("id", *[F.col("f")[j].alias(f"f{j}") for j in range(b_new)])
-        image = _half_step(g, _half_step(g, block, g.n, "c", b_new, **step), g.m, "r", b_new, **step)
-        image = image.select("id", F.array(*[f"f{j}" for j in range(b_new)]).alias("y"))
+        state = _combined(frame, plan)
+        b = max(states[p].b_new for p in active)
+        image = graphs.half(graphs.half(state.select("id", *_columns(b)), False, b, active, **step),
+                            True, b, active, **step)
+        image = image.select("id", F.array(*[f"f{j}" for j in range(b)]).alias("y"))
         frame = (state.join(image, "id").select(
-            "id", "t", F.concat("k", "f").alias("k"), F.concat("z", "y").alias("z")).checkpoint(eager=True))
-        p += b_new
-        gram = _gram(frame, p)
-        T, K, Z = 0, slice(1, 1 + p), slice(1 + p, 1 + 2 * p)
-        if deflate:
-            # images lose what rounding left along t
-            shift = np.zeros((1 + 2 * p, 1 + 2 * p))
-            shift += np.eye(1 + 2 * p)
-            shift[T, Z] = -gram[T, Z]
-            gram_d = shift.T @ gram @ shift
-        else:
-            gram_d = gram
-        kk, kz, zz = gram_d[K, K], gram_d[K, Z], gram_d[Z, Z]
-        white = _whitened(kk, 1e-10)
-        theta, s = np.linalg.eigh(white.T @ ((kz + kz.T) / 2.0) @ white)
-        order = np.argsort(theta)[::-1]
-        theta, coeff = np.clip(theta[order], 0.0, None), white @ s[:, order]
-        square = (np.einsum("ij,ik,kj->j", coeff, zz, coeff) - 2 * theta * np.einsum("ij,ik,kj->j", coeff, kz, coeff)
-                  + theta ** 2)
-        sigma = np.sqrt(theta)
-        residual = np.sqrt(np.clip(square, 0.0, None)) / np.maximum(sigma, 1e-300)
-        real = sigma[:wanted] > rank_tol
-        # a pair with sigma near zero is the end of the spectrum
-        done = len(sigma) >= min(wanted, dimension) and bool(np.all(residual[:wanted][real] <= tol))
-        # directions of the newest image that the basis does not hold
-        last = np.zeros((1 + 2 * p, b_new))
-        last[1 + p + p - b_new:, :] = np.eye(b_new)
-        if deflate:
-            last[T] = -gram[T, 1 + p + p - b_new:]
-        last[K] -= white @ (white.T @ (gram[K] @ last))
-        fresh = last.T @ gram @ last
-        extend = _whitened(fresh, 1e-22)
-        extend = extend[:, ::-1][:, :max(0, dimension - p)]
-        converged = done or extend.shape[1] == 0
-        if converged or it >= max_iter:
-            break
-        keep = np.eye(p)
-        if p + extend.shape[1] > basis * b:
-            keep = coeff[:, :max(2 * b, p // 3)]
-        state, b_new = _combined(frame, keep, last @ extend), extend.shape[1]
-        p = keep.shape[1]
-
-    if not converged and require_converged:
-        raise RuntimeError(f"the decomposition has not converged after {it} steps: residuals "
-                           f"{residual[:wanted].tolist()} are over {tol}; raise max_iter or tol")
-    sigma = np.sqrt(theta)
-    sel = [i for i in range(min(r if not deflate else wanted, len(sigma))) if sigma[i] > rank_tol]
-    if discard == "first":
-        sel = sel[1:]
-    elif discard == "last":
-        sel = sel[:-1]
-    if not sel:
-        if flip:
-            g.release()
-        base_graph.release()
-        raise RankOneGraph("no singular vectors left after the discard rule")
-    w = len(sel)
-    new = np.zeros((1 + 2 * p, w))
-    new[1:1 + p] = coeff[:, sel]
-    if deflate:
-        new[0] = -(gram[0, 1:1 + p] @ coeff[:, sel])
-    V = _combined(frame, np.zeros((p, 0)), new).select("id", *[F.col("f")[j].alias(f"f{j}") for j in range(w)]) \
-        .checkpoint(eager=True)
-    U = _half_step(g, V, g.n, "c", w, **step).select(
-        "id", *[(F.col(f"f{j}") / F.lit(float(sigma[i]))).alias(f"f{j}") for j, i in enumerate(sel)]).checkpoint(eager=True)
-    emb = _stack(U.join(g.rows, "id"), V.join(g.cols, "id"), w, g.total,
-                 names=("column", "row") if flip else ("row", "column"))
-    if flip:
-        g.release()
-    if graph is None:
-        # The result reads only checkpointed blocks, never the cached edges.
-        base_graph.release()
-    return SpectralResult(emb, [float(sigma[i]) for i in sel], it, w, g.m + g.n,
-                          [float(residual[i]) for i in sel], converged)
-
-
-def _stack(U: DataFrame, V: DataFrame, width: int, total: float,
-           names: tuple[str, str] = ("row", "column")) -> DataFrame:
-    """Scale by d^-1/2 = 1 / (t sqrt(total)) and stack rows over columns (SET1)."""
-    scale = 1.0 / math.sqrt(total)
-
-    def side(df, name):
-        inv = F.lit(scale) / F.col("t")
-        return df.select(F.lit(name).alias("side"), "node",
-                         F.array(*[F.col(f"f{j}") * inv for j in range(width)]).alias("embedding"))
-
-    return side(U, names[0]).unionByName(side(V, names[1]))
+            "pair", "id", "t", F.concat("k", "f").alias("k"),
+            F.concat("z", F.slice("y", F.lit(1), F.size("f"))).alias("z")).checkpoint(eager=True))
+        grams = _grams(frame)
+        for p in active:
+            states[p].step(grams[p], tol, rank_tol)
+        ended = [p for p in active if states[p].done or states[p].exhausted or it >= max_iter]
+        late = [p for p in ended if not (states[p].done or states[p].exhausted)]
+        if late and require_converged:
+            worst = states[late[0]]
+            raise RuntimeError(f"the decomposition has not converged after {it} steps: residuals "
+                               f"{worst.residual[:wanted].tolist()} are over {tol}; raise max_iter or tol")
+        chosen = {p: states[p].chosen(discard, r, rank_tol) for p in ended}
+        real = [p for p in ended if chosen[p]]
+        for p in real:
+            s = states[p]
+            found[p] = Spectrum([float(s.sigma[i]) for i in chosen[p]], [float(s.residual[i]) for i in chosen[p]],
+                                it, p not in late)
+        if real:
+            parts.append(_combined(only(frame, real, len(active)), {p: states[p].vectors(chosen[p]) for p in real})
+                         .select("pair", "id", "f"))
+        if ended:
+            frame = only(frame, [p for p in active if p not in ended], len(active))
+            active = [p for p in active if p not in ended]
+        plan = {p: states[p].extended() for p in active}
+
+    if not found:
+        graphs.release()
+        return None, {}
+    # at most one part for each step at which a graph ended
+    V = parts[0]
+    for part in parts[1:]:
+        V = V.unionAll(part)
+    V = V.checkpoint(eager=True)
+    w = max(s.width for s in found.values())
+    half = F.size("f") / 2
+    right = V.select("id", *[F.when(half > j, F.get("f", (half + j).cast("int"))).otherwise(0.0).alias(f"f{j}")
+                             for j in range(w)])
+    U = graphs.half(right, False, w, list(found), **step).checkpoint(eager=True)
+    vectors = (V.select("id", F.slice("f", F.lit(1), half.cast("int")).alias("x"))
+               .unionByName(U.select("id", F.array(*[f"f{j}" for j in range(w)]).alias("x"))))
+    widths = F.create_map(*[F.lit(x) for p, s in found.items() for x in (p, s.width)])
+    # scaled by d^-1/2 and stacked, rows over columns (SET1)
+    scaled = scale(F.slice("x", F.lit(1), F.element_at(widths, F.col("pair"))), 1 / F.sqrt("d"))
+    emb = (vectors.join(only(graphs.nodes, list(found), len(graphs.sizes)), "id")
+           .select("pair", "side", "node", scaled.alias("embedding")))
+    # the result reads checkpointed blocks, never the cached edges
+    graphs.release()
+    return emb, found
+
+
+def spectral_embedding(edges: DataFrame | None, k: int = 5, *, graph: Graphs | None = None,
+                       **options) -> SpectralResult:
+    """MAT6-MAT8 + SET1: joint embedding of row and column nodes of one graph.
+
+    ``width`` is the number of singular triplets requested, r = 1 + ceil(log2 k)
+    by default (MAT5).  ``discard`` picks which one is not used:
+
+    * ``'trivial'`` (default): the known leading triplet is deflated exactly and
+      r - 1 vectors are computed;
+    * ``'first'`` / ``'last'``: r vectors without deflation, drop the largest /
+      the smallest (the latter is what the reference's code does, Q1);
+    * ``'none'``: r vectors without deflation, all kept.
+
+    ``basis`` is the number of blocks (wanted + ``oversample`` vectors each) the
+    basis holds before it restarts.
+    """
+    graph = graph or normalized_graph(edges)
+    emb, found = spectral_embeddings(graph, k, **options)
+    if not found:
+        raise RankOneGraph("the graph has rank 1 after the discard rule; no embedding to compute")
+    (s,), (size,) = found.values(), graph.sizes.values()
+    return SpectralResult(emb.select("side", "node", "embedding"), s.sigma, s.iterations, s.width,
+                          size.m + size.n, s.residuals, s.converged)

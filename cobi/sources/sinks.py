@@ -63,9 +63,19 @@ def write_sweep(sweep: DataFrame, path: str, mode: str = "overwrite") -> None:
     sweep.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("column_a", "column_b").parquet(path)
 
 
-def save_model(model, path: str, overwrite: bool = False) -> None:
-    """SNK9: persist the k-means model."""
-    writer = model.write()
-    if overwrite:
-        writer = writer.overwrite()
-    writer.save(path)
+def save_model(model, path: str) -> str:
+    """SNK9: persist a co-clustering model (``cobi.operators.foldin``), replacing
+    an earlier one in ``path`` as a whole; returns the folder of its tables."""
+    return model.save(path)
+
+
+def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A table as tab-separated lines without a header; nulls are empty fields."""
+    fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    df.select(F.concat_ws("\t", *fields).alias("value")).write.mode(mode).text(path)
+
+
+def write_description(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The description file of a table (SRC2): its field and type names."""
+    lines = [(f"{f.name}\t{f.dataType.simpleString()}",) for f in df.schema.fields]
+    df.sparkSession.createDataFrame(lines, "value string").coalesce(1).write.mode(mode).text(path)

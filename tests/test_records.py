@@ -34,3 +34,35 @@ def test_record_graph_with_a_hot_value(spark):
     degrees = Counter((r.side, r.value, r.degree) for r in g.nodes().collect())
     assert degrees == {("row", "1", 20.0): 270, ("row", "2", 10.0): 30, ("column", "1", 270.0): 20, ("column", "2", 30.0): 10}
     assert filtered_count(a, "V").first().n_rows == 300
+
+
+def test_factorised_embedding_equals_the_edge_list(spark):
+    """The operator on two incidence tables against the materialised pairs; also
+    with sums that move by shuffles and values cut into parts."""
+    import numpy as np
+
+    from cobi.operators.records import factorised
+    from cobi.operators.spectral import spectral_embedding
+    from cobi.plans.runs import cluster_bipartite
+
+    a = spark.createDataFrame([(i, 1 + i % 3 if i < 80 else 9) for i in range(90)], "ka long, v long")
+    b = spark.createDataFrame([(i, 1 + i % 3) for i in range(20)] + [(50, -4), (51, 77)], "kb long, v long")
+    g = build_record_graph(a, b, "v", "v", ["ka"], ["kb"])
+    nodes = g.nodes()
+    rows, cols = nodes.where("side = 'row'"), nodes.where("side = 'column'")
+    pairs = (rows.select(rows.node.alias("first_field"), "value").join(
+        cols.select(cols.node.alias("second_field"), "value"), "value")
+        .selectExpr("first_field", "second_field", "1.0d AS weight"))
+    want = spectral_embedding(pairs, 3, width=3)
+    vectors = lambda r: np.array([x.embedding for x in r.embedding.orderBy("side", "node").collect()])
+    w = vectors(want)
+    for options in ({}, {"broadcast_bytes": 0}):
+        got = spectral_embedding(None, 3, width=3, graph=factorised(g, part_rows=7), **options)
+        np.testing.assert_allclose(got.sigma, want.sigma, atol=1e-9)
+        np.testing.assert_allclose(got.sigma, [1, 1], atol=1e-9)      # one for each block but the trivial one
+        z = vectors(got)
+        # sigma repeats, so the vectors are free up to a rotation
+        np.testing.assert_allclose(z @ z.T, w @ w.T, atol=1e-8)
+    labels = cluster_bipartite(None, 3, width=3, graph=factorised(g)).labels.collect()
+    assert len(labels) == 80 + 20
+    assert len({(r.node.split("_")[1], r.cluster_no) for r in labels}) == 3

@@ -2,10 +2,14 @@
 
 import os
 
+from pyspark.sql import functions as F
+
+from cobi.operators.foldin import CoclusterModel, load_model
 from cobi.plans.runs import run_pair, write_pair
 from cobi.sources import sinks
 from cobi.sources.describe import field_pairs, read_description, string_fields
 from cobi.sources.pairs import parse_pairs, read_pairs, select_pair
+from cobi.sources.publish import current
 from cobi.sources.tables import TableResolver, read_tsv
 from tests.conftest import SF_SMALL, rows, table
 
@@ -58,9 +62,8 @@ def test_run_pair_and_write(spark, tmp_out):
         {"c_name", "c_mktsegment"}
     one = sweep.filter("column_a = 'c_mktsegment' AND column_b = 'o_orderpriority'")
     edges = one.select("first_field", "second_field", "weight")
-    out = write_pair(edges, tmp_out + "/out", 1, "CUSTOMER", "c_mktsegment", "ORDERS",
-                     "o_orderpriority")
-    back = spark.read.option("sep", "\t").option("header", True).csv(out + "/edgelist")
+    out = write_pair(tmp_out + "/out", 1, "CUSTOMER", "c_mktsegment", "ORDERS", "o_orderpriority", edgelist=edges)
+    back = spark.read.option("sep", "\t").option("header", True).csv(current(spark, out) + "/edgelist")
     assert back.columns == ["first_field", "Second_field", "Weight"]
     ws = [float(r.Weight) for r in back.collect()]
     assert ws == sorted(ws, reverse=True) and len(ws) == 25
@@ -83,17 +86,17 @@ def test_live_run_to_files(spark, tmp_out):
     names = sorted(os.path.basename(o) for o in out)
     assert names == sorted(f"1-A_{a}__B_{b}" for a in ("id", "grp") for b in ("id", "kind"))   # the key columns too
     for o in out:
-        back = spark.read.option("sep", "\t").option("header", True).csv(o + "/edgelist")
+        back = spark.read.option("sep", "\t").option("header", True).csv(current(spark, o) + "/edgelist")
         ws = [float(r.Weight) for r in back.collect()]
         assert ws and ws == sorted(ws, reverse=True)
     assert main([tmp_out + "/pairs.csv", tmp_out + "/t", tmp_out + "/out2", "2", "10", "1", "--edges-only"])
-    small = spark.read.option("sep", "\t").option("header", True).csv(tmp_out + "/out2/1-A_grp__B_kind/edgelist")
+    small = spark.read.option("sep", "\t").option("header", True).csv(
+        current(spark, tmp_out + "/out2/1-A_grp__B_kind") + "/edgelist")
     assert 0 < sum(float(r.Weight) for r in small.collect()) <= 10 * 60
 
 
 def test_other_sinks(spark, tmp_out):
     from cobi.operators.cluster import kmeans_labels
-    from pyspark.ml.clustering import KMeansModel
     emb = spark.createDataFrame([("row", f"r{i}", [float(i % 2), 0.0]) for i in range(6)]
                                 + [("column", "c", [1.0, 0.0])], "side string, node string, embedding array<double>")
     sinks.write_embedding(emb, tmp_out + "/e")
@@ -105,9 +108,13 @@ def test_other_sinks(spark, tmp_out):
     res = kmeans_labels(emb, 2, runs=1)
     sinks.write_labels(res.labels, tmp_out + "/c", "column")
     assert spark.read.option("sep", "\t").option("header", True).csv(tmp_out + "/c").first().recordValue == "c"
-    sinks.save_model(res.model, tmp_out + "/m")
-    sinks.save_model(res.model, tmp_out + "/m", overwrite=True)
-    assert KMeansModel.load(tmp_out + "/m").getK() == 2
+    model = CoclusterModel(res.points.select("side", "node", "embedding", F.col("prediction").alias("cluster_no")),
+                           [0.5, 0.4], res.model.centres)
+    sinks.save_model(model, tmp_out + "/m")
+    model.sigma[0] = 0.6
+    sinks.save_model(model, tmp_out + "/m")
+    back = load_model(spark, tmp_out + "/m")
+    assert back.k == 2 and back.sigma == [0.6, 0.4] and back.nodes.count() == 7
 
 
 def test_label_and_indexed_sinks(spark, tmp_out):

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cobi.operators.edges import edges_from_pairs
-from cobi.operators.spectral import RankOneGraph, normalized_graph, spectral_embedding
+from cobi.operators.spectral import (RankOneGraph, _grams, edge_graphs, normalized_graph, spectral_embedding,
+                                     spectral_embeddings)
 from cobi.plans.runs import cluster_bipartite
 from tests.conftest import SF_MID, table
 from tests.mllib_engine import mllib_embedding
@@ -149,7 +150,7 @@ def test_hot_node_salted_path(spark):
          .groupBy("first_field", "second_field").agg(F.sum("weight").alias("weight")))
     from cobi.operators.skew import hot_keys
     g = normalized_graph(e)
-    hot = g.cols.filter("node = 'hot'").first().id
+    hot = g.nodes.filter("node = 'hot'").first().id
     assert [k for k, _ in hot_keys(g.edges, "c", 10)] == [hot]
     a = spectral_embedding(e, k=5, graph=g)
     b = spectral_embedding(e, k=5, broadcast_bytes=0, min_hot_rows=10, graph=g)
@@ -203,3 +204,65 @@ def test_mllib_engine_matches_dataframe_engine(spark, small_graph):
     keys = sorted(k for k in a if k[0] == "row")
     za, zb = np.array([a[k] for k in keys]), np.array([b[k] for k in keys])
     np.testing.assert_allclose(za @ np.linalg.pinv(za) @ zb, zb, atol=1e-6)
+
+
+def jobs(spark, run):
+    """Number of Spark jobs of a call."""
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "counted")
+    before = len(sc.statusTracker().getJobIdsForGroup("counted"))
+    run()
+    n = len(sc.statusTracker().getJobIdsForGroup("counted")) - before
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return n
+
+
+def test_gram_matrices_are_one_job_whatever_the_partitions(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 7))
+    rows = [(i % 3, i, float(r[0]), r[1:4].tolist(), r[4:].tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "pair int, id long, t double, k array<double>, z array<double>")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")     # merged in several tasks
+    try:
+        got, counts = {}, set()
+        for n in (1, 40):
+            part = df.repartition(n).persist()
+            part.count()
+            counts.add(jobs(spark, lambda: got.update(_grams(part))))    # noqa: B023
+            part.unpersist()
+            for p in range(3):
+                np.testing.assert_allclose(got[p], x[p::3].T @ x[p::3], atol=1e-9)
+        assert len(counts) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_graphs_together_equal_graphs_alone(spark):
+    """Graphs of different shapes in one iteration, one of them of rank one; the
+    number of jobs is that of the slowest graph."""
+    rng = np.random.default_rng(2)
+    shapes = [(30, 12), (9, 40), (25, 25), (3, 4), (4, 3)]
+    edges = []
+    for p, (m, n) in enumerate(shapes):
+        for i in range(m):
+            for j in range(n):
+                w = 1.0 if p == 4 else float(rng.integers(0, 4) * (rng.random() < 0.6))
+                if w or i == j or i % n == j or j % m == i:
+                    edges.append((p, f"r{i}", f"c{j}", w or 1.0))
+    df = spark.createDataFrame(edges, "pair int, first_field string, second_field string, weight double")
+    emb, found = spectral_embeddings(edge_graphs(df), 5)
+    assert sorted(found) == [0, 1, 2, 3]                     # 4 has rank one
+    vectors = {}
+    for r in emb.collect():
+        vectors.setdefault(r.pair, {})[r.side, r.node] = r.embedding
+    for p in found:
+        an, rows, cols, d1, _ = dense(df.where(f"pair = {p}").drop("pair"))
+        u, s, _ = np.linalg.svd(an)
+        assert found[p].converged
+        np.testing.assert_allclose(found[p].sigma, s[1:1 + found[p].width], atol=1e-7)
+        z = np.array([vectors[p]["row", v] for v in rows]) * np.sqrt(d1)[:, None]
+        w = u[:, 1:1 + found[p].width]
+        np.testing.assert_allclose(np.linalg.svd(z.T @ w, compute_uv=False), 1, atol=1e-4)
+    alone = max(jobs(spark, lambda: spectral_embeddings(edge_graphs(df.where(f"pair = {p}")), 5))   # noqa: B023
+                for p in found)
+    assert jobs(spark, lambda: spectral_embeddings(edge_graphs(df), 5)) <= alone + 6
