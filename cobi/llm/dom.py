@@ -19,6 +19,8 @@ _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 PASSED_OVER = frozenset("script style noscript template svg iframe object canvas select button textarea title audio "
                         "video math datalist".split())
+#: of these, the ones whose text is no markup: without an end tag they run to the end of the page
+RAW_TEXT = frozenset("script style noscript iframe textarea title".split())
 _SECTIONS = "p div section article main nav header footer aside form ul ol li dl dt dd table tr td th".split()
 _BLOCKS = _SECTIONS + ("h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address body html hr thead tbody tfoot caption "
                        "fieldset legend details summary dialog center label").split()
@@ -56,6 +58,25 @@ HIDDEN = len(TOKEN_KINDS)
 N_MARKS = HIDDEN + 1
 
 
+_LINK = re.compile(r"<(/?)a[\s>]", re.I)
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(_BLOCKS)})[\s/>]", re.I)
+
+
+def _after(source: str, name: str, at: int) -> int:
+    """Where a passed-over element that opens before ``at`` ends: after its end
+    tag; without one, at the next block, or at the end of the page for raw text."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).finditer(source, at):
+        if m[1]:
+            depth -= 1
+        elif name not in RAW_TEXT and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    block = None if name in RAW_TEXT else _BLOCK_TAG.search(source, at)
+    return block.start() if block else len(source)
+
+
 class Nodes:
     """Nodes of many pages in one set of lists; ``block`` entries are
     (node, text) in page order."""
@@ -101,11 +122,11 @@ class Nodes:
         root = self._open(-1, "html", "")
         stack, names = [root], ["html"]
         words: list[str] = []
-        linked = link_chars = 0
+        linked, closed, link_chars = False, True, 0
         at, end = 0, len(source)
 
         def flush() -> None:
-            nonlocal link_chars
+            nonlocal link_chars, linked
             if words:
                 text = " ".join("".join(words).split())
                 if text:
@@ -121,6 +142,7 @@ class Nodes:
                     own[6] += sum(map(text.count, "©|·»•"))
                 words.clear()
             link_chars = 0
+            linked = linked and closed      # a link without its end tag ends with its block
 
         def close(down_to: int) -> None:
             flush()
@@ -147,13 +169,14 @@ class Nodes:
             name = name.lower()
             if name in PASSED_OVER:
                 if not m[1] and not m[3].endswith("/"):
-                    stop = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(source, at)
-                    at = stop.end() if stop else end
+                    at = _after(source, name, at)
                     words.append(" ")
                 continue
             if name not in BLOCK:
                 if name == "a":
                     linked = not m[1]
+                    following = _LINK.search(source, at) if linked else None
+                    closed = not linked or following is not None and bool(following[1])
                 elif name in ("br", "img", "input"):
                     words.append(" ")
                 self.inline[stack[-1]] += not m[1]

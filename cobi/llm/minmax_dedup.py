@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cobi.llm import words as W
 from cobi.llm.common import saved
-from cobi.llm.shingles import classes, full_sets, lists, one_bucket_each, set_keys, shingle_sets, smallest_ids
+from cobi.llm.shingles import cells, classes, full_sets, lists, one_bucket_each, set_keys, shingle_sets, smallest_ids
 from cobi.llm.verify import BLOCK, BLOCK_VALUES, confirmed_links
 
 SHINGLE = 5
@@ -42,7 +42,7 @@ BANDS = 40
 PER_BAND = 3        # permutations of a band: two values each
 BITS = 26           # bitmap of candidate classes
 
-_SIGNATURE = "doc_id long, n long, k1 long, k2 long, bands array<long>"
+_SIGNATURE = "doc_id long, n long, k1 long, k2 long, bands array<long>, cells binary"
 
 
 def band_keys(key: np.ndarray, first: np.ndarray, bands: int, per_band: int) -> np.ndarray:
@@ -79,8 +79,8 @@ def _signatures(size: int, bands: int, per_band: int):
                     keys = band_keys(key, np.concatenate([first[:-1][some], first[-1:]]), bands, per_band)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(W.signed(k1)),
-                     pa.array(W.signed(k2)), lists(keys.reshape(-1), some * bands)],
-                    names=["doc_id", "n", "k1", "k2", "bands"])
+                     pa.array(W.signed(k2)), lists(keys.reshape(-1), some * bands), cells(key, first)],
+                    names=["doc_id", "n", "k1", "k2", "bands", "cells"])
     return run
 
 
@@ -99,14 +99,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = saved(base.mapInArrow(_signatures(size, bands, per_band), _SIGNATURE), "minmax")
-    nodes = classes(sig.where("doc_id is not null and n > 0"), "bands")
-    rows = (nodes.select("node", F.posexplode("bands").alias("band", "key"))
-            .select("node", F.xxhash64("band", "key").alias("bucket")))
+    nodes = classes(sig.where("doc_id is not null and n > 0"), "bands", "cells")
+    rows = (nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+            .select("node", "n", F.xxhash64("band", "key").alias("bucket")))
     # written before the join, which then reads two plain shuffles: Spark can split a hot bucket
     used = saved(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "used")
-    buckets = one_bucket_each(rows.join(used, "bucket").select("bucket", "node", F.lit(True).alias("own")))
-    sets = full_sets(base, nodes, buckets, size, bits)
-    links = confirmed_links(buckets, sets, percent, block=block, block_values=block_values, done=done)
+    buckets = one_bucket_each(rows.join(used, "bucket").select(
+        "bucket", "node", F.lit(True).alias("own"), "n", F.lit(0).cast("long").alias("pos")))
+    links = confirmed_links(buckets, nodes.select("node", "cells"), lambda wanted: full_sets(base, nodes, wanted, size, bits),
+                            percent, block=block, block_values=block_values, done=done)
     return (smallest_ids(sig, nodes, links).withColumnRenamed("n", "n_shingles")
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 

@@ -51,10 +51,25 @@ def lists(values: np.ndarray, each: np.ndarray) -> pa.ListArray:
                                     pa.array(W.signed(np.ascontiguousarray(values))))
 
 
-def classes(real: DataFrame, column: str) -> DataFrame:
-    """One row (node, rep, k1, k2, n, ``column``) for each distinct set, rep its
-    smallest doc_id; a written table.  ``column`` depends on the set alone."""
-    rows = real.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first(column).alias(column))
+CELLS = 64
+
+
+def cells(key: np.ndarray, first: np.ndarray) -> pa.Array:
+    """How many values of each set lie in each of 64 cells, a byte a cell: two sets
+    have at most the sum of the smaller counts in common.  Null for a set with
+    over 255 values in a cell."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    count = np.bincount(doc * CELLS + (W.mix(key, 21) >> W.U64(58)).astype(np.int64),
+                        minlength=n * CELLS).reshape(n, CELLS)
+    return pa.array([row.tobytes() if fits else None for row, fits in
+                     zip(count.astype(np.uint8), (count < 256).all(axis=1).tolist(), strict=True)], pa.binary())
+
+
+def classes(real: DataFrame, *columns: str) -> DataFrame:
+    """One row (node, rep, k1, k2, n, ``columns``) for each distinct set, rep its
+    smallest doc_id; a written table.  The columns depend on the set alone."""
+    rows = real.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in columns])
     return saved(rows.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
@@ -76,24 +91,25 @@ def _wanted_sets(size: int, wanted: Shared):
     return run
 
 
-def full_sets(base: DataFrame, nodes: DataFrame, buckets: DataFrame, size: int, bits: int) -> DataFrame:
-    """(node, shingles) of the classes that stand in ``buckets``: one more pass over
-    the texts, of which the sets of those classes alone are written."""
-    some = saved(nodes.select("node", "k1", "k2", "n").join(buckets.select("node").distinct(), "node"), "candidates")
-    wanted = Shared(base.sparkSession, bitmap_of(some, bits, "k1"))
-    found = base.mapInArrow(_wanted_sets(size, wanted), "k1 long, k2 long, n long, shingles array<long>")
+def full_sets(base: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, bits: int) -> DataFrame:
+    """(node, shingles) of the ``wanted`` classes (node): one more pass over the
+    texts, of which the sets of those classes alone are written."""
+    some = saved(nodes.select("node", "k1", "k2", "n").join(wanted.select("node").distinct(), "node"), "candidates")
+    known = Shared(base.sparkSession, bitmap_of(some, bits, "k1"))
+    found = base.mapInArrow(_wanted_sets(size, known), "k1 long, k2 long, n long, shingles array<long>")
     return saved(found.join(some, ["k1", "k2", "n"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def one_bucket_each(buckets: DataFrame) -> DataFrame:
-    """One bucket for all (bucket, node, own) that have the same members."""
+    """One bucket for all (bucket, node, own, n, pos) that have the same members;
+    a member keeps its smallest ``pos`` and is own if it was in one of them."""
     both = saved(buckets, "buckets")
     sign = both.groupBy("bucket").agg(
         F.count("*").alias("c"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"),
-        F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"), F.sum(F.col("own").cast("long")).alias("owners"))
-    one = saved(sign.groupBy("c", "low", "x", "y").agg(F.max_by("bucket", F.struct("owners", "bucket")).alias("bucket"))
-                .select("bucket"), "bucketnames")
-    return saved(both.join(one, "bucket").select("bucket", "node", "own"), "buckets")
+        F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+    names = saved(sign.select("bucket", F.xxhash64("c", "low", "x", "y").alias("name")), "bucketnames")
+    return saved(both.join(names, "bucket").groupBy(F.col("name").alias("bucket"), "node").agg(
+        F.max("own").alias("own"), F.first("n").alias("n"), F.min("pos").alias("pos")), "buckets")
 
 
 def smallest_ids(sig: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:

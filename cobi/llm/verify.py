@@ -1,16 +1,21 @@
 """From candidate buckets to confirmed links, without a list of all pairs.
 
-A bucket says that its members may be linked to each other.  Sets are compared
-in full, and only where a link would join two components that are still apart:
-
-1. *Star rounds.*  In every bucket whose members lie in several components, one
-   member is compared with those of other components, and leaves the bucket.  A
-   large group of near copies becomes one component here for one comparison a
-   member, and small buckets are done.
-2. *Tiles.*  What is left of a bucket is cut into blocks, the members of one
-   large component in blocks of their own.  Each pair of blocks is a tile, but
-   for two blocks of the same component.  A tile counts all intersections of
-   its sets and gives a spanning forest of its links.
+A bucket says that its members may be linked to each other.  Only what can still
+matter is compared on full sets:
+
+1. *Stars.*  Three members of a bucket in turn are paired with all others of it,
+   and leave it.  A large group of near copies becomes one component here for
+   three comparisons a member, and buckets of up to four are done.
+2. *Tiles.*  Of the other buckets those are open that still hold several
+   components.  They are cut into blocks, the members of one large component in
+   blocks of their own, and each pair of blocks is a tile, but for two blocks of the
+   same component.  A tile gives a spanning forest of its links.
+
+Before sets are sent anywhere, exact bounds drop what cannot be linked: the sizes
+alone, the place of a common value in the global order (``pos``: with a value at
+the places i and j as their first common one, two sets share at most
+min(n - i, m - j) values), and the counts of their values in 64 cells.  So sets
+travel almost only where links are.
 
 Stars and blocks hold at most about ``block`` sets, so no group is held whole
 in a task; hot members are spread over tiles.
@@ -18,7 +23,7 @@ in a task; hot members are spread over tiles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +32,13 @@ from pyspark.sql import functions as F
 
 from cobi.llm.common import partitions, saved
 from cobi.llm.graph import components
+from cobi.llm.shingles import CELLS
 
 BLOCK = 128
 BLOCK_VALUES = 1_000_000
 
 _LINKS = "u long, v long"
+_EMPTY = bytes(CELLS)
 
 
 def overlaps(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -148,73 +155,143 @@ def _tiles(percent: int):
     return run
 
 
+def _bounds(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of each row (int16), and which rows have none."""
+    column = rows.column("cells")
+    none = column.is_null().to_numpy(zero_copy_only=False)
+    cells = np.frombuffer(b"".join(x if x is not None else _EMPTY for x in column.to_pylist()), np.uint8)
+    return cells.reshape(-1, CELLS).astype(np.int16), none
+
+
+def _likely_pairs(percent: int):
+    """The pairs whose cells allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, none_a = _bounds(batch.select(["cells"]))
+            b, none_b = _bounds(batch.select(["other"]).rename_columns(["cells"]))
+            most = np.minimum(a, b).sum(axis=1)
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            keep = none_a | none_b | (100 * most >= percent * (n + m - most))
+            yield batch.select(["centre", "node"]).filter(pa.array(keep))
+    return run
+
+
+def _likely_members(percent: int):
+    """The rows (tile, role, node, component) of tiles that have a partner in
+    another component which their cells allow."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+
+        def close():
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            cells, none = _bounds(rows)
+            n, role, group = (rows.column(c).to_numpy() for c in ("n", "role", "component"))
+            keep = np.zeros(len(n), dtype=bool)
+            for i in range(len(n)):
+                most = np.minimum(cells[i], cells).sum(axis=1)
+                fits = none | none[i] | (100 * most >= percent * (n + n[i] - most))
+                keep[i] = (fits & (group != group[i]) & ((role != role[i]) if role.any() else True)).any()
+            return rows.filter(pa.array(keep)).select(["tile", "role", "node", "component"])
+
+        for batch in batches:
+            tiles = batch.column("tile").to_numpy()
+            limits = np.flatnonzero(np.append(True, tiles[1:] != tiles[:-1])) if len(tiles) else []
+            for lo, hi in zip(limits, [*limits[1:], len(tiles)], strict=True):
+                if tiles[lo] != tile:
+                    if held:
+                        yield close()
+                    tile, held = tiles[lo], []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield close()
+    return run
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(4 * partitions(rows.sparkSession), "tile").sortWithinPartitions("tile", "role", "node")
+
+
 def _compared(places: DataFrame, sets: DataFrame, run, name: str) -> DataFrame:
     """Links found by ``run`` in tiles; places is (tile, role, node, component)."""
-    spark = sets.sparkSession
     rows = places.join(sets.hint("merge"), "node").select("tile", "role", "node", "component", "shingles")
-    return saved(rows.repartition(4 * partitions(spark), "tile").sortWithinPartitions("tile", "role", "node")
-                 .mapInArrow(run, _LINKS), name)
+    return saved(_dealt(rows).mapInArrow(run, _LINKS), name)
 
 
-def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, node, own, component) of the buckets that hold several
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, own, n, component) of the buckets that hold several
     components; components only grow, so the others are settled."""
-    if labels is None:
-        return buckets.withColumn("component", F.col("node"))
     now = saved(buckets.join(labels, "node", "left").select(
-        "bucket", "node", "own", F.coalesce("component", "node").alias("component")), "labelled")
+        "bucket", "node", "own", "n", F.coalesce("component", "node").alias("component")), "labelled")
     several = saved(now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                               F.max("own").alias("any"))
                     .where("lo != hi and any").select("bucket"), "several")
     return saved(now.join(several, "bucket"), "open")
 
 
-def confirmed_links(buckets: DataFrame, sets: DataFrame, percent: int, *, rounds: int = 2, block: int = BLOCK,
-                    block_values: int = BLOCK_VALUES, done: dict | None = None) -> DataFrame:
+def _star_pairs(buckets: DataFrame, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(centre, node, n, m) to compare, and the buckets without their centres."""
+    pairs = None
+    for r in range(rounds):
+        order = F.xxhash64("node", F.lit(r)) if r else F.col("node")
+        centre = saved(buckets.where("own").groupBy("bucket").agg(F.min_by(F.struct("node", "n", "pos"), order).alias("c"))
+                       .select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("m"),
+                               F.col("c.pos").alias("at")), "centres")
+        around = saved(buckets.join(centre, "bucket").where("node != centre"), "around")
+        buckets = around.select("bucket", "node", "own", "n", "pos")
+        # what the sizes and places allow: 100 * overlap >= percent * (n + m - overlap)
+        most = "least(n - pos, m - at)"
+        found = (around.where(f"{100 + percent} * {most} >= {percent} * (n + m)")
+                 .groupBy("centre", "node").agg(F.first("n").alias("n"), F.first("m").alias("m")))
+        pairs = found if pairs is None else pairs.unionAll(found)
+    return saved(pairs.distinct(), "pairs"), buckets
+
+
+def confirmed_links(buckets: DataFrame, cells: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, *,
+                    rounds: int = 3, block: int = BLOCK, block_values: int = BLOCK_VALUES,
+                    done: dict | None = None) -> DataFrame:
     """(u, v) links that join all nodes linked over pairs of ``buckets``.
 
-    buckets: (bucket long, node long, own boolean), a written table without
-    repeated rows; a pair of a bucket counts if one of its two is ``own``.
-    sets: (node long, shingles array<long>), one row a node of the buckets, a
-    written table.  Two sets are linked when 100 * |intersection| >= percent *
-    |union|.  ``done`` collects the number of comparisons.
+    buckets: (bucket long, node long, own boolean, n long, pos long), a written
+    table without repeated rows; n is the size of the node's set.  A pair of a
+    bucket counts if one of its two is ``own``, and ``pos`` holds if no earlier
+    value of the two sets is common to them (0 where there is no order).  cells:
+    (node, cells binary) of all nodes.  ``sets_of`` gives (node, shingles), a
+    written table, of the nodes it is asked for.  Two sets are linked when 100 *
+    |intersection| >= percent * |union|.  ``done`` collects the number of pairs and
+    tiles compared.
     """
-    spark = buckets.sparkSession
-    links, labels = None, None
-    for r in range(rounds):
-        left = _open(buckets, labels)
-        order = F.xxhash64("node", F.lit(r)) if r else F.col("node")
-        centre = saved(left.where("own").groupBy("bucket").agg(F.min_by(F.struct("node", "component"), order).alias("c"))
-                       .select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("home")), "centres")
-        around = saved(left.join(centre, "bucket").where("node != centre"), "around")
-        # the centre has met all others of its bucket and leaves it
-        buckets = around.select("bucket", "node", "own")
-        pairs = saved(around.where("component != home").groupBy("centre", "node")
-                      .agg(F.first("component").alias("component")), "pairs")
-        if pairs.isEmpty():
-            break
-        if done is not None:
-            done["stars"] = done.get("stars", 0) + pairs.count()
-        spread = saved(pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")), "spread")
-        tile = F.xxhash64("centre", "part")
-        members = pairs.join(spread, "centre").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).select(
-            tile.alias("tile"), F.lit(1).alias("role"), "node", "component")
-        centres = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
-            tile.alias("tile"), F.lit(0).alias("role"), F.col("centre").alias("node"), F.lit(-1).cast("long").alias("component"))
-        found = _compared(members.unionByName(centres), sets, _stars(percent), "stars")
-        links = found if links is None else links.unionAll(found)
-        labels = saved(components(links, "stars"), "labels")
-    if links is None:
-        return spark.createDataFrame([], _LINKS)
-    found = _compared(_blocks(_open(buckets, labels), sets, block, block_values, done), sets, _tiles(percent), "tiles")
-    return links.unionAll(found)
-
-
-def _blocks(left: DataFrame, sets: DataFrame, block: int, block_values: int, done: dict | None) -> DataFrame:
-    """The tiles of the buckets that are left: (tile, role, node, component)."""
+    pairs, rest = _star_pairs(buckets, percent, rounds)
+    near = (pairs.join(cells.hint("merge"), "node")
+            .join(cells.select(F.col("node").alias("centre"), F.col("cells").alias("other")).hint("merge"), "centre"))
+    pairs = saved(near.mapInArrow(_likely_pairs(percent), "centre long, node long"), "likely")
+    if done is not None:
+        done["stars"] = pairs.count()
+    sets = sets_of(pairs.select("node").unionAll(pairs.select("centre")))
+    spread = saved(pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")), "spread")
+    tile = F.xxhash64("centre", "part")
+    none = F.lit(-1).cast("long").alias("component")
+    members = pairs.join(spread, "centre").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).select(
+        tile.alias("tile"), F.lit(1).alias("role"), "node", none)
+    centres = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
+        tile.alias("tile"), F.lit(0).alias("role"), F.col("centre").alias("node"), none)
+    links = _compared(members.unionByName(centres), sets, _stars(percent), "stars")
+
+    left = _open(rest, saved(components(links, "stars"), "labels"))
+    if left.isEmpty():
+        return links
+    places = _blocks(left, block, block_values, done).join(cells.hint("merge"), "node").select(
+        "tile", "role", "node", "component", "n", "cells")
+    places = saved(_dealt(places).mapInArrow(_likely_members(percent), "tile long, role int, node long, component long"),
+                   "members")
+    if places.isEmpty():
+        return links
+    return links.unionAll(_compared(places, sets_of(places), _tiles(percent), "tiles"))
+
+
+def _blocks(left: DataFrame, block: int, block_values: int, done: dict | None) -> DataFrame:
+    """The tiles of the buckets that are left: (tile, role, node, component, n)."""
     # a large set counts for several
-    weight = F.ceil(F.size("shingles") * F.lit(block / block_values)).alias("w")
-    rows = saved(left.join(sets.select("node", weight), "node"), "weights")
+    rows = left.withColumn("w", F.ceil(F.col("n") * F.lit(block / block_values)))
     share = rows.groupBy("bucket", "component").agg(F.sum("w").alias("s"))
     share = saved(share.select("bucket", "component", F.when(F.col("s") * 2 > block, F.ceil(F.col("s") / block))
                                .otherwise(0).alias("pieces"), "s"), "shares")
@@ -222,7 +299,7 @@ def _blocks(left: DataFrame, sets: DataFrame, block: int, block_values: int, don
         F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("pieces") == 0, F.col("s"))) / block)).alias("mixed")), "mixed")
     pure = F.col("pieces") > 0
     placed = (rows.join(share.select("bucket", "component", "pieces"), ["bucket", "component"]).join(mixed, "bucket")
-              .select("bucket", "node", "component", "own",
+              .select("bucket", "node", "component", "own", "n",
                       F.when(pure, F.col("component")).otherwise(-1).alias("of"),
                       F.when(pure, F.pmod(F.xxhash64("node"), "pieces"))
                       .otherwise(F.pmod(F.xxhash64("component"), "mixed")).alias("piece")))
@@ -235,8 +312,7 @@ def _blocks(left: DataFrame, sets: DataFrame, block: int, block_values: int, don
     tiles = saved(tiles.select("bucket", "a", "b", F.xxhash64("bucket", "a", "b").alias("tile")), "tiles")
     if done is not None:
         done["tiles"] = done.get("tiles", 0) + tiles.count()
-    sides = tiles.select("bucket", "tile", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("role"), F.col("a").alias("x"))))
-                         .otherwise(F.array(F.struct(F.lit(0).alias("role"), F.col("a").alias("x")),
-                                            F.struct(F.lit(1).alias("role"), F.col("b").alias("x"))))).alias("s"))
-    sides = saved(sides.select("bucket", "tile", "s.role", F.col("s.x.of").alias("of"), F.col("s.x.piece").alias("piece")), "sides")
-    return placed.join(sides, ["bucket", "of", "piece"]).select("tile", "role", "node", "component")
+    side = lambda r, c: F.struct(F.lit(r).alias("role"), F.col(f"{c}.of").alias("of"), F.col(f"{c}.piece").alias("piece"))
+    both = F.when(F.col("a") == F.col("b"), F.array(side(0, "a"))).otherwise(F.array(side(0, "a"), side(1, "b")))
+    sides = saved(tiles.select("bucket", "tile", F.explode(both).alias("s")).select("bucket", "tile", "s.*"), "sides")
+    return placed.join(sides, ["bucket", "of", "piece"]).select("tile", "role", "node", "component", "n")

@@ -82,3 +82,25 @@ def test_parser_never_fails():
         nodes = Nodes()
         nodes.add("".join(page))
         assert len(nodes.features()) == len(nodes.tag)
+
+
+def blocks(page):
+    nodes = Nodes()
+    nodes.add(page)
+    return nodes, [text for _, text in nodes.blocks]
+
+
+@pytest.mark.parametrize("name", ["button", "svg", "select", "canvas", "object", "math", "video", "datalist", "template"])
+def test_passed_over_elements_without_an_end_tag(name):
+    """Only raw text runs to the end of the page; the others end at the next block."""
+    page = f"<article><p>one</p><{name} x=1>Buy<p>two</p><{name}>in<b>x</b></{name}><p>three</p></article>"
+    assert blocks(page)[1] == ["one", "two", "three"]
+    assert blocks(page.replace(f"<{name} x=1>Buy", f"<{name}><{name}>a</{name}><p>no</p></{name}>"))[1] == ["one", "two", "three"]
+    assert blocks("<p>one</p><script>x<p>no</p>")[1] == ["one"]
+
+
+def test_links_without_an_end_tag_end_with_their_block():
+    link = lambda page: [own[2] for own in blocks(page)[0].own if own[0]]
+    assert link("<p><a href=x>link<p>plain text<p>more") == [4.0, 0.0, 0.0]
+    assert link("<p><a href=x>link</a> text<p>more") == [4.0, 0.0]
+    assert link("<a href=x><h3>a title</h3><p>and more</p></a><p>plain") == [7.0, 8.0, 0.0]
