@@ -5,10 +5,10 @@ Only lengths matter to a packing, and there are at most ``size`` of them.  So:
 1. one pass tokenizes every text and writes a row for each piece, with its
    rank among the pieces of its length in its block (the task that made it);
 2. the histogram of lengths (at most ``size`` rows) goes to the driver, which
-   completes bins there: around the largest length left it looks for the fullest
-   undominated filling, and uses a filling as often as the histogram allows.
-   The last ``TAIL`` pieces are packed by branch and bound: fillings around
-   the largest piece, pruned by the waste bound, with best fit as incumbent;
+   completes bins there by branch and bound over the whole of it: around the
+   largest length left it tries the undominated fillings, fullest first, each as
+   often as the histogram allows; the waste bound prunes, best fit is the first
+   incumbent, and the search ends at a lower bound on the sequences;
 3. a piece's rank among all pieces of its length (block offsets from the
    histogram by block) names its sequence and place in the plan of step 2.
 
@@ -32,8 +32,7 @@ from cobi.llm.common import saved
 from cobi.llm.tokens import TOKENIZER, Encoder
 
 SIZE = 4096
-TAIL = 120          # pieces that are packed by branch and bound
-NODES = 20_000      # search effort there; the incumbent is kept beyond it
+NODES = 20_000      # of the search after its first descent; the incumbent is kept beyond it
 
 Filling = tuple[tuple[int, int], ...]   # (length, times), longest first
 
@@ -71,58 +70,6 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[Filling, int]]:
     return [(f, m) for bins in open_.values() for f, m in bins.items()]
 
 
-def fullest(counts: np.ndarray, room: int) -> Filling:
-    """A filling of ``room`` with the greatest sum; of those, few long pieces
-    (they dominate several short ones of the same sum)."""
-    if room < 1:
-        return ()
-    have = np.flatnonzero(counts[:room + 1])
-    if not len(have):
-        return ()
-    if counts[room]:
-        return ((room, 1),)
-    # two pieces with exactly the room
-    rest = room - have
-    ok = (rest <= have) & (counts[rest] > (rest == have))
-    if ok.any():
-        a = int(have[ok][-1])
-        return _filling([a, room - a])
-    # three pieces, longest first
-    for a in have[::-1][:64].tolist():
-        left = counts[:room - a + 1].copy()
-        if a <= room - a:
-            left[a] -= 1
-        pair = np.flatnonzero(left)
-        rest = room - a - pair
-        ok = (rest <= pair) & (left[rest] > (rest == pair))
-        if len(pair) and ok.any():
-            b = int(pair[ok][-1])
-            return _filling([a, b, room - a - b])
-    # any number: sums that can be reached, as bits, adding one length after the other
-    lengths = have[::-1].tolist()
-    reach, steps = 1, []
-    cover = (1 << (room + 1)) - 1
-    for a in lengths:
-        steps.append(reach)
-        k, left = 1, min(int(counts[a]), room // a)
-        while left:  # 1, 2, 4, ... pieces at once
-            k = min(k, left)
-            reach |= reach << (a * k) & cover
-            left -= k
-            k *= 2
-        if reach >> room & 1:
-            lengths = lengths[:len(steps)]
-            break
-    total, out = reach.bit_length() - 1, []
-    for a, before in zip(reversed(lengths), reversed(steps), strict=True):
-        for k in range(min(int(counts[a]), total // a) + 1):
-            if before >> (total - k * a) & 1:
-                out += [a] * k
-                total -= k * a
-                break
-    return _filling(out)
-
-
 def _filling(lengths: list[int]) -> Filling:
     out: dict[int, int] = {}
     for a in sorted(lengths, reverse=True):
@@ -130,86 +77,172 @@ def _filling(lengths: list[int]) -> Filling:
     return tuple(out.items())
 
 
-def undominated(counts: dict[int, int], room: int, most: int) -> list[Filling]:
-    """Fillings of ``room`` to which no piece left over can be added, fullest
-    first; one that swaps a piece for several of no greater sum is left out
-    where the single piece is free and fits (it dominates)."""
-    lengths = sorted((a for a in counts if counts[a] > 0 and a <= room), reverse=True)
-    found: list[tuple[int, list[int]]] = []
-
-    def extend(k: int, left: int, chosen: list[int]) -> None:
-        if len(found) >= 50 * most:
-            return
-        smallest_free = None
-        for j in range(k, len(lengths)):
-            a = lengths[j]
-            if a > left or chosen.count(a) >= counts[a]:
-                continue
-            smallest_free = a
-            extend(j, left - a, [*chosen, a])
-        if smallest_free is None:
-            waste = left
-            free = [a for a in lengths if chosen.count(a) < counts[a]]
-            if not any(c < a <= c + waste for c in set(chosen) for a in free) and not any(a <= waste for a in free):
-                found.append((waste, chosen))
-    extend(0, room, [])
-    found.sort(key=lambda x: (x[0], len(x[1])))
-    return [_filling(c) for _, c in found[:most]] or [()]
-
-
-def complete_tail(counts: np.ndarray, size: int, nodes: int = NODES) -> list[tuple[Filling, int]]:
-    """Branch and bound over completions of the largest piece."""
+def lower_bound(counts: np.ndarray, size: int) -> int:
+    """Sequences that any packing needs: for each k, pieces over size - k stand
+    alone, those over half stand apart, and pieces from k to half fill at most
+    what the latter leave (Martello and Toth's second bound)."""
+    at = np.arange(size + 1)
+    n, w = np.append(np.cumsum(counts), counts.sum()), np.append(np.cumsum(counts * at), (counts * at).sum())
+    k, half = np.arange(size // 2 + 1), size // 2
+    alone = n[size] - n[size - k]
+    apart, apart_w = n[size - k] - n[half], w[size - k] - w[half]
+    fill = w[half] - np.where(k > 0, w[k - 1], 0)
+    more = -(-(fill - (apart * size - apart_w)) // size)
+    return int((alone + apart + np.maximum(0, more)).max())
+
+
+def undominated(counts: np.ndarray, room: int) -> Iterator[list[int]]:
+    """Fillings of ``room``, fullest first: lists of lengths, longest first.
+
+    Left out are fillings to which a piece could be added, and those in which a
+    free single piece of the same length could stand for several pieces (it
+    would leave the more flexible ones for later)."""
+    have = np.flatnonzero(counts[:room + 1])
+    if not len(have):
+        yield []
+        return
+    smallest, lengths, reach = int(have[0]), have[::-1].tolist(), None
+    for total in range(room, 0, -1):
+        if counts[total]:
+            rest = counts[:room - total + 1].copy()
+            if total < len(rest):
+                rest[total] -= 1
+            if not rest.any():
+                yield [total]
+            continue        # one piece dominates several of the same sum
+        rest = total - have
+        ok = (rest <= have) & (rest > 0)
+        ok[ok] = counts[rest[ok]] > (rest[ok] == have[ok])
+        for a in have[ok][::-1].tolist():
+            if _closed(counts, [a, total - a], room - total, smallest):
+                yield [a, total - a]
+        if smallest * 3 > total:
+            continue
+        if reach is None:   # sums that can be made of the lengths from each one on, as bits
+            reach, have_bits, cover = [1] * (len(lengths) + 1), 1, (1 << (room + 1)) - 1
+            for i in range(len(lengths) - 1, -1, -1):
+                a, k, left = lengths[i], 1, min(int(counts[lengths[i]]), room // lengths[i])
+                while left:  # 1, 2, 4, ... pieces at once
+                    k = min(k, left)
+                    have_bits |= have_bits << (a * k) & cover
+                    left -= k
+                    k *= 2
+                reach[i] = have_bits
+        for f in _sums(counts, lengths, reach, 0, total, []):
+            if len(f) > 2 and not _merged(counts, f) and _closed(counts, f, room - total, smallest):
+                yield f
+
+
+def _sums(counts: np.ndarray, lengths: list[int], reach: list[int], i: int, left: int, f: list[int]):
+    """Lists of lengths with the sum ``left``, without dead ends."""
+    if not left:
+        yield list(f)
+        return
+    while i < len(lengths) and reach[i] >> left & 1:
+        a = lengths[i]
+        most = min(int(counts[a]), left // a)
+        for k in range(most, 0, -1):
+            if reach[i + 1] >> (left - k * a) & 1:
+                yield from _sums(counts, lengths, reach, i + 1, left - k * a, f + [a] * k)
+        i += 1
+
+
+def _merged(counts: np.ndarray, f: list[int]) -> bool:
+    """Two pieces of a filling could be one free piece."""
+    return any(counts[f[i] + f[j]] > f.count(f[i] + f[j]) for i in range(min(len(f), 8)) for j in range(i))
+
+
+def _closed(counts: np.ndarray, f: list[int], waste: int, smallest: int) -> bool:
+    """No piece left over fits in the waste."""
+    if waste < smallest:
+        return True
+    rest = counts[:waste + 1].copy()
+    for a in f:
+        if a <= waste:
+            rest[a] -= 1
+    return not rest.any()
+
+
+def complete(counts: np.ndarray, size: int, nodes: int = NODES) -> tuple[list[tuple[Filling, int]], int, bool]:
+    """Branch and bound on the whole histogram: (fillings and times, lower bound,
+    proven).  A node takes the largest length left and completes its sequence by
+    an undominated filling, as often as there are pieces for it (then less
+    often); it is pruned when its waste cannot lead under the incumbent, which is
+    best fit at first.  The search ends at the lower bound, when it is exhausted
+    (both prove the result), or after ``nodes`` nodes, not counting the ones of
+    the first descent, which is always finished."""
     best = best_fit(counts, size)
-    best_n = sum(m for _, m in best)
-    total = int((counts * np.arange(len(counts))).sum())
-    bound = -(-total // size)
-    spent = 0
-
-    def search(left: dict[int, int], weight: int, chosen: list[Filling]) -> None:
-        nonlocal best, best_n, spent
-        spent += 1
-        if not weight:
-            if len(chosen) < best_n:
-                best, best_n = [(f, 1) for f in chosen], len(chosen)
-            return
-        if len(chosen) + -(-weight // size) >= best_n or spent > nodes:
-            return
-        top = max(a for a in left if left[a])
+    best_n, low = sum(m for _, m in best), lower_bound(counts, size)
+    if best_n <= low:
+        return best, low, True
+    left = counts.astype(np.int64).copy()
+    total = int((left * np.arange(len(left))).sum())
+    chosen: list[tuple[Filling, int]] = []
+    used, waste, spent, first = 0, 0, 0, True
+
+    def branches() -> Iterator[tuple[list[int], int]]:
+        top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
-        for f in undominated(left, size - top, 8):
-            for a, k in f:
-                left[a] -= k
-            whole = _filling([top, *(a for a, k in f for _ in range(k))])
-            search(left, weight - sum(a * k for a, k in whole), [*chosen, whole])
+        options = undominated(left, size - top)
+        while True:
+            f = next(options, None)
+            left[top] += 1
+            if f is None:
+                return
+            f = [top, *f]
+            each = size - sum(f)
+            spare = (best_n - 1) * size - total - waste
+            most = min(int(left[a]) // k for a, k in _filling(f))
+            if each:
+                most = min(most, max(0, spare // each))
+            if not most:    # later fillings waste more
+                return
+            for times in range(most, 0, -1):
+                yield f, times
+            left[top] -= 1
+
+    stack = [branches()]
+    while stack:
+        step = next(stack[-1], None) if first or spent <= nodes else None
+        if step is None:
+            stack.pop()
+            if chosen and len(chosen) > len(stack) - 1 >= 0:
+                f, times = chosen.pop()
+                for a, k in f:
+                    left[a] += k * times
+                used -= times
+                waste -= times * (size - sum(a * k for a, k in f))
+            first = False
+            continue
+        lengths, times = step
+        f = _filling(lengths)
+        spent += not first
+        for a, k in f:
+            left[a] -= k * times
+        used += times
+        waste += times * (size - sum(lengths))
+        chosen.append((f, times))
+        if not left.any():
+            if used < best_n:
+                best, best_n = list(chosen), used
+            if best_n <= low:
+                return best, low, True
+        rest = total - (used * size - waste)
+        if left.any() and (first or used + -(-rest // size) < best_n):
+            stack.append(branches())
+        else:
+            chosen.pop()
             for a, k in f:
-                left[a] += k
-            if best_n <= bound or spent > nodes:
-                break
-        left[top] += 1
-    if best_n > bound:
-        search({a: int(counts[a]) for a in np.flatnonzero(counts).tolist()}, total, [])
-    return best
+                left[a] += k * times
+            used -= times
+            waste -= times * (size - sum(lengths))
+            first = False
+    return best, low, spent <= nodes
 
 
-def plan(counts: np.ndarray, size: int, tail: int = TAIL) -> list[tuple[Filling, int]]:
+def plan(counts: np.ndarray, size: int, nodes: int = NODES) -> list[tuple[Filling, int]]:
     """(filling, times) for a histogram ``counts[length]``."""
-    whole = counts.astype(np.int64)
-    counts = whole.copy()
-    out: list[tuple[Filling, int]] = []
-    while counts.sum() > tail:
-        top = int(np.flatnonzero(counts)[-1])
-        counts[top] -= 1
-        f = fullest(counts, size - top)
-        counts[top] += 1
-        f = _filling([top, *(a for a, k in f for _ in range(k))])
-        times = min(int(counts[a]) // k for a, k in f)
-        for a, k in f:
-            counts[a] -= k * times
-        out.append((f, times))
-    if counts.any():
-        out += complete_tail(counts, size)
-    other = best_fit(whole, size)
-    return out if sum(m for _, m in out) <= sum(m for _, m in other) else other
+    return complete(counts, size, nodes)[0]
 
 
 def places(fillings: list[tuple[Filling, int]], size: int) -> dict[str, np.ndarray]:

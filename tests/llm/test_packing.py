@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cobi.llm.packing import best_fit, complete_tail, fullest, pack, plan, query
+from cobi.llm.packing import best_fit, complete, lower_bound, pack, plan, query, undominated
 from tests.conftest import SF_SMALL, table
 
 
@@ -84,18 +84,81 @@ def test_branch_and_bound_beats_best_fit():
     counts = np.zeros(11, dtype=np.int64)
     for a in (6, 5, 5, 4, 3, 2, 2, 3):
         counts[a] += 1
-    assert sum(m for _, m in complete_tail(counts, 10)) == 3
-
-
-def test_fullest_equals_brute_force():
+    made, low, proven = complete(counts, 10)
+    assert sum(m for _, m in made) == 3 == low and proven
+
+
+def optimum(lengths, size):
+    """By trying every place of every piece, largest first."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= lengths[i]:
+                after = list(rooms)
+                after.remove(r)
+                place(i + 1, [*after, r - lengths[i]])
+        place(i + 1, [*rooms, size - lengths[i]])
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_small_cases_are_solved_to_the_optimum(seed):
+    rng = random.Random(seed)
+    size = rng.choice([10, 20, 50, 100])
+    lengths = [rng.randint(1 + size // rng.choice([3, 6, 20]), max(2, size * 2 // 3)) for _ in range(rng.randint(1, 13))]
+    counts = np.bincount(lengths, minlength=size + 1)
+    made, low, proven = complete(counts, size)
+    n = sum(m for _, m in made)
+    assert weight(made) == {a: int(counts[a]) for a in np.flatnonzero(counts)}
+    assert all(sum(a * k for a, k in f) <= size for f, _ in made)
+    assert n == optimum(lengths, size) and low <= n and proven
+
+
+@pytest.mark.parametrize("pieces", [2_000, 300_000])
+def test_large_histograms_reach_the_lower_bound(pieces):
+    """Document lengths with a long tail: the whole histogram is searched, and the
+    plan is proven or stands next to the bound."""
+    rng = np.random.default_rng(pieces)
+    lengths = np.minimum(rng.lognormal(6.3, 0.9, pieces).astype(int) + 1, 4096)
+    counts = np.bincount(lengths, minlength=4097)
+    made, low, _ = complete(counts, 4096, nodes=300)
+    assert weight(made) == {a: int(counts[a]) for a in np.flatnonzero(counts)}
+    assert sum(m for _, m in made) - low <= 1 + pieces // 100_000
+
+
+def test_undominated_fillings_equal_brute_force():
     rng = random.Random(1)
-    for _ in range(60):
+    for _ in range(80):
         counts = np.zeros(41, dtype=np.int64)
         for _ in range(rng.randint(0, 9)):
-            counts[rng.randint(5, 40)] += 1
+            counts[rng.randint(3, 40)] += 1
         room = rng.randint(0, 40)
+        found = [tuple(f) for f in undominated(counts, room)]
         sums = {0}
         for a in range(41):
             for _ in range(counts[a]):
                 sums |= {s + a for s in sums if s + a <= room}
-        assert sum(a * k for a, k in fullest(counts, room)) == max(sums)
+        assert [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+        assert len(set(found)) == len(found)
+        assert sum(found[0]) == max(sums)      # the fullest comes first
+        for f in found:
+            left = counts.copy()
+            for a in f:
+                left[a] -= 1
+            assert (left >= 0).all() and not left[:room - sum(f) + 1].any()
+
+
+def test_lower_bound():
+    counts = np.bincount([60] * 10 + [41] * 10, minlength=101)
+    assert lower_bound(counts, 100) == 15      # no 41 fits beside a 60; two beside each other
+    assert lower_bound(np.bincount([50] * 4, minlength=101), 100) == 2
+    assert lower_bound(np.zeros(101, dtype=np.int64), 100) == 0
