@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cobi.llm import words as W
 from cobi.llm.common import saved
-from cobi.llm.shingles import cells, classes, full_sets, lists, one_bucket_each, set_keys, shingle_sets, smallest_ids
+from cobi.llm.shingles import cells, classes, lists, one_bucket_each, set_keys, shingle_sets, smallest_ids, with_sets
 from cobi.llm.verify import BLOCK, BLOCK_VALUES, confirmed_links
 
 SHINGLE = 5
@@ -106,7 +106,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     used = saved(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "used")
     buckets = one_bucket_each(rows.join(used, "bucket").select(
         "bucket", "node", F.lit(True).alias("own"), "n", F.lit(0).cast("long").alias("pos")))
-    links = confirmed_links(buckets, nodes.select("node", "cells"), lambda wanted: full_sets(base, nodes, wanted, size, bits),
+    links = confirmed_links(buckets, nodes.select("node", "cells"),
+                            lambda places: with_sets(base, nodes, places, size, bits),
                             percent, block=block, block_values=block_values, done=done)
     return (smallest_ids(sig, nodes, links).withColumnRenamed("n", "n_shingles")
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

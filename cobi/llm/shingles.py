@@ -51,19 +51,30 @@ def lists(values: np.ndarray, each: np.ndarray) -> pa.ListArray:
                                     pa.array(W.signed(np.ascontiguousarray(values))))
 
 
-CELLS = 64
-
-
 def cells(key: np.ndarray, first: np.ndarray) -> pa.Array:
-    """How many values of each set lie in each of 64 cells, a byte a cell: two sets
-    have at most the sum of the smaller counts in common.  Null for a set with
-    over 255 values in a cell."""
-    n = len(first) - 1
-    doc = np.repeat(np.arange(n), np.diff(first))
-    count = np.bincount(doc * CELLS + (W.mix(key, 21) >> W.U64(58)).astype(np.int64),
-                        minlength=n * CELLS).reshape(n, CELLS)
-    return pa.array([row.tobytes() if fits else None for row, fits in
-                     zip(count.astype(np.uint8), (count < 256).all(axis=1).tolist(), strict=True)], pa.binary())
+    """How many values of each set lie in each of its cells, a byte a cell: two
+    sets have at most the sum of the smaller counts in common.  A set of n values
+    has about n / 3 cells (a power of two, by the top bits of a hash, so that
+    finer cells add up to coarser ones).  Null with over 255 values in a cell."""
+    n = np.diff(first)
+    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / 4)), 5, 16).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(1 << bits)])
+    doc = np.repeat(np.arange(len(n)), n)
+    at = start[doc] + (W.mix(key, 21) >> (64 - bits[doc]).astype(W.U64)).astype(np.int64)
+    count = np.bincount(at, minlength=int(start[-1]))
+    over = np.zeros(len(n), dtype=bool)
+    over[doc[(count > 255)[at]]] = True
+    count = count.astype(np.uint8).tobytes()
+    return pa.array([None if o else count[a:b] for o, a, b in
+                     zip(over.tolist(), start[:-1].tolist(), start[1:].tolist(), strict=True)], pa.binary())
+
+
+def folded(rows: list[bytes], width: int) -> np.ndarray:
+    """Cells of sets with ``width`` or more, added up to that many."""
+    out = np.empty((len(rows), width), dtype=np.int32)
+    for i, row in enumerate(rows):
+        out[i] = np.frombuffer(row, np.uint8).reshape(width, -1).sum(axis=1)
+    return out
 
 
 def classes(real: DataFrame, *columns: str) -> DataFrame:
@@ -91,13 +102,16 @@ def _wanted_sets(size: int, wanted: Shared):
     return run
 
 
-def full_sets(base: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, bits: int) -> DataFrame:
-    """(node, shingles) of the ``wanted`` classes (node): one more pass over the
-    texts, of which the sets of those classes alone are written."""
-    some = saved(nodes.select("node", "k1", "k2", "n").join(wanted.select("node").distinct(), "node"), "candidates")
+def with_sets(base: DataFrame, nodes: DataFrame, places: DataFrame, size: int, bits: int) -> DataFrame:
+    """``places`` (with a column node) and the ``shingles`` of their classes: one
+    more pass over the texts, of which the sets of those classes alone go on.  A
+    class may come several times, from different runs of texts."""
+    some = saved(nodes.select("node", "k1", "k2", "n").join(places.select("node").distinct(), "node"), "candidates")
     known = Shared(base.sparkSession, bitmap_of(some, bits, "k1"))
     found = base.mapInArrow(_wanted_sets(size, known), "k1 long, k2 long, n long, shingles array<long>")
-    return saved(found.join(some, ["k1", "k2", "n"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    keyed = places.join(some.select("node", "k1", "k2", F.col("n").alias("size")), "node")
+    return (keyed.join(found.withColumnRenamed("n", "size").hint("merge"), ["k1", "k2", "size"])
+            .drop("k1", "k2", "size"))
 
 
 def one_bucket_each(buckets: DataFrame) -> DataFrame:

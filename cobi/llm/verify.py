@@ -14,7 +14,7 @@ matter is compared on full sets:
 Before sets are sent anywhere, exact bounds drop what cannot be linked: the sizes
 alone, the place of a common value in the global order (``pos``: with a value at
 the places i and j as their first common one, two sets share at most
-min(n - i, m - j) values), and the counts of their values in 64 cells.  So sets
+min(n - i, m - j) values), and the counts of their values in cells.  So sets
 travel almost only where links are.
 
 Stars and blocks hold at most about ``block`` sets, so no group is held whole
@@ -32,13 +32,12 @@ from pyspark.sql import functions as F
 
 from cobi.llm.common import partitions, saved
 from cobi.llm.graph import components
-from cobi.llm.shingles import CELLS
+from cobi.llm.shingles import folded
 
 BLOCK = 128
 BLOCK_VALUES = 1_000_000
 
 _LINKS = "u long, v long"
-_EMPTY = bytes(CELLS)
 
 
 def overlaps(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -104,7 +103,7 @@ def _stars(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, centre, us, vs = None, None, [], []
         for name, row in _grouped(batches):
-            if name != tile:
+            if name != tile or row["role"] == 0:
                 tile, centre = name, {**row, "set": np.sort(row["set"])}
                 continue
             mine, other = centre["set"], row["set"]
@@ -155,43 +154,73 @@ def _tiles(percent: int):
     return run
 
 
-def _bounds(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of each row (int16), and which rows have none."""
-    column = rows.column("cells")
-    none = column.is_null().to_numpy(zero_copy_only=False)
-    cells = np.frombuffer(b"".join(x if x is not None else _EMPTY for x in column.to_pylist()), np.uint8)
-    return cells.reshape(-1, CELLS).astype(np.int16), none
+def _allowed(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    most = np.minimum(a, b).sum(axis=-1)
+    return 100 * most >= percent * (n + m - most)
 
 
 def _likely_pairs(percent: int):
     """The pairs whose cells allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, none_a = _bounds(batch.select(["cells"]))
-            b, none_b = _bounds(batch.select(["other"]).rename_columns(["cells"]))
-            most = np.minimum(a, b).sum(axis=1)
+            a, b = batch.column("cells").to_pylist(), batch.column("other").to_pylist()
+            width = np.array([min(len(x), len(y)) if x and y else 0 for x, y in zip(a, b, strict=True)], dtype=np.int64)
             n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            keep = none_a | none_b | (100 * most >= percent * (n + m - most))
+            keep = width == 0
+            for w in np.unique(width[~keep]).tolist():
+                at = np.flatnonzero(width == w)
+                keep[at] = _allowed(folded([a[i] for i in at], w), folded([b[i] for i in at], w), n[at], m[at], percent)
             yield batch.select(["centre", "node"]).filter(pa.array(keep))
     return run
 
 
+def _allowed_matrix(cells: list[bytes | None], n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a tile their cells allow, compared in the coarser cells of the two."""
+    width = np.array([len(c) if c else 0 for c in cells], dtype=np.int64)
+    fits = np.ones((len(n), len(n)), dtype=bool)
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width >= w)
+        x = folded([cells[i] for i in at.tolist()], w)
+        for i in np.flatnonzero(width[at] == w).tolist():
+            row = _allowed(x[i], x, n[at[i]], n[at], percent)
+            fits[at[i], at] = row
+            fits[at, at[i]] = row
+    return fits
+
+
+def _met_before(rows: pa.RecordBatch) -> np.ndarray:
+    """Which pairs of a tile share an open bucket of a smaller number: these meet there."""
+    bucket, column = rows.column("bucket")[0].as_py(), rows.column("buckets")
+    values, limits = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    row = np.repeat(np.arange(rows.num_rows), np.diff(limits))
+    values = values[limits[0]:limits[-1]]
+    row, values = row[values < bucket], values[values < bucket]
+    names, at = np.unique(values, return_inverse=True)
+    both = np.zeros((rows.num_rows, rows.num_rows), dtype=np.float32)
+    for lo in range(0, len(names), 4096):
+        own = (at >= lo) & (at < lo + 4096)
+        x = np.zeros((rows.num_rows, min(4096, len(names) - lo)), dtype=np.float32)
+        x[row[own], at[own] - lo] = 1
+        both += x @ x.T
+    return both > 0
+
+
 def _likely_members(percent: int):
     """The rows (tile, role, node, component) of tiles that have a partner in
-    another component which their cells allow."""
+    another component which their cells allow, and which they do not meet in an
+    earlier bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, []
 
         def close():
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            cells, none = _bounds(rows)
             n, role, group = (rows.column(c).to_numpy() for c in ("n", "role", "component"))
-            keep = np.zeros(len(n), dtype=bool)
-            for i in range(len(n)):
-                most = np.minimum(cells[i], cells).sum(axis=1)
-                fits = none | none[i] | (100 * most >= percent * (n + n[i] - most))
-                keep[i] = (fits & (group != group[i]) & ((role != role[i]) if role.any() else True)).any()
-            return rows.filter(pa.array(keep)).select(["tile", "role", "node", "component"])
+            fits = (group[:, None] != group[None, :]) & ~_met_before(rows)
+            if role.any():
+                fits &= role[:, None] != role[None, :]
+            if fits.any():
+                fits &= _allowed_matrix(rows.column("cells").to_pylist(), n, percent)
+            return rows.filter(pa.array(fits.any(axis=1))).select(["tile", "role", "node", "component"])
 
         for batch in batches:
             tiles = batch.column("tile").to_numpy()
@@ -211,10 +240,9 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(4 * partitions(rows.sparkSession), "tile").sortWithinPartitions("tile", "role", "node")
 
 
-def _compared(places: DataFrame, sets: DataFrame, run, name: str) -> DataFrame:
-    """Links found by ``run`` in tiles; places is (tile, role, node, component)."""
-    rows = places.join(sets.hint("merge"), "node").select("tile", "role", "node", "component", "shingles")
-    return saved(_dealt(rows).mapInArrow(run, _LINKS), name)
+def _compared(places: DataFrame, run, name: str) -> DataFrame:
+    """Links found by ``run`` in tiles; places is (tile, role, node, component, shingles)."""
+    return saved(_dealt(places).mapInArrow(run, _LINKS), name)
 
 
 def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -246,7 +274,7 @@ def _star_pairs(buckets: DataFrame, percent: int, rounds: int) -> tuple[DataFram
     return saved(pairs.distinct(), "pairs"), buckets
 
 
-def confirmed_links(buckets: DataFrame, cells: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, *,
+def confirmed_links(buckets: DataFrame, cells: DataFrame, with_sets: Callable[[DataFrame], DataFrame], percent: int, *,
                     rounds: int = 3, block: int = BLOCK, block_values: int = BLOCK_VALUES,
                     done: dict | None = None) -> DataFrame:
     """(u, v) links that join all nodes linked over pairs of ``buckets``.
@@ -255,8 +283,8 @@ def confirmed_links(buckets: DataFrame, cells: DataFrame, sets_of: Callable[[Dat
     table without repeated rows; n is the size of the node's set.  A pair of a
     bucket counts if one of its two is ``own``, and ``pos`` holds if no earlier
     value of the two sets is common to them (0 where there is no order).  cells:
-    (node, cells binary) of all nodes.  ``sets_of`` gives (node, shingles), a
-    written table, of the nodes it is asked for.  Two sets are linked when 100 *
+    (node, cells binary) of all nodes.  ``with_sets`` adds the column shingles
+    (array<long>) to a table of nodes; a row may come several times.  Two sets are linked when 100 *
     |intersection| >= percent * |union|.  ``done`` collects the number of pairs and
     tiles compared.
     """
@@ -266,7 +294,6 @@ def confirmed_links(buckets: DataFrame, cells: DataFrame, sets_of: Callable[[Dat
     pairs = saved(near.mapInArrow(_likely_pairs(percent), "centre long, node long"), "likely")
     if done is not None:
         done["stars"] = pairs.count()
-    sets = sets_of(pairs.select("node").unionAll(pairs.select("centre")))
     spread = saved(pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(block)).alias("parts")), "spread")
     tile = F.xxhash64("centre", "part")
     none = F.lit(-1).cast("long").alias("component")
@@ -274,22 +301,24 @@ def confirmed_links(buckets: DataFrame, cells: DataFrame, sets_of: Callable[[Dat
         tile.alias("tile"), F.lit(1).alias("role"), "node", none)
     centres = spread.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
         tile.alias("tile"), F.lit(0).alias("role"), F.col("centre").alias("node"), none)
-    links = _compared(members.unionByName(centres), sets, _stars(percent), "stars")
+    links = _compared(with_sets(saved(members.unionByName(centres), "places")), _stars(percent), "stars")
 
     left = _open(rest, saved(components(links, "stars"), "labels"))
     if left.isEmpty():
         return links
-    places = _blocks(left, block, block_values, done).join(cells.hint("merge"), "node").select(
-        "tile", "role", "node", "component", "n", "cells")
+    listed = saved(left.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+                   .join(cells.hint("merge"), "node"), "listed")
+    places = _blocks(left, block, block_values, done).join(listed, "node").select(
+        "tile", "bucket", "role", "node", "component", "n", "cells", "buckets")
     places = saved(_dealt(places).mapInArrow(_likely_members(percent), "tile long, role int, node long, component long"),
                    "members")
     if places.isEmpty():
         return links
-    return links.unionAll(_compared(places, sets_of(places), _tiles(percent), "tiles"))
+    return links.unionAll(_compared(with_sets(places), _tiles(percent), "tiles"))
 
 
 def _blocks(left: DataFrame, block: int, block_values: int, done: dict | None) -> DataFrame:
-    """The tiles of the buckets that are left: (tile, role, node, component, n)."""
+    """The tiles of the buckets that are left: (tile, bucket, role, node, component, n)."""
     # a large set counts for several
     rows = left.withColumn("w", F.ceil(F.col("n") * F.lit(block / block_values)))
     share = rows.groupBy("bucket", "component").agg(F.sum("w").alias("s"))
@@ -315,4 +344,5 @@ def _blocks(left: DataFrame, block: int, block_values: int, done: dict | None) -
     side = lambda r, c: F.struct(F.lit(r).alias("role"), F.col(f"{c}.of").alias("of"), F.col(f"{c}.piece").alias("piece"))
     both = F.when(F.col("a") == F.col("b"), F.array(side(0, "a"))).otherwise(F.array(side(0, "a"), side(1, "b")))
     sides = saved(tiles.select("bucket", "tile", F.explode(both).alias("s")).select("bucket", "tile", "s.*"), "sides")
-    return placed.join(sides, ["bucket", "of", "piece"]).select("tile", "role", "node", "component", "n")
+    return placed.join(sides, ["bucket", "of", "piece"]).select(
+        "tile", "bucket", "role", "node", "component", "n")
