@@ -25,6 +25,9 @@ class Bitmap:
     def __or__(self, other: Bitmap) -> Bitmap:
         return Bitmap(self.cells | other.cells, 64 - self.shift)
 
+    def without(self, other: Bitmap) -> Bitmap:
+        return Bitmap(self.cells & ~other.cells, 64 - self.shift)
+
 
 def bitmap_of(df: DataFrame, bits: int, column: str = "h1") -> Bitmap:
     """The hashes (long) in ``column``, gathered by Spark; at most 2**bits / 64

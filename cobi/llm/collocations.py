@@ -19,9 +19,10 @@ how often one occurs in all texts of its language.
 
 A pass keeps the proposals as a bitmap of ``2**bits`` phrase hashes: a fixed size
 at any corpus, and a false hit only has one more phrase counted.  Phrases are
-compared by 128 bits, counted in tasks and summed by Spark; their words come
-back in a last pass, which reads them for the frequent phrases alone.  Parts,
-scores and containment are then joins of the frequent phrases.
+compared by 93 bits and their length, counted in tasks and summed by Spark; their
+words come back in a last pass, which spells each frequent phrase from a few of
+its occurrences.  Parts, scores and containment are then joins of the frequent
+phrases.
 
 Cases: a null text is empty, a null language is ``und``; rows are counted as
 they stand, repeated ids or not (ids only draw the sample); a text of any
@@ -43,20 +44,26 @@ from pyspark.sql import functions as F
 from cobi.llm import words as W
 from cobi.llm.bitmap import Bitmap, bitmap_of
 from cobi.llm.common import Shared, partitions, saved
+from cobi.operators.numbering import number_rows
 
 LEAST = 100       # occurrences of a candidate
 LONGEST = 5       # words
 TOP = 2000        # phrases reported for each language
 FRACTION = 4      # one document in so many is sampled
 BITS = 26
-_FLUSH = 1 << 21  # phrases held in a task before equal ones are summed
+_FLUSH = 1 << 22  # phrases held in a task before equal ones are summed
+_TAKEN = 12       # occurrences from which a phrase's words are read
 
 _END = np.zeros(256, dtype=bool)       # bytes that end a piece
 _END[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 _WORD = ~_END                          # bytes of a word
 _WORD[[0x20, 9]] = False
 
-_COUNTS = "level int, h1 long, h2 long, n long"
+# a phrase is h1 and the number of its words with 29 more bits, in h2
+_COUNTS = "h1 long, h2 int, n long"
+_LEVEL = "h2 & 7"
+_ZEROS = W.mix(np.arange(24, dtype=W.U64), 6)   # a mask for each class of frequency
+_A1, _A2 = W.U64(0xD6E8FEB86659FD93), W.U64(0xA0761D6478BD642F)
 
 
 def _pieces(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
@@ -76,95 +83,163 @@ def _pieces(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
     return w, h, last[np.searchsorted(last, np.arange(n))] + 1 - np.arange(n)
 
 
-def _summed(level: list, h1: list, h2: list) -> pa.RecordBatch:
-    level, h1, h2 = np.concatenate(level), np.concatenate(h1), np.concatenate(h2)
+def _first_hashes(h: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, hash of the k words from each word on), each from the one before."""
+    raw = h
+    for k in range(1, longest + 1):
+        if k > 1:
+            raw = raw[:-1] * _A1 + h[k - 1:]
+        yield k, W.mix(raw, 7)
+
+
+def _second_hashes(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """h2 of the k words from each of ``at`` on."""
+    raw = W.mix(h[at], 5)
+    for j in range(1, k):
+        raw = raw * _A2 + W.mix(h[at + j], 5)
+    return ((W.mix(raw, 8) >> W.U64(35)).astype(np.int64) * 8 + k - (1 << 31)).astype(np.int32)
+
+
+def _summed(h1: list, h2: list) -> pa.RecordBatch:
+    h1, h2 = np.concatenate(h1), np.concatenate(h2)
     order = np.argsort(h1)
-    level, h1, h2 = level[order], h1[order], h2[order]
+    h1, h2 = h1[order], h2[order]
     new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(level[new]), pa.array(W.signed(h1[new])), pa.array(W.signed(h2[new])),
-         pa.array(np.diff(np.append(new, len(h1))))], names=["level", "h1", "h2", "n"])
+        [pa.array(W.signed(h1[new])), pa.array(h2[new]), pa.array(np.diff(np.append(new, len(h1))))],
+        names=["h1", "h2", "n"])
 
 
-def _count(levels: list[int], known: Shared | None, before: Shared | None):
+def _count(levels: list[int], known: Shared | None, added: Shared | None):
     """Occurrences of each phrase whose two parts of one word less are
-    ``known``, and were not both known ``before``."""
+    ``known``; with ``added``, the part of known that is new, only of those that
+    have a new part (the others were counted before)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = ([], [], []), 0
+        held, size = ([], []), 0
         for batch in batches:
             for rows, data, offsets in W.chunks(batch, "text"):
                 _, h, left = _pieces(rows, data, offsets)
-                for k in levels:
-                    at = np.flatnonzero(left >= k)
-                    if k > 1 and len(at):
-                        part = W.windows(h, k - 1)
-                        hit = known.value.has(part)
-                        at = at[hit[at] & hit[at + 1]]
-                        if before is not None and len(at):
-                            old = before.value.has(part)
-                            at = at[~(old[at] & old[at + 1])]
-                    if len(at):
-                        for part, x in zip(held, (np.full(len(at), k, np.int32), W.windows(h, k)[at],
-                                                  W.windows(h, k, 5)[at]), strict=True):
-                            part.append(x)
-                        size += len(at)
+                both = None     # words from which the k - 1 words here and one further are known
+                for k, x in _first_hashes(h, max(levels)):
+                    if k in levels:
+                        at = np.flatnonzero(left >= k)
+                        at = at if both is None else at[both[at]]
+                        if len(at):
+                            held[0].append(x[at])
+                            held[1].append(_second_hashes(h, at, k))
+                            size += len(at)
+                    if k + 1 in levels and len(x) > 1:
+                        both = np.zeros(len(x), dtype=bool)
+                        if added is None:
+                            hit = known.value.has(x)
+                            both[:-1] = hit[:-1] & hit[1:]
+                        else:
+                            new = added.value.has(x)
+                            at = np.flatnonzero(new[:-1] | new[1:])
+                            both[at] = known.value.has(x[at]) & known.value.has(x[at + 1])
                 if size > _FLUSH:
                     yield _summed(*held)
-                    held, size = ([], [], []), 0
+                    held, size = ([], []), 0
         if size:
             yield _summed(*held)
     return run
 
 
-def _spelled(levels: list[int], wanted: Shared):
-    """(level, h1, h2, lang, phrase) of the wanted phrases, once in a run of
-    texts; level 0 holds the number of words of each language there."""
+def _taken(x: np.ndarray, place: np.ndarray, wanted: Bitmap, thin: bool) -> np.ndarray:
+    """Places of the occurrences to spell.  With ``thin`` a phrase of class s is
+    wanted under a mask of s, and an occurrence stands for the classes up to the
+    number of zeros that its hash ends in."""
+    if not thin:
+        at = np.flatnonzero(wanted.has(x))
+        return at[wanted.has(_turned(x[at]))]
+    r, at, out = W.mix(x ^ place[:len(x)], 4), np.arange(len(x)), []
+    for s in range(len(_ZEROS)):
+        if s:
+            at = at[r[at] & W.U64(1 << (s - 1)) == 0]
+        if not len(at):
+            break
+        key = x[at] ^ _ZEROS[s]
+        hit = np.flatnonzero(wanted.has(key))
+        out.append(at[hit[wanted.has(_turned(key[hit]))]])
+    return np.concatenate(out) if out else at
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    return (x << W.U64(32)) | (x >> W.U64(32))
+
+
+def _spelled(longest: int, wanted: Shared, thin: bool):
+    """(h1, h2, lang, phrase) of wanted phrases, from some occurrences or from all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in W.chunks(batch, "text"):
                 w, h, left = _pieces(rows, data, offsets)
                 langs = rows.column("lang").to_pylist()
                 doc = w.doc()
-                out = {"level": [], "h1": [], "h2": [], "lang": [], "phrase": []}
-                for k in levels:
-                    at = np.flatnonzero(left >= k)
+                place = W.mix(np.arange(len(h), dtype=W.U64) + h.sum(), 3)
+                out = {"h1": [], "h2": [], "lang": [], "phrase": []}
+                for k, x in _first_hashes(h, longest):
+                    at = _taken(x, place, wanted.value, thin)
+                    at = at[left[at] >= k]
                     if not len(at):
                         continue
-                    x, y = W.windows(h, k)[at], W.windows(h, k, 5)[at]
-                    hit = np.flatnonzero(wanted.value.has(x))
-                    at, x, y = at[hit], x[hit], y[hit]
+                    x, y = W.signed(x[at]), _second_hashes(h, at, k)
                     # one occurrence of each
                     order = np.argsort(x, kind="stable")
                     at, x, y = at[order], x[order], y[order]
-                    one = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) \
-                        if len(x) else np.zeros(0, np.int64)
-                    out["level"] += [k] * len(one)
-                    out["h1"] += W.signed(x[one]).tolist()
-                    out["h2"] += W.signed(y[one]).tolist()
+                    one = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+                    out["h1"] += x[one].tolist()
+                    out["h2"] += y[one].tolist()
                     out["lang"] += [langs[i] for i in doc[at[one]].tolist()]
                     out["phrase"] += [b" ".join(w.text(j) for j in range(i, i + k)).decode() for i in at[one].tolist()]
-                totals: dict[str, int] = {}
-                for lang, n in zip(langs, w.counts.tolist(), strict=True):
-                    totals[lang] = totals.get(lang, 0) + n
-                for lang, n in totals.items():
-                    out["level"].append(0)
-                    out["h1"].append(n)
-                    out["h2"].append(0)
-                    out["lang"].append(lang)
-                    out["phrase"].append("")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["level"], pa.int32()), pa.array(out["h1"], pa.int64()),
-                     pa.array(out["h2"], pa.int64()), pa.array(out["lang"], pa.string()),
-                     pa.array(out["phrase"], pa.string())], names=list(out))
+                    [pa.array(out["h1"], pa.int64()), pa.array(out["h2"], pa.int32()),
+                     pa.array(out["lang"], pa.string()), pa.array(out["phrase"], pa.string())], names=list(out))
     return run
 
 
-def _sums(docs: DataFrame, levels: list[int], known: Bitmap | None, before: Bitmap | None, name: str,
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, n): the words of each language."""
+    for batch in batches:
+        total: dict[str, int] = {}
+        for rows, data, offsets in W.chunks(batch, "text"):
+            w = W.Words(data, offsets, _WORD)
+            for lang, n in zip(rows.column("lang").to_pylist(), w.counts.tolist(), strict=True):
+                total[lang] = total.get(lang, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
+                                         names=["lang", "n"])
+
+
+def spelled_phrases(docs: DataFrame, frequent: DataFrame, longest: int, bits: int) -> DataFrame:
+    """(level, lang, phrase, f) of ``frequent`` phrases (h1, h2, n).  The first pass
+    takes each phrase from about ``_TAKEN`` to twice as many of its occurrences; a
+    second pass takes all occurrences of those that this has missed, if any."""
+    spark, schema = docs.sparkSession, "h1 long, h2 int, lang string, phrase string"
+    zeros = F.array(*[F.lit(int(x)) for x in W.signed(_ZEROS)])
+    last = F.lit(len(_ZEROS) - 1)
+    least = F.least(last, F.floor(F.log2(F.greatest(F.col("n") / _TAKEN, F.lit(1.0)))).cast("int"))
+    keys = frequent.select(F.col("h1").bitwiseXOR(F.element_at(zeros, least + 1)).alias("h1"))
+
+    def found(wanted: DataFrame, phrases: DataFrame, thin: bool) -> DataFrame:
+        # two bits a phrase, so that hardly any other is spelled
+        turned = F.shiftleft("h1", 32).bitwiseOR(F.shiftrightunsigned("h1", 32)).alias("h1")
+        both = bitmap_of(wanted.select("h1").unionAll(wanted.select(turned)), bits)
+        rows = docs.mapInArrow(_spelled(longest, Shared(spark, both), thin), schema).distinct()
+        return saved(rows.join(phrases, ["h1", "h2"]).select(
+            "h1", "h2", F.expr(_LEVEL).alias("level"), "lang", "phrase", F.col("n").alias("f")), "spelled")
+    first = found(keys, frequent, True)
+    missed = saved(frequent.join(first.select("h1", "h2"), ["h1", "h2"], "left_anti"), "missed")
+    if not missed.isEmpty():
+        first = first.unionAll(found(missed, missed, False))
+    return first.drop("h1", "h2")
+
+
+def _sums(docs: DataFrame, levels: list[int], known: Bitmap | None, added: Bitmap | None, name: str,
           least: int = 1) -> DataFrame:
     spark = docs.sparkSession
     share = lambda x: None if x is None else Shared(spark, x)
-    rows = docs.mapInArrow(_count(levels, share(known), share(before)), _COUNTS)
-    return saved(rows.groupBy("level", "h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
+    rows = docs.mapInArrow(_count(levels, share(known), share(added)), _COUNTS)
+    return saved(rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
 
 
 def lowered(least: int, fraction: int) -> int:
@@ -175,9 +250,11 @@ def lowered(least: int, fraction: int) -> int:
 
 def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, fraction: int = FRACTION,
                      bits: int = BITS, passes: list | None = None) -> DataFrame:
-    """(level, h1, h2, n) of every phrase of up to ``longest`` words with n >=
+    """(h1, h2, n) of every phrase of up to ``longest`` words with n >=
     ``least``; ``docs`` is (doc_id, text, lang).  ``passes`` collects the number
     of failures of each full pass."""
+    if not 1 <= longest <= 7:
+        raise ValueError("phrases have 1 to 7 words")
     levels = list(range(1, longest + 1))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(fraction)) == 0)
     proposed, known = None, None
@@ -188,20 +265,20 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
         proposed = found if proposed is None else proposed.unionAll(found)
         if k > 1 and not more.cells.any():
             break
-    counted, before, frequent = levels, None, None
+    counted, added, frequent = levels, None, None
     while True:
         # only frequent ones leave the pass: the others were counted and are out
-        now = _sums(docs, counted, known, before, "counts", least)
+        now = _sums(docs, counted, known, added, "counts", least)
         frequent = now if frequent is None else frequent.unionAll(now)
-        failures = saved(now.where(F.col("level") < longest).join(proposed, ["level", "h1", "h2"], "left_anti"),
-                         "failures")
+        failures = saved(now.where(F.expr(_LEVEL) < longest).join(proposed, ["h1", "h2"], "left_anti"), "failures")
         more = bitmap_of(failures, bits)
         if passes is not None:
             passes.append(failures.count())
-        if not (more.cells & ~known.cells).any():
+        added = more.without(known)
+        if not added.cells.any():
             return frequent
-        before, known = known, known | more
-        proposed, counted = proposed.unionAll(failures), levels[1:]
+        known, counted = known | more, levels[1:]
+        proposed = proposed.unionAll(failures)
 
 
 def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -216,17 +293,12 @@ def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     it and is as frequent.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    base = docs.select(F.col(id_col).alias("doc_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     frequent = frequent_phrases(base, least=least, longest=longest, fraction=fraction, bits=bits, passes=passes)
-    spelled = saved(
-        base.mapInArrow(_spelled(list(range(1, longest + 1)), Shared(spark, bitmap_of(frequent, bits))),
-                        "level int, h1 long, h2 long, lang string, phrase string")
-        .groupBy("level", "lang", "phrase", "h2", F.when(F.col("level") > 0, F.col("h1")).alias("h1"))
-        .agg(F.sum(F.when(F.col("level") == 0, F.col("h1"))).alias("words")), "spelled")
-    totals = spelled.where("level = 0").groupBy("lang").agg(F.sum("words").alias("n"))
-    f = saved(spelled.where("level > 0").join(frequent.withColumnRenamed("n", "f"), ["level", "h1", "h2"])
-              .select("level", "lang", "phrase", "f"), "frequent")
+    totals = saved(base.mapInArrow(_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "words")
+    f = spelled_phrases(base, frequent, longest, bits)
 
     # contained in a phrase of one word more that is as frequent (a phrase in
     # between is at least as frequent as the longer one, so one word suffices)
@@ -244,27 +316,33 @@ def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.array_join(F.slice(words, F.lit(1), F.col("k")), " ").alias("head"),
         F.array_join(F.slice(words, F.col("k") + 1, F.col("level") - F.col("k")), " ").alias("rest"))
     cuts = (cuts.join(parts.withColumnsRenamed({"part": "head", "f": "l"}), ["lang", "head"])
-            .join(parts.withColumnsRenamed({"part": "rest", "f": "r"}), ["lang", "rest"])
-            .join(totals, "lang"))
+            .join(parts.withColumnsRenamed({"part": "rest", "f": "r"}), ["lang", "rest"]))
+    # a language may hold most phrases: joined, and ranked, in parts of it
+    salts = partitions(spark)
+    cuts = cuts.withColumn("salt", F.expr(f"pmod(xxhash64(phrase), {salts}L)")).join(
+        totals.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))), ["lang", "salt"])
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     # exact: a product of a and n has at most 38 digits, and the quotient fits a long, as l >= a
     over = F.lit(1000).cast("decimal(4,0)") * F.col("a").cast("decimal(15,0)") * F.col("n").cast("decimal(16,0)")
     cuts = cuts.withColumn("over", over).withColumn("under", wide("l") * wide("r"))
-    best = (cuts.select("lang", "phrase", "a", "n", F.struct(F.expr("over div under").alias("score"), "k", "l", "r").alias("cut"))
-            .groupBy("lang", "phrase", "a", "n").agg(F.min("cut").alias("cut"))
-            .select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"))
-    return _ranked(best, top, partitions(spark))
-
-
-def _ranked(best: DataFrame, top: int, salts: int) -> DataFrame:
-    """The first of each language: first those of each part of it, so that no
-    task has to sort a whole language."""
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(salts))).orderBy(*order)
-    whole = Window.partitionBy("lang").orderBy(*order)
-    few = best.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= top)
-    return (few.withColumn("rank", F.row_number().over(whole).cast("long")).where(F.col("rank") <= top)
-            .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    cut = F.struct(F.expr("over div under").alias("score"), "k", "l", "r")
+    best = (cuts.select("lang", "salt", "phrase", "a", "n", cut.alias("cut"))
+            .groupBy("lang", "salt", "phrase", "a", "n").agg(F.min("cut").alias("cut"))
+            .select("lang", "salt", "phrase", "a", "cut.l", "cut.r", "n", "cut.score"))
+    return _ranked(best, top)
+
+
+def _ranked(best: DataFrame, top: int) -> DataFrame:
+    """The first of each language: first those of each part of it, then by the
+    place in a distributed sort of what is left, so that no task has to sort a
+    whole language."""
+    part = Window.partitionBy("lang", "salt").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    few = best.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= top).drop("_rank", "salt")
+    few = few.withColumn("_score", -F.col("score")).withColumn("_a", -F.col("a"))
+    placed = number_rows(few, ["lang", "_score", "_a", "phrase"], id_col="_place")
+    first = saved(placed.groupBy("lang").agg(F.min("_place").alias("_first")), "first")
+    return (placed.join(first, "lang").withColumn("rank", F.col("_place") - F.col("_first") + 1)
+            .where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

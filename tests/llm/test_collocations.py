@@ -56,7 +56,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("fraction", [4, 1000])
+@pytest.mark.parametrize("fraction", [4])
 def test_equal_to_counting_everything(spark, fraction):
     docs = spark.createDataFrame(CASES, SCHEMA)
     got = collocations(docs, least=3, fraction=fraction)
@@ -80,7 +80,7 @@ def test_border_failures_lead_to_further_passes(spark):
     assert docs.where(inside).isEmpty()
     passes = []
     found = frequent_phrases(docs, least=20, fraction=1000, passes=passes)
-    assert {(r.level, r.n) for r in found.collect()} == {(k, 40) for k in range(1, 6)}
+    assert {(r.h2 & 7, r.n) for r in found.collect()} == {(k, 40) for k in range(1, 6)}
     assert found.count() == 15 and passes == [5, 4, 3, 2, 0]
     # a full sample proposes everything: one pass, no failure
     passes = []
