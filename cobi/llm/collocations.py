@@ -19,8 +19,8 @@ how often one occurs in all texts of its language.
 
 A pass keeps the proposals as a bitmap of ``2**bits`` phrase hashes: a fixed size
 at any corpus, and a false hit only has one more phrase counted.  Phrases are
-compared by 93 bits and their length, counted in tasks and summed by Spark; their
-words come back in a last pass, which spells each frequent phrase from a few of
+compared by 93 bits and their length (in the sample, which only proposes, by 64
+bits of these), counted in tasks and summed by Spark; their words come back in a last pass, which spells each frequent phrase from a few of
 its occurrences.  Parts, scores and containment are then joins of the frequent
 phrases.
 
@@ -61,6 +61,7 @@ _WORD[[0x20, 9]] = False
 
 # a phrase is h1 and the number of its words with 29 more bits, in h2
 _COUNTS = "h1 long, h2 int, n long"
+_PROPOSED = "h1 long, n long"
 _LEVEL = "h2 & 7"
 _ZEROS = W.mix(np.arange(24, dtype=W.U64), 6)   # a mask for each class of frequency
 _A1, _A2 = W.U64(0xD6E8FEB86659FD93), W.U64(0xA0761D6478BD642F)
@@ -101,6 +102,11 @@ def _second_hashes(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def _summed(h1: list, h2: list) -> pa.RecordBatch:
+    if not h2:
+        h1 = np.sort(np.concatenate(h1))
+        new = np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1]]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(W.signed(h1[new])), pa.array(np.diff(np.append(new, len(h1))))], names=["h1", "n"])
     h1, h2 = np.concatenate(h1), np.concatenate(h2)
     order = np.argsort(h1)
     h1, h2 = h1[order], h2[order]
@@ -110,7 +116,7 @@ def _summed(h1: list, h2: list) -> pa.RecordBatch:
         names=["h1", "h2", "n"])
 
 
-def _count(levels: list[int], known: Shared | None, added: Shared | None):
+def _count(levels: list[int], known: Shared | None, added: Shared | None, both_hashes: bool):
     """Occurrences of each phrase whose two parts of one word less are
     ``known``; with ``added``, the part of known that is new, only of those that
     have a new part (the others were counted before)."""
@@ -126,7 +132,8 @@ def _count(levels: list[int], known: Shared | None, added: Shared | None):
                         at = at if both is None else at[both[at]]
                         if len(at):
                             held[0].append(x[at])
-                            held[1].append(_second_hashes(h, at, k))
+                            if both_hashes:
+                                held[1].append(_second_hashes(h, at, k))
                             size += len(at)
                     if k + 1 in levels and len(x) > 1:
                         both = np.zeros(len(x), dtype=bool)
@@ -235,11 +242,12 @@ def spelled_phrases(docs: DataFrame, frequent: DataFrame, longest: int, bits: in
 
 
 def _sums(docs: DataFrame, levels: list[int], known: Bitmap | None, added: Bitmap | None, name: str,
-          least: int = 1) -> DataFrame:
+          least: int, both_hashes: bool = True) -> DataFrame:
     spark = docs.sparkSession
     share = lambda x: None if x is None else Shared(spark, x)
-    rows = docs.mapInArrow(_count(levels, share(known), share(added)), _COUNTS)
-    return saved(rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
+    rows = docs.mapInArrow(_count(levels, share(known), share(added), both_hashes),
+                           _COUNTS if both_hashes else _PROPOSED)
+    return saved(rows.groupBy(*rows.columns[:-1]).agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
 
 
 def lowered(least: int, fraction: int) -> int:
@@ -259,7 +267,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(fraction)) == 0)
     proposed, known = None, None
     for k in levels:
-        found = _sums(sample, [k], known, None, f"sample{k}", lowered(least, fraction))
+        found = _sums(sample, [k], known, None, f"sample{k}", lowered(least, fraction), both_hashes=False)
         more = bitmap_of(found, bits)
         known = more if known is None else known | more
         proposed = found if proposed is None else proposed.unionAll(found)
@@ -270,7 +278,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
         # only frequent ones leave the pass: the others were counted and are out
         now = _sums(docs, counted, known, added, "counts", least)
         frequent = now if frequent is None else frequent.unionAll(now)
-        failures = saved(now.where(F.expr(_LEVEL) < longest).join(proposed, ["h1", "h2"], "left_anti"), "failures")
+        failures = saved(now.where(F.expr(_LEVEL) < longest).join(proposed, "h1", "left_anti"), "failures")
         more = bitmap_of(failures, bits)
         if passes is not None:
             passes.append(failures.count())
@@ -278,7 +286,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
         if not added.cells.any():
             return frequent
         known, counted = known | more, levels[1:]
-        proposed = proposed.unionAll(failures)
+        proposed = proposed.unionAll(failures.drop("h2"))
 
 
 def collocations(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
