@@ -33,6 +33,7 @@ from cobi.llm.tokens import TOKENIZER, Encoder
 
 SIZE = 4096
 NODES = 20_000      # of the search after its first descent; the incumbent is kept beyond it
+LIVE = 16           # levels of the search whose fillings are held
 
 Filling = tuple[tuple[int, int], ...]   # (length, times), longest first
 
@@ -180,11 +181,19 @@ def complete(counts: np.ndarray, size: int, nodes: int = NODES) -> tuple[list[tu
     chosen: list[tuple[Filling, int]] = []
     used, waste, spent, first = 0, 0, 0, True
 
-    def branches() -> Iterator[tuple[list[int], int]]:
+    def branches(tried: list[int]) -> Iterator[tuple[list[int], int]]:
+        # goes on after ``tried``: the fillings taken so far, the times of the last
         top = int(np.flatnonzero(left)[-1])
+        options, f, most = undominated(left, size - top), None, tried[1] - 1
         left[top] -= 1
-        options = undominated(left, size - top)
+        for _ in range(tried[0]):
+            f = [top, *next(options)]
+        left[top] += 1
         while True:
+            for times in range(most, 0, -1):
+                tried[1] = times
+                yield f, times
+            left[top] -= 1
             f = next(options, None)
             left[top] += 1
             if f is None:
@@ -197,13 +206,19 @@ def complete(counts: np.ndarray, size: int, nodes: int = NODES) -> tuple[list[tu
                 most = min(most, max(0, spare // each))
             if not most:    # later fillings waste more
                 return
-            for times in range(most, 0, -1):
-                yield f, times
-            left[top] -= 1
+            tried[0] += 1
+
+    def level() -> list:
+        tried = [0, 1]
+        return [branches(tried), tried]
 
-    stack = [branches()]
+    stack = [level()]
     while stack:
-        step = next(stack[-1], None) if first or spent <= nodes else None
+        if len(stack) > LIVE:
+            stack[-1 - LIVE][0] = None  # its sums take megabytes; made again when the search comes back
+        if stack[-1][0] is None:
+            stack[-1][0] = branches(stack[-1][1])
+        step = next(stack[-1][0], None) if first or spent <= nodes else None
         if step is None:
             stack.pop()
             if chosen and len(chosen) > len(stack) - 1 >= 0:
@@ -229,7 +244,7 @@ def complete(counts: np.ndarray, size: int, nodes: int = NODES) -> tuple[list[tu
                 return best, low, True
         rest = total - (used * size - waste)
         if left.any() and (first or used + -(-rest // size) < best_n):
-            stack.append(branches())
+            stack.append(level())
         else:
             chosen.pop()
             for a, k in f:

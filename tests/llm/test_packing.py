@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -8,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from cobi.llm import packing
 from cobi.llm.packing import best_fit, complete, lower_bound, pack, plan, query, undominated
 from tests.conftest import SF_SMALL, table
 
@@ -162,3 +164,31 @@ def test_lower_bound():
     assert lower_bound(counts, 100) == 15      # no 41 fits beside a 60; two beside each other
     assert lower_bound(np.bincount([50] * 4, minlength=101), 100) == 2
     assert lower_bound(np.zeros(101, dtype=np.int64), 100) == 0
+
+
+def test_search_holds_few_levels(monkeypatch):
+    # a level's sums take size * lengths / 8 bytes, and there are as many levels as lengths
+    rng = np.random.default_rng(3)
+    size = 512
+    lengths = np.minimum(size, np.exp(rng.normal(4.0, 1.0, 30000)).astype(int) + 1)
+    counts = np.bincount(lengths, minlength=size + 1)
+    monkeypatch.setattr(packing, "best_fit", lambda c, s: [(((1, 1),), int(c.sum()))])  # so that it searches
+    tracemalloc.start()
+    held = complete(counts, size, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6
+    monkeypatch.setattr(packing, "LIVE", 10 ** 9)
+    assert complete(counts, size, 0) == held
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_levels_made_again_go_on_where_they_were(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    counts = np.bincount(rng.integers(1, 60, 40), minlength=61)
+    monkeypatch.setattr(packing, "best_fit", lambda c, s: [(((1, 1),), int(c.sum()))])
+    monkeypatch.setattr(packing, "lower_bound", lambda c, s: 0)  # so that it goes back
+    monkeypatch.setattr(packing, "LIVE", 10 ** 9)
+    want = complete(counts, 60, 3000)
+    monkeypatch.setattr(packing, "LIVE", 1)
+    assert complete(counts, 60, 3000) == want
