@@ -266,3 +266,27 @@ def test_graphs_together_equal_graphs_alone(spark):
     alone = max(jobs(spark, lambda: spectral_embeddings(edge_graphs(df.where(f"pair = {p}")), 5))   # noqa: B023
                 for p in found)
     assert jobs(spark, lambda: spectral_embeddings(edge_graphs(df), 5)) <= alone + 6
+
+
+def test_packed_pass_is_both_half_steps(spark, monkeypatch):
+    """Pieces of whole row nodes give An and An^T An, and one pass shuffles no row nodes."""
+    from cobi.operators import spectral
+    monkeypatch.setattr(spectral, "PIECE_EDGES", 7)
+    rng = np.random.default_rng(5)
+    rows = [(p, f"a{i}", f"b{j}", float(rng.integers(1, 9))) for p, m, n in ((0, 30, 6), (1, 5, 20), (2, 4, 4))
+            for i in range(m) for j in range(n) if (i + j) % 3 or i == j]
+    g = spectral.edge_graphs(spark.createDataFrame(rows, "pair int, first_field string, second_field string, weight double"))
+    block = g.nodes.where("small").select("id", (F.xxhash64("id") % 100 / 10.0).alias("f0"), F.col("t").alias("f1"))
+    for active in ([0, 1, 2], [1]):
+        own = block.join(g.nodes.where(F.col("pair").isin(active)).select("id"), "id")
+        step = dict(broadcast_bytes=64 << 20, min_hot_rows=100_000)
+        plain = dict(broadcast_bytes=0, min_hot_rows=100_000)
+        big = {r.id: (r.f0, r.f1) for r in g.half(own, False, 2, active, **plain).collect()}
+        got = {r.id: (r.f0, r.f1) for r in g.half(own, False, 2, active, **step).collect()}
+        assert got.keys() == big.keys() and all(np.allclose(got[i], big[i]) for i in big)
+        small = {r.id: (r.f0, r.f1) for r in g.normal(own, 2, active, **plain).collect()}
+        fused = g.normal(own, 2, active, **step)
+        got = {r.id: (r.f0, r.f1) for r in fused.collect()}
+        assert got.keys() == small.keys() and all(np.allclose(got[i], small[i]) for i in small)
+        assert fused._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+    g.release()
