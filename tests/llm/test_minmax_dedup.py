@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+from cobi.llm import verify
 from cobi.llm.minmax_dedup import near_duplicates, query
 from tests.conftest import SF_SMALL, table
 
@@ -61,6 +62,48 @@ def test_large_group_in_small_blocks(spark):
     assert len({c for _, c in want.values()}) > 1
 
 
+def test_family_in_many_bands_is_cut_up_once(spark, monkeypatch):
+    """Near copies that mostly do not link meet in most bands: each is in tiles
+    with all others once, not once a band."""
+    rng, base, rows = random.Random(5), [f"w{k}" for k in range(150)], []
+    for i in range(160):
+        w = list(base)
+        for k in rng.sample(range(150), rng.choice([2, 2, 2, 3])):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, rows[9 * i][1] + " end") for i in range(10)]
+    dealt, seen = verify._dealt, []
+
+    def look(places):
+        if "buckets" in places.columns:
+            seen.append(places.count())
+        return dealt(places)
+
+    monkeypatch.setattr(verify, "_dealt", look)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert got(near_duplicates(docs, block=16)) == want
+    assert 20 < len({c for _, c in want.values()}) < 160
+    # 170 rows in 11 blocks, and the buckets that stay beside them
+    assert seen and sum(seen) < 4 * 170 * 11
+
+
+def test_buckets_of_a_hub_are_one_only_where_that_is_less(spark):
+    """Of large buckets with one common member, and of such with mostly the same ones."""
+    apart = [(b, n, b == 1, 4, n) for b in (1, 2, 3) for n in [0, *range(100 * b, 100 * b + 9)]]
+    same = [(b, n, n == 1004 + b, 4, n) for b in (11, 12, 13) for n in range(1000, 1020) if n % 10 != b - 10]
+    small = [(21, n, True, 4, n) for n in (0, 1000, 5)]
+    left = spark.createDataFrame([*apart, *same, *small],
+                                 "bucket long, node long, own boolean, n long, component long")
+    out = verify._merged(left, 8, 10 ** 6).collect()
+    kept = [tuple(r) for r in out if r.bucket < 100 and r.bucket > 0]
+    assert sorted(kept) == sorted([*apart, *small])
+    whole = [r for r in out if (r.bucket, r.node, r.own, r.n, r.component) not in kept]
+    assert len({r.bucket for r in whole}) == 1
+    assert sorted((r.node, r.own, r.n, r.component) for r in whole) == [
+        (n, 1015 <= n <= 1017, 4, n) for n in range(1000, 1020)]
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "a", 1), (2, "", "b", 2), (3, " \t\n", "c", 3), (4, "one two", "d", 4), (5, "ONE  two", None, 5),
             (6, "one", "e", 6), (None, "one two", "f", 7), (8, "q " * 3000, "g", 8), (9, "q " * 5, "h", 9),
