@@ -290,3 +290,55 @@ def test_packed_pass_is_both_half_steps(spark, monkeypatch):
         assert got.keys() == small.keys() and all(np.allclose(got[i], small[i]) for i in small)
         assert fused._jdf.queryExecution().executedPlan().toString().count("Join") == 0
     g.release()
+
+
+def test_packing_is_one_shuffle_without_joins(spark, monkeypatch):
+    """One shuffle by row node numbers, sums, normalises and packs; nodes and ids are
+    whole and the same when the pieces are made again, and no edge is joined."""
+    from cobi.operators import spectral
+    monkeypatch.setattr(spectral, "PIECE_EDGES", 16)
+    monkeypatch.setattr(spectral, "PACK_EDGES", 40)
+    monkeypatch.setattr(spectral, "SLICE", 4)
+    rng = np.random.default_rng(8)
+    rows = [(p, f"x{rng.integers(m)}", f"x{rng.integers(n)}", float(rng.integers(1, 9)))      # edges may repeat
+            for p, m, n in ((0, 60, 9), (3, 7, 50), (5, 20, 20)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "pair int, first_field string, second_field string, weight double")
+    g = edge_graphs(df)
+    plan = g.pieces._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and "Sort " not in plan and "Window" not in plan
+    want = {}
+    for p, f, s, w in rows:
+        for key in ((p, "row", f), (p, "column", s)):
+            want[key] = want.get(key, 0.0) + w
+    nodes = g.nodes.collect()
+    assert {(r.pair, r.side, r.node): r.d for r in nodes} == want and len({r.id for r in nodes}) == len(nodes) == len(want)
+    assert [g.sizes[p].m for p in (0, 3)] == [len([k for k in want if k[0] == p and k[1] == "row"]) for p in (0, 3)]
+    ids = {(r.pair, r.node): r.id for r in nodes if not r.small}
+    emb, found = spectral_embeddings(g, 5)
+    assert g._edges is None and not g.pieces.is_cached
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        again = g.pieces.select("pair", F.inline("nodes")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.pair, r.node): r.id for r in again} == ids
+    vectors = {(r.pair, r.side, r.node): r.embedding for r in emb.collect()}
+    assert vectors.keys() == want.keys()
+    for p in found:
+        an, names, _, d1, _ = dense(df.where(f"pair = {p}").drop("pair"))
+        u, s, _ = np.linalg.svd(an)
+        np.testing.assert_allclose(found[p].sigma, s[1:4], atol=1e-7)
+        z = np.array([vectors[p, "row", v] for v in names]) * np.sqrt(d1)[:, None]
+        np.testing.assert_allclose(np.linalg.svd(z.T @ u[:, 1:4], compute_uv=False), 1, atol=1e-4)
+
+
+def test_large_smaller_sides_are_not_sent_to_tasks(spark, small_graph, monkeypatch):
+    """Beyond ``PACK_BYTES`` the nodes are numbered by grouping and the steps shuffle edges."""
+    from cobi.operators import spectral
+    want = spectral_embedding(small_graph, k=5)
+    monkeypatch.setattr(spectral, "PACK_BYTES", 0)
+    g = normalized_graph(small_graph)
+    res = spectral_embedding(None, k=5, graph=g)
+    assert g.pieces is None and g.order is None
+    np.testing.assert_allclose(res.sigma, want.sigma, rtol=1e-9)
+    assert res.embedding.count() == want.embedding.count()
